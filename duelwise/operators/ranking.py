@@ -19,26 +19,32 @@ def percent_rank_by(
 ) -> DataFrame:
     """``(rank - 1) / (values - 1)`` in each group; a NULL value has none and counts nowhere.
 
+    A group of one value has no rank either (0 / 0).
+
     ``descending`` may be a condition on the group column. The rows are first reduced to
     the distinct values with their counts, so ties cost nothing. Approximate quantiles cut
     each group into buckets of distinct values; ranks are running counts in a bucket plus
     the total of the buckets below. The quantiles only place the cuts: the result is exact.
+    Groups are statistics, that is, column names; the tables with one row per group and
+    bucket are therefore small whatever the number of rows, and are broadcast.
     """
     lower = value + "_asc"
     ranked = df.select(group, value).dropna(subset=[value]).filter(~F.isnan(F.col(value)))
     counts = ranked.groupBy(group, value).agg(F.count(F.lit(1)).alias("ties"))
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(group).agg(
+    cuts = counts.groupBy(F.col(group).alias("cut_group")).agg(
         F.percentile_approx(value, shares, 10 * buckets).alias("cuts")
     )
-    placed = counts.join(cuts, F.col(group).eqNullSafe(cuts[group])).select(
-        counts[group],
+    placed = counts.join(
+        F.broadcast(cuts), F.col(group).eqNullSafe(F.col("cut_group"))
+    ).select(
+        group,
         value,
         "ties",
         F.size(F.filter("cuts", lambda cut: cut < F.col(value))).alias("bucket"),
     )
     in_bucket = Window.partitionBy(group, "bucket").orderBy(value)
-    before = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = Window.partitionBy(group).orderBy("bucket")
     whole = Window.partitionBy(group)
     offsets = (
@@ -51,15 +57,12 @@ def percent_rank_by(
             F.sum("size").over(whole).alias("n_values"),
         )
     )
-    within = placed.withColumn("fewer", F.coalesce(F.sum("ties").over(in_bucket.rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)))
+    within = placed.withColumn("fewer", F.coalesce(F.sum("ties").over(earlier), F.lit(0)))
     fewer = F.col("fewer") + F.col("below")
     is_descending = descending if isinstance(descending, Column) else F.lit(descending)
     position = F.when(is_descending, F.col("n_values") - F.col("ties") - fewer).otherwise(fewer)
-    share = F.when(F.col("n_values") == 1, F.lit(0.0)).otherwise(
-        F.try_divide(position, F.col("n_values") - 1)
-    )
-    ranks = within.join(offsets, [group, "bucket"]).select(
+    share = F.try_divide(position, F.col("n_values") - 1)
+    ranks = within.join(F.broadcast(offsets), [group, "bucket"]).select(
         F.col(group).alias("rank_group"), F.col(value).alias(lower), share.alias(out)
     )
     return df.join(
