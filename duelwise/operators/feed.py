@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import clip_gap
-from .scan import SLICE, MAX_GROUP_ROWS, group_keys, scan, slice_hot_groups
+from .scan import SLICE, group_keys, scan
 
 VICTIM, KILLER = "id", "attacker_id"
 
@@ -25,26 +25,19 @@ def mode_deaths(
 ) -> DataFrame:
     """Events of one type in matches of one mode, as match, time, victim and killer.
 
-    ``keep`` names further event columns, such as a tie-breaker, to carry along.
+    ``keep`` names further event columns, such as a tie-breaker, to carry along. Slices of
+    hot matches (see ``slice_hot_groups``) stay.
     """
     matches = match_info.filter(F.col("mode") == mode).select("match_id")
     return (
         events.filter(F.col("type") == event_type)
         .join(matches, "match_id")
-        .select("match_id", F.col("time_ms").cast("long").alias("time_ms"), VICTIM, KILLER, *keep)
+        .select(*group_keys(events, "match_id"), F.col("time_ms").cast("long").alias("time_ms"), VICTIM, KILLER, *keep)
     )
 
 
-def event_sequence(
-    deaths: DataFrame, tie_breaker: str | None = None, max_group_rows: int | None = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Number the events of each match by time, then tie-breaker (or victim and killer).
-
-    Matches above ``max_group_rows`` are sliced in time (see ``scan``); ``None`` skips the
-    count that finds them.
-    """
-    if max_group_rows is not None:
-        deaths = slice_hot_groups(deaths, "match_id", "time_ms", max_group_rows)
+def event_sequence(deaths: DataFrame, tie_breaker: str | None = None) -> DataFrame:
+    """Number the events of each match by time, then tie-breaker (or victim and killer)."""
     ties = [tie_breaker] if tie_breaker else [VICTIM, KILLER]
     numbered = scan(deaths, ["match_id"], ["time_ms", *ties], number="event_id")
     return numbered.drop(tie_breaker) if tie_breaker else numbered

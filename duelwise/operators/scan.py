@@ -39,10 +39,9 @@ def slice_hot_groups(
         )
         .filter(F.col("rows") > max_rows)
     )
-    hot = spans.limit(MAX_BROADCAST_GROUPS + 1).count()
-    if hot == 0:
+    if not spans.take(1):
         return df
-    if hot <= MAX_BROADCAST_GROUPS:
+    if spans.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
         spans = F.broadcast(spans)
     slices = F.ceil(F.col("rows") * 4 / max_rows)
     place = F.expr(f"({order} - low)") * slices / F.expr("(high - low + 1)")

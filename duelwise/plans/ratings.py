@@ -31,7 +31,7 @@ IMPACT_LABELS = (
 def tidy_terms(terms: DataFrame) -> DataFrame:
     """Coefficient rows with ``term`` split into player and type."""
     player, role = term_parts(F.col("term"))
-    rest = [c for c in terms.columns if c != "term"]
+    rest = [F.col(f"`{c}`") for c in terms.columns if c != "term"]
     return terms.select(player.alias("player"), role.alias("type"), *rest)
 
 

@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import feed, state, trades, xkill
-from ..operators.scan import MAX_GROUP_ROWS
+from ..operators.scan import MAX_GROUP_ROWS, slice_hot_groups
 from .readers import read_table, roster_of
 
+# Schema of the given table.
+EVENTS = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+          "value double, props string")
+
 SEATS = 8
 POOL = 23
 PLAYERS = sorted(f"PLAYER{i}" for i in range(POOL))
@@ -40,13 +44,17 @@ class Feed:
 
     spark: SparkSession
     path: str
-    max_group_rows: int | None = MAX_GROUP_ROWS
+    max_group_rows: int = MAX_GROUP_ROWS
+
+    @cached_property
+    def table(self) -> DataFrame:
+        """The generic table; columns that a query does not use are pruned from the scan."""
+        return read_table(self.spark, f"{self.path}/events.parquet", EVENTS)
 
     @cached_property
     def raw(self) -> DataFrame:
         cents = F.round(F.col("value") * 100).cast("long")
-        columns = ["event_id", "user_id", "event_type", "value"]
-        base = read_table(self.spark, f"{self.path}/events.parquet", columns).select(
+        base = self.table.select(
             F.expr("event_id div 100").alias("m"),
             (F.col("event_id") % 100).alias("rn"),
             F.when(F.col("event_type") == "signup", "spawn").otherwise("death").alias("type"),
@@ -75,8 +83,7 @@ class Feed:
             (F.expr("m div 3") % 3 + 1).cast("int"),
         )
         search = F.col("m") % 3 == 0
-        ids = read_table(self.spark, f"{self.path}/events.parquet", ["event_id"])
-        return ids.select(F.expr("event_id div 100").alias("m")).distinct().select(
+        return self.table.select(F.expr("event_id div 100").alias("m")).distinct().select(
             _match(),
             F.when(search, "Search").otherwise("Hardpoint").alias("mode"),
             F.concat(F.lit("MAP"), (F.col("m") % 4).cast("string")).alias("map"),
@@ -134,11 +141,15 @@ class Feed:
 
     @cached_property
     def deaths(self) -> DataFrame:
-        return feed.mode_deaths(self.events, self.match_info, keep=("rn",))
+        events = slice_hot_groups(
+            self.events.filter(F.col("type") == "death"), "match_id", "time_ms",
+            self.max_group_rows,
+        )
+        return feed.mode_deaths(events, self.match_info, keep=("rn",))
 
     @cached_property
     def sequence(self) -> DataFrame:
-        return feed.event_sequence(self.deaths, "rn", self.max_group_rows)
+        return feed.event_sequence(self.deaths, "rn")
 
     @cached_property
     def long(self) -> DataFrame:

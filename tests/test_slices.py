@@ -1,0 +1,50 @@
+"""Matches cut into time slices give the same rows as whole matches."""
+
+import pytest
+
+from checks.compare import rows_of
+from checks.registry import RELATIONAL, rounded
+from duelwise.operators.scan import SLICE, slice_hot_groups
+from duelwise.sources.testdata import Feed
+
+from .conftest import SMALL
+
+SCANS = [
+    "event_sequence", "life_streak", "trade_flags", "trade_outcomes", "trade_triplets",
+    "trade_triplet_matrix", "xor_trades", "state_by_role", "xkill_closed_form",
+    "trade_situation", "engagement_matrix", "event_roster", "alive_flags", "alive_matrix",
+    "trader_matrix", "manpower_state", "state_shifts", "engagement_pace", "team_advantage",
+    "advantage_timeline", "player_time_alive", "player_war", "first_groups", "one_per_group",
+]
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_same_rows(spark, name):
+    build = RELATIONAL[name]
+    frames = [
+        rounded(build(Feed(spark, SMALL, limit)).drop(SLICE)) for limit in (1_000_000, 20)
+    ]
+    plain, sliced = (rows_of(f.columns, f.collect()) for f in frames)
+    assert plain == sliced
+    assert plain[1]
+
+
+def test_the_small_limit_does_cut(spark):
+    cut = Feed(spark, SMALL, 20).sequence
+    assert cut.select(SLICE).distinct().count() > 3
+    assert SLICE not in Feed(spark, SMALL).sequence.columns
+
+
+def test_slices_are_bounded_and_in_time_order(spark):
+    rows = spark.range(10_000).selectExpr("if(id % 3 = 0, 'hot', concat('m', id % 500)) k", "id t")
+    cut = slice_hot_groups(rows, "k", "t", 200)
+    sizes = cut.groupBy("k", SLICE).count().collect()
+    assert max(r["count"] for r in sizes) <= 200
+    spans = cut.filter("k = 'hot'").groupBy(SLICE).agg({"t": "max"}).orderBy(SLICE).collect()
+    assert [r[1] for r in spans] == sorted(r[1] for r in spans)
+    assert cut.count() == 10_000
+
+
+def test_small_groups_are_left_alone(spark):
+    rows = spark.range(100).selectExpr("id % 5 k", "id t")
+    assert slice_hot_groups(rows, "k", "t", 50) is rows
