@@ -41,28 +41,33 @@ def _rates_long(f: Feed) -> DataFrame:
     return trades.player_trade_percentiles(_rates(f))
 
 
-def _roles(f: Feed) -> DataFrame:
-    return trades.trade_roles_long(trades.trades_only(f.outcomes))
+def _roles(f: Feed, with_state: bool = False) -> DataFrame:
+    outcomes = f.state_outcomes if with_state else f.outcomes
+    return trades.trade_roles_long(trades.trades_only(outcomes))
 
 
 def _steps15(f: Feed) -> DataFrame:
     return feed.engagements(f.sequence, trade_ms=15000)
 
 
-def _triplets(f: Feed) -> DataFrame:
-    return trades.trade_triplets(_steps15(f))
+def _state_triplets(f: Feed) -> DataFrame:
+    return trades.trade_triplets(feed.engagements(f.states, trade_ms=15000))
 
 
 def _by_role(f: Feed) -> DataFrame:
-    return trades.state_by_role(_triplets(f), f.states)
+    return trades.state_by_role(_state_triplets(f))
 
 
 def _situations(f: Feed) -> DataFrame:
-    return xkill.trade_situation(f.scores, f.states)
+    return xkill.trade_situation(f.state_scores)
 
 
 def _team_rows(f: Feed) -> DataFrame:
-    return state.team_advantage(f.sequence, f.roster, f.states)
+    return state.team_advantage(f.states, f.roster)
+
+
+def _shifts(f: Feed) -> DataFrame:
+    return state.state_shifts(jobs.side_terms(f.alive))
 
 
 def _times_wide(f: Feed) -> DataFrame:
@@ -114,10 +119,6 @@ def _xkill(f: Feed) -> DataFrame:
     return jobs.xkill_normalised(steps, jobs.xkill_fit(f.pairs))
 
 
-def _drop(*names: str):
-    return lambda df: df.drop(*names)
-
-
 RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
     "mode_deaths": lambda f: feed.mode_deaths(f.events, f.match_info),
     "event_sequence": lambda f: f.sequence,
@@ -135,9 +136,9 @@ RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
     "trade_role_matrix": lambda f: trades.trade_role_matrix(_roles(f), PLAYERS),
     "xor_trades": lambda f: trades.xor_trades(_steps15(f)),
     "non_trades": lambda f: trades.non_trades(_steps15(f)),
-    "trade_triplets": _triplets,
+    "trade_triplets": lambda f: trades.trade_triplets(_steps15(f)),
     "trade_triplets_strict": lambda f: trades.trade_triplets(_steps15(f), strict=True),
-    "trade_triplet_matrix": lambda f: trades.trade_triplet_matrix(_triplets(f), f.states, PLAYERS),
+    "trade_triplet_matrix": lambda f: trades.trade_triplet_matrix(_state_triplets(f), PLAYERS),
     "state_by_role": _by_role,
     "trade_success": lambda f: trades.trade_success(
         _by_role(f), ["4v4", "3v4"], "TRADE", MIN_SITUATIONS, MIN_SITUATIONS // 2),
@@ -151,16 +152,16 @@ RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
         trades.trade_counts(f.outcomes), MIN_N),
     "player_trade_percentiles": _rates_long,
     "xkill_pairs": lambda f: f.pairs,
-    "xkill_closed_form": lambda f: f.scores,
-    "trade_situation": _situations,
+    "xkill_closed_form": lambda f: xkill.xkill_closed_form(f.pairs),
+    "trade_situation": lambda f: _situations(f).drop("state"),
     "engagement_matrix": lambda f: xkill.engagement_matrix(
         rounded(_situations(f)), PLAYERS),
     "event_roster": lambda f: state.event_roster(f.sequence, f.roster),
     "alive_flags": lambda f: f.alive,
     "alive_matrix": lambda f: state.alive_matrix(f.alive, PLAYERS),
     "trader_matrix": lambda f: state.trader_matrix(f.alive, PLAYERS),
-    "manpower_state": lambda f: f.states,
-    "state_shifts": lambda f: state.state_shifts(f.states),
+    "manpower_state": lambda f: f.states.drop("id", "attacker_id"),
+    "state_shifts": lambda f: state.state_shifts(f.states).drop("id", "attacker_id"),
     "engagement_pace": lambda f: state.engagement_pace(f.states),
     "team_advantage": lambda f: _team_rows(f).drop("role_ord"),
     "time_at_advantage": lambda f: state.time_at_advantage(_team_rows(f)),
@@ -208,7 +209,8 @@ RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
         "player_id", odds_ratio_delta(F.col("beta_1"), F.col("kill_pct")).alias("delta")),
     "predictions_by_adv": lambda f: fits.predictions_by(
         _situations(f), ["win", "adv"], "pred_win"),
-    "xkill_confusion": lambda f: fits.confusion(f.scores, "win", "pred_win"),
+    "xkill_confusion": lambda f: fits.confusion(
+        xkill.xkill_closed_form(f.pairs), "win", "pred_win"),
 }
 
 
@@ -217,11 +219,11 @@ def _varying(f: Feed) -> DataFrame:
         _roles(f), EVENT, F.concat_ws("_", "player_id", "p"), F.lit(True))
     terms = [f"{p}_{r}" for p in PLAYERS for r in ("P1", "P2", "P3")]
     total = rows.agg(F.count(F.lit(1))).scalar()
-    return design.term_counts(rows, terms).filter(F.col("n") < total)
+    return design.term_counts(rows, F.col("term").isin(terms)).filter(F.col("n") < total)
 
 
-def _attempted(f: Feed) -> DataFrame:
-    return jobs.trade_attempted_model(f.outcomes, f.alive, f.states, f.roster, min_games=MIN_GAMES)
+def _outcome_alive(f: Feed) -> DataFrame:
+    return state.alive_flags(state.event_roster(f.outcomes, f.roster))
 
 
 def _grid(f: Feed) -> DataFrame:
@@ -239,32 +241,32 @@ MODELS: dict[str, Callable[[Feed], DataFrame]] = {
     "xkill_normalised": _xkill,
     "xkill_predictions": lambda f: jobs.xkill_predictions(f.pairs, jobs.xkill_fit(f.pairs)),
     "xkill_grid": _grid,
-    "trade_attempted_model": _attempted,
+    "trade_attempted_model": lambda f: jobs.trade_attempted_model(
+        _outcome_alive(f), f.roster, min_games=MIN_GAMES),
     "stop_trade_model": lambda f: jobs.stop_trade_model(
-        f.outcomes, f.alive, f.states, f.roster, roles=("AGAINST", "DEAD"), min_games=MIN_GAMES),
+        _outcome_alive(f), f.roster, roles=("AGAINST", "DEAD"), min_games=MIN_GAMES),
     "trade_won_model": lambda f: jobs.trade_won_model(
-        _roles(f), f.states, f.roster, min_games=MIN_GAMES),
+        _roles(f, with_state=True), f.roster, min_games=MIN_GAMES),
     "duel_model": lambda f: jobs.duel_model(_situations(f), f.roster, min_games=MIN_GAMES),
     "win_model": lambda f: jobs.win_model(_plus_minus(f, "Hardpoint")),
-    "triplet_model": lambda f: jobs.triplet_model(_triplets(f), f.states, f.roster),
+    "triplet_model": lambda f: jobs.triplet_model(_state_triplets(f), f.roster),
     "talent_model": lambda f: jobs.talent_model(_xkill(f), f.roster, MIN_GAMES),
     "talent_log_loss": lambda f: jobs.talent_log_loss(_xkill(f), f.roster, MIN_GAMES),
     "shot_quality_model": lambda f: jobs.shot_quality_model(
-        _xkill(f), f.alive, state.state_shifts(f.states), f.roster, MIN_GAMES),
-    "shot_quality_ranking": lambda f: fits.side_ranking(jobs.shot_quality_model(
-        _xkill(f), f.alive, state.state_shifts(f.states), f.roster, MIN_GAMES)),
+        _xkill(f), _shifts(f), f.roster, MIN_GAMES),
+    "shot_quality_ranking": lambda f: fits.side_ranking(
+        jobs.shot_quality_model(_xkill(f), _shifts(f), f.roster, MIN_GAMES)),
     "shot_quality_grid": lambda f: jobs.shot_quality_grid(
-        _xkill(f), f.alive, state.state_shifts(f.states), f.roster, MIN_GAMES),
+        _xkill(f), _shifts(f), f.roster, MIN_GAMES),
     "pace_model": lambda f: jobs.pace_table(jobs.pace_fit(
-        state.engagement_pace(f.states), f.alive, f.roster, MIN_GAMES)),
+        state.engagement_pace(jobs.side_terms(f.alive)), f.roster, MIN_GAMES)),
     "predicted_by_state": lambda f: _predicted_by_state(f),
 }
 
 
 def _predicted_by_state(f: Feed) -> DataFrame:
     """Expected and actual wins of the killer's side in the common states."""
-    rows = _situations(f).join(f.states.select(*EVENT, "state"), EVENT)
-    common = fits.common_levels(rows, "state", 100)
+    common = fits.common_levels(_situations(f), "state", 100)
     return common.groupBy("state", "n").agg(
         F.avg("pred_win").alias("mean_pred"), F.avg(F.col("win").cast("int")).alias("mean_win"))
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .design import assemble, moments, settle
+from .design import assemble, correlations, deviations
 from .fits import terms_frame
 
 MAX_CELLS = 50_000_000
@@ -156,19 +156,18 @@ def fit_cox(
 
     The loss is ``-logL / n + penalty / 2 * sum((sd * beta)^2)``. The penalty is chosen by
     held-out deviance over the ``fold`` column: the best (``rule="min"``) or the largest
-    within one standard error of it (``"1se"``).
+    within one standard error of it (``"1se"``). ``df`` is read twice per step: settle it first.
     """
     vocabulary = F.array(*[F.lit(t) for t in terms])
     known = F.transform("terms", lambda t: (F.array_position(vocabulary, t) - 1).cast("int"))
-    kept = settle(df.select(
-        F.col(duration).cast("long").alias("duration"), "fold", "terms",
+    rows = df.select(
+        F.col(duration).cast("long").alias("duration"), "fold",
         F.filter(known, lambda i: i >= 0).alias("idx"),
-    ))
-    spread, matrix = moments(assemble(kept, terms))
-    matrix = np.nan_to_num(matrix)
+    )
+    vectors = assemble(df, terms)
+    spread, matrix = deviations(vectors), np.nan_to_num(correlations(vectors))
     np.fill_diagonal(matrix, 1.0)
     covariance = matrix * np.outer(spread, spread)
-    rows = kept.select("duration", "fold", "idx")
     n_times = rows.agg(F.countDistinct("duration")).first()[0]
     size = len(terms)
 
@@ -215,5 +214,4 @@ def fit_cox(
         spark, [(t, float(b), float(np.exp(b))) for t, b in zip(terms, values)],
         "term string, estimate double, hazard_ratio double",
     )
-    kept.unpersist()
     return CoxFit(terms, values, float(penalties[chosen]), path, table)

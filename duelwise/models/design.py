@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
@@ -17,8 +20,9 @@ from ..operators.xkill import key_hash
 MAX_TERMS = 4096
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Keep a frame that an iterative fit reads many times.
+@contextmanager
+def settled(df: DataFrame) -> Iterator[DataFrame]:
+    """A frame that a fit reads many times, computed once.
 
     Where the session names a shared checkpoint folder the frame is written there, so a
     lost executor does not recompute the feed; otherwise it is persisted.
@@ -28,8 +32,13 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None and folder:
         context.setCheckpointDir(folder)
     if context.getCheckpointDir() is not None:
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+        yield df.checkpoint()
+        return
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
 
 
 def hash_share(keys: list[str], seed: int) -> Column:
@@ -61,14 +70,6 @@ def player_terms(
     return sorted(f"{p}_{r}" for p in names if p != baseline_player for r in roles)
 
 
-def level_terms(df: DataFrame, column: str, baseline: str | None = None) -> list[str]:
-    """Names of the indicator terms of a factor column, without its baseline level."""
-    levels = level_list(df.select(F.col(column).cast("string")), column, MAX_TERMS)
-    if baseline is None and levels:
-        baseline = levels[0]
-    return [f"{column}{level}" for level in levels if level != baseline]
-
-
 def level_term(column: str) -> Column:
     return F.concat(F.lit(column), F.col(column).cast("string"))
 
@@ -82,22 +83,34 @@ def add_term(df: DataFrame, term: Column) -> DataFrame:
     return df.withColumn("terms", F.array_append("terms", term))
 
 
-def varying_terms(df: DataFrame, allowed: list[str]) -> list[str]:
-    """The allowed terms that neither hold in every row nor in none."""
-    counts, total = term_counts(df, allowed), df.count()
-    rows = counts.filter(F.col("n") < total).limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms; raise min_games")
-    kept = {row["term"] for row in rows}
-    return [term for term in allowed if term in kept]
+def term_counts(df: DataFrame, allowed: Column) -> DataFrame:
+    """Rows in which each term holds, for the terms that satisfy a condition on ``term``."""
+    held = F.explode(F.array_distinct("terms")).alias("term")
+    return df.select(held).filter(allowed).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def term_counts(df: DataFrame, allowed: list[str]) -> DataFrame:
-    """Rows in which each allowed term holds."""
-    held = F.explode(F.array_distinct("terms")).alias("term")
-    return df.select(held).filter(F.col("term").isin(allowed)).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def varying_terms(
+    df: DataFrame, names: list[str], level: str | None = None, baseline: str | None = None
+) -> list[str]:
+    """The terms that neither hold in every row nor in none, counted in one pass.
+
+    Terms are the given names and, first, the levels of the factor ``level`` but for its
+    baseline: the given one if it occurs, else the first.
+    """
+    everything = df.withColumn("terms", F.array_append("terms", F.lit("")))
+    allowed = F.col("term").isin([*names, ""])
+    if level:
+        allowed = allowed | F.col("term").rlike(f"^{level}-?[0-9]+(v[0-9]+)?$")
+    rows = term_counts(everything, allowed).limit(MAX_TERMS + 2).collect()
+    if len(rows) > MAX_TERMS + 1:
+        raise ValueError(f"more than {MAX_TERMS} terms; raise min_games")
+    counts = {row["term"]: row["n"] for row in rows}
+    total = counts.pop("", 0)
+    listed = set(names)
+    levels = sorted(t for t in counts if t not in listed)
+    if levels:
+        levels.remove(f"{level}{baseline}" if f"{level}{baseline}" in levels else levels[0])
+    return [t for t in [*levels, *names] if 0 < counts.get(t, 0) < total]
 
 
 def assemble(
@@ -112,11 +125,14 @@ def assemble(
     return VectorAssembler(inputCols=[*numeric, "held"], outputCol="features").transform(vectors)
 
 
-def moments(assembled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Standard deviations and correlations of the features, computed in the JVM."""
-    spread = assembled.select(Summarizer.std(F.col("features")).alias("s")).first()["s"].toArray()
-    matrix = Correlation.corr(assembled, "features").first()[0].toArray()
-    return spread, matrix
+def correlations(assembled: DataFrame) -> np.ndarray:
+    """Correlation matrix of the features, computed in the JVM."""
+    return Correlation.corr(assembled, "features").first()[0].toArray()
+
+
+def deviations(assembled: DataFrame) -> np.ndarray:
+    """Standard deviations of the features, computed in the JVM."""
+    return assembled.select(Summarizer.std(F.col("features")).alias("s")).first()["s"].toArray()
 
 
 def aliased_columns(matrix: np.ndarray, tolerance: float = 1e-7) -> list[int]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import term_parts
 from ..operators.ranking import league_mean
 from ..operators.reshape import spread
-from .design import aliased_columns, assemble, moments, settle
+from .design import aliased_columns, assemble, correlations
 
 TIDY = "term string, estimate double, `std.error` double, statistic double, `p.value` double"
 INTERCEPT = "(Intercept)"
@@ -33,15 +33,15 @@ def fit_logistic(
 
     Returns the model, the names of its columns, and a tidy table in which ``estimate``
     is an odds ratio. Terms that depend linearly on earlier ones are left out of the fit
-    and listed with NULL values.
+    and listed with NULL values. ``df`` is read once per iteration: settle it first.
     """
     numeric = numeric or []
     names = [*numeric, *terms]
     labelled = df.withColumn("label", label.cast("double"))
-    rows = settle(labelled.select("label", *(["terms"] if terms else []), *numeric))
+    rows = labelled.select("label", *(["terms"] if terms else []), *numeric)
     dropped: list[int] = []
     if intercept and len(names) > 1:
-        dropped = aliased_columns(moments(assemble(rows, terms, numeric))[1])
+        dropped = aliased_columns(correlations(assemble(rows, terms, numeric)))
     gone = {names[i] for i in dropped}
     used_numeric = [n for n in numeric if n not in gone]
     used_terms = [t for t in terms if t not in gone]
@@ -64,7 +64,6 @@ def fit_logistic(
             continue
         value = math.exp(estimates[name]) if exponentiate else estimates[name]
         table.append((name, value, errors[name], statistics[name], p_values[name]))
-    rows.unpersist()
     return model, (used_terms, used_numeric), terms_frame(df.sparkSession, table)
 
 
@@ -75,9 +74,8 @@ def predict(model, df: DataFrame, columns: tuple[list[str], list[str]]) -> DataF
 
 def _ridge(df: DataFrame, label: Column, terms, numeric, estimator):
     labelled = df.withColumn("label", label.cast("double"))
-    rows = settle(labelled.select("label", "terms", *(numeric or [])))
+    rows = labelled.select("label", "terms", *(numeric or []))
     model = estimator.fit(assemble(rows, terms, numeric))
-    rows.unpersist()
     names = [INTERCEPT, *(numeric or []), *terms]
     values = [model.intercept, *model.coefficients.toArray().tolist()]
     table = terms_frame(
@@ -92,7 +90,7 @@ def fit_ridge_logistic(
 ):
     """Logistic regression with an L2 penalty on standardised columns, on the log-odds scale."""
     estimator = LogisticRegression(
-        regParam=penalty, elasticNetParam=0.0, standardization=True, maxIter=200, tol=1e-8
+        regParam=penalty, elasticNetParam=0.0, standardization=True, maxIter=200, tol=1e-7
     )
     return _ridge(df, label, terms, numeric, estimator)
 
@@ -126,12 +124,12 @@ def cross_validate(
     """
     penalties = penalties or penalty_levels()
     labelled = df.withColumn("label", label.cast("double"))
-    rows = settle(labelled.select("label", "fold", "terms", *(numeric or [])))
+    rows = labelled.select("label", "fold", "terms", *(numeric or []))
     if kind == "linear":
         estimator = LinearRegression(elasticNetParam=0.0)
         evaluator = RegressionEvaluator(metricName="rmse")
     else:
-        estimator = LogisticRegression(elasticNetParam=0.0, maxIter=200, tol=1e-8)
+        estimator = LogisticRegression(elasticNetParam=0.0, maxIter=200, tol=1e-7)
         evaluator = MulticlassClassificationEvaluator(metricName="logLoss")
     grid = ParamGridBuilder().addGrid(estimator.regParam, penalties).build()
     search = CrossValidator(
@@ -139,7 +137,6 @@ def cross_validate(
         numFolds=folds, foldCol="fold", parallelism=parallelism,
     )
     found = search.fit(assemble(rows, terms, numeric))
-    rows.unpersist()
     results = [
         (float(p), evaluator.getMetricName(), float(m), float(s))
         for p, m, s in zip(penalties, found.avgMetrics, found.stdMetrics)

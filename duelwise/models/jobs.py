@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..functions import term_parts
-from ..operators.scan import group_keys
-from ..operators.state import trader_roles
+from ..operators.scan import event_keys, group_keys
+from ..operators.state import manpower_state, trader_role
 from ..operators.xkill import duels
+from ..plans.ratings import tidy_terms
 from .cox import CoxFit, fit_cox
 from .design import (
-    add_term, collect_terms, level_term, level_terms, player_terms, train_test_split,
+    add_term, collect_terms, level_term, player_terms, settled, train_test_split,
     varying_terms, with_fold,
 )
 from .fits import (
@@ -30,35 +30,36 @@ XKILL_INPUTS = ["pkk_x", "tsla_x", "pkk_y", "tsla_y", "both"]
 TRADER_ROLES = ("AGAINST", "DEAD", "KILLER")
 
 
-def _with_adv(rows: DataFrame, states: DataFrame) -> DataFrame:
-    """Join the advantage of the event and add its indicator term."""
-    joined = rows.join(states.select(*EVENT, "adv"), EVENT).filter(F.col("adv").isNotNull())
-    return add_term(joined, level_term("adv"))
+def side_terms(alive: DataFrame) -> DataFrame:
+    """The feed with its states and, per event, the ``player_SIDE`` terms of those alive."""
+    term = F.concat_ws("_", "player_id", "type")
+    return manpower_state(alive, F.when(F.col("alive") == 1, term))
 
 
-def _model_terms(rows, roster, states, roles, min_games, baseline_player, adv_baseline):
-    allowed = level_terms(states, "adv", str(adv_baseline)) + player_terms(
-        roster, list(roles), min_games, baseline_player
-    )
-    return varying_terms(rows, allowed)
-
+def trade_attempted_rows(alive: DataFrame) -> DataFrame:
+    """Every event: was a trade attempted, who could act in which role, the advantage.
 
-def trade_attempted_rows(outcomes: DataFrame, alive: DataFrame, states: DataFrame) -> DataFrame:
-    """Every event: was a trade attempted, who could act in which role, the advantage."""
-    traders = trader_roles(alive)
-    terms = collect_terms(
-        traders, EVENT, F.concat_ws("_", "player_id", "type"), F.col("alive") == 1
+    ``alive`` is the roster of the trade outcomes, so that the outcome is on its rows and
+    one aggregate per event gives everything.
+    """
+    role = trader_role()
+    acting = (F.col("alive") == 1) & (role != "FOR")
+    rows = manpower_state(
+        alive, F.when(acting, F.concat_ws("_", F.col("player_id"), role)), ("trade_att",)
     )
-    tried = outcomes.select(*EVENT, F.coalesce(F.col("trade_att"), F.lit(False)).alias("outcome"))
-    return _with_adv(tried.join(terms, EVENT), states)
+    tried = F.coalesce(F.col("trade_att"), F.lit(False))
+    return add_term(rows.select(*EVENT, "adv", tried.alias("outcome"), "terms"), level_term("adv"))
+
 
+def trade_won_rows(roles: DataFrame) -> DataFrame:
+    """Every attempted trade: was the kill traded, the three players, the advantage.
 
-def trade_won_rows(roles: DataFrame, states: DataFrame) -> DataFrame:
-    """Every attempted trade: was the kill traded, the three players, the advantage."""
+    ``roles`` carries the advantage of its event.
+    """
     terms = collect_terms(
-        roles, [*EVENT, "traded"], F.concat_ws("_", "player_id", "p"), F.lit(True)
+        roles, [*event_keys(roles), "traded"], F.concat_ws("_", "player_id", "p"), F.lit(True)
     ).withColumnRenamed("traded", "outcome")
-    return _with_adv(terms, states)
+    return add_term(terms.filter(F.col("adv").isNotNull()), level_term("adv"))
 
 
 def duel_rows(situations: DataFrame) -> DataFrame:
@@ -70,20 +71,24 @@ def duel_rows(situations: DataFrame) -> DataFrame:
     )
 
 
-def _logistic_job(rows, terms, numeric=None, share=0.75, seed=7, keys=EVENT):
-    train, _ = train_test_split(rows, keys, seed, share)
-    return fit_logistic(train, F.col("outcome"), terms, numeric)
+def _odds_ratios(
+    rows: DataFrame, players: list[str], adv_baseline: int, seed: int,
+    numeric: list[str] | None = None, keys: list[str] = EVENT,
+) -> DataFrame:
+    """Fit on the training share of the rows: advantage levels and the player terms."""
+    with settled(rows) as kept:
+        terms = varying_terms(kept, players, "adv", str(adv_baseline))
+        train, _ = train_test_split(kept, keys, seed)
+        return fit_logistic(train, F.col("outcome"), terms, numeric)[2]
 
 
 def trade_attempted_model(
-    outcomes: DataFrame, alive: DataFrame, states: DataFrame, roster: DataFrame,
-    roles=TRADER_ROLES, min_games: int = params.MIN_GAMES, baseline_player: str | None = None,
-    adv_baseline: int = -2, seed: int = 7,
+    alive: DataFrame, roster: DataFrame, roles=TRADER_ROLES, min_games: int = params.MIN_GAMES,
+    baseline_player: str | None = None, adv_baseline: int = -2, seed: int = 7,
 ) -> DataFrame:
     """Odds ratios of an attempted trade by advantage and player role."""
-    rows = trade_attempted_rows(outcomes, alive, states)
-    terms = _model_terms(rows, roster, states, roles, min_games, baseline_player, adv_baseline)
-    return _logistic_job(rows, terms, seed=seed)[2]
+    players = player_terms(roster, list(roles), min_games, baseline_player)
+    return _odds_ratios(trade_attempted_rows(alive), players, adv_baseline, seed)
 
 
 # The model of stopped trades has the same outcome, rows and terms.
@@ -91,17 +96,13 @@ stop_trade_model = trade_attempted_model
 
 
 def trade_won_model(
-    roles_long: DataFrame, states: DataFrame, roster: DataFrame, roles=("P1", "P2", "P3"),
+    roles_long: DataFrame, roster: DataFrame, roles=("P1", "P2", "P3"),
     min_games: int = params.MIN_GAMES, baseline_player: str | None = None,
     adv_baseline: int = -2, seed: int = 7,
 ) -> DataFrame:
     """Odds ratios of a won trade by advantage and player role, split into player and type."""
-    rows = trade_won_rows(roles_long, states)
-    terms = _model_terms(rows, roster, states, roles, min_games, baseline_player, adv_baseline)
-    table = _logistic_job(rows, terms, seed=seed)[2]
-    player, role = term_parts(F.col("term"))
-    rest = [F.col(f"`{c}`") for c in table.columns if c != "term"]
-    return table.select(player.alias("player"), role.alias("type"), *rest)
+    players = player_terms(roster, list(roles), min_games, baseline_player)
+    return tidy_terms(_odds_ratios(trade_won_rows(roles_long), players, adv_baseline, seed))
 
 
 def duel_model(
@@ -109,10 +110,10 @@ def duel_model(
     baseline_player: str | None = None, adv_baseline: int = -3, seed: int = 7,
 ) -> DataFrame:
     """Odds ratios of a won duel by expectation, advantage and player."""
-    rows = duel_rows(situations)
-    found = situations.filter(F.col("adv").isNotNull() & (F.col("trade_sit") != "NONE"))
-    terms = _model_terms(rows, roster, found, ["ENG"], min_games, baseline_player, adv_baseline)
-    return _logistic_job(rows, terms, ["pred_win"], seed=seed, keys=[*EVENT, "player"])[2]
+    players = player_terms(roster, ["ENG"], min_games, baseline_player)
+    return _odds_ratios(
+        duel_rows(situations), players, adv_baseline, seed, ["pred_win"], [*EVENT, "player"]
+    )
 
 
 def xkill_inputs(pairs: DataFrame) -> DataFrame:
@@ -127,10 +128,11 @@ def xkill_inputs(pairs: DataFrame) -> DataFrame:
 def xkill_fit(pairs: DataFrame, seed: int = 7):
     """The expected-kill model: no intercept, both sides' streak and gap, and an interaction."""
     complete = xkill_inputs(pairs).dropna("any", subset=[*XKILL_INPUTS, "win_x"])
-    train, _ = train_test_split(complete, EVENT, seed)
-    return fit_logistic(
-        train, F.col("win_x"), [], XKILL_INPUTS, intercept=False, exponentiate=False
-    )
+    with settled(complete.select(*EVENT, *XKILL_INPUTS, "win_x")) as kept:
+        train, _ = train_test_split(kept, EVENT, seed)
+        return fit_logistic(
+            train, F.col("win_x"), [], XKILL_INPUTS, intercept=False, exponentiate=False
+        )
 
 
 def xkill_model(pairs: DataFrame, seed: int = 7) -> DataFrame:
@@ -175,26 +177,29 @@ def xkill_normalised(steps: DataFrame, fit) -> DataFrame:
 def win_model(plus_minus: DataFrame) -> DataFrame:
     """Log odds of a match win by kill difference."""
     rows = plus_minus.filter(F.col("is_victor").isNotNull())
-    rows = rows.withColumn("adv", F.col("pm").cast("double"))
-    return fit_logistic(rows, F.col("is_victor"), [], ["adv"], exponentiate=False)[2]
+    rows = rows.select("is_victor", F.col("pm").cast("double").alias("adv"))
+    with settled(rows) as kept:
+        return fit_logistic(kept, F.col("is_victor"), [], ["adv"], exponentiate=False)[2]
 
 
 def triplet_model(
-    triplets: DataFrame, states: DataFrame, roster: DataFrame, min_games: int = 0,
-    penalty: float = 1e-9, seed: int = 7,
+    triplets: DataFrame, roster: DataFrame, min_games: int = 0, penalty: float = 1e-9,
+    seed: int = 7,
 ) -> DataFrame:
-    """Ridge logistic: does the avenger win, by state and by the three players' roles."""
+    """Ridge logistic: does the avenger win, by state and by the three players' roles.
+
+    ``triplets`` carries the state of its event.
+    """
     rows = collect_terms(
-        triplets, [*EVENT, "win"], F.concat_ws("_", "player", "type"), F.col("player").isNotNull()
-    ).filter(F.col("win").isNotNull())
-    rows = rows.join(states.select(*EVENT, "state"), EVENT)
-    rows = add_term(rows, level_term("state")).withColumnRenamed("win", "outcome")
-    roles = ["AGAINST", "DEAD", "TRADE"]
-    terms = varying_terms(
-        rows, level_terms(states, "state") + player_terms(roster, roles, min_games, "")
+        triplets.filter(F.col("win").isNotNull()), [*event_keys(triplets), "win"],
+        F.concat_ws("_", "player", "type"), F.col("player").isNotNull(),
     )
-    train, _ = train_test_split(rows, EVENT, seed)
-    return fit_ridge_logistic(train, F.col("outcome"), terms, penalty=penalty)[2]
+    rows = add_term(rows, level_term("state")).withColumnRenamed("win", "outcome")
+    players = player_terms(roster, ["AGAINST", "DEAD", "TRADE"], min_games, "")
+    with settled(rows) as kept:
+        terms = varying_terms(kept, players, "state")
+        train, _ = train_test_split(kept, EVENT, seed)
+        return fit_ridge_logistic(train, F.col("outcome"), terms, penalty=penalty)[2]
 
 
 def talent_rows(xkill: DataFrame) -> DataFrame:
@@ -214,9 +219,9 @@ def talent_model(
     xkill: DataFrame, roster: DataFrame, min_games: int = params.MIN_GAMES, penalty: float = 1e-9,
 ) -> DataFrame:
     """Ridge logistic of winning beyond the expected probability, as odds and probability."""
-    rows = talent_rows(xkill)
-    terms = talent_terms(rows, roster, min_games)
-    table = fit_ridge_logistic(rows, F.col("outcome"), terms, ["kill_prob"], penalty)[2]
+    with settled(talent_rows(xkill)) as rows:
+        terms = talent_terms(rows, roster, min_games)
+        table = fit_ridge_logistic(rows, F.col("outcome"), terms, ["kill_prob"], penalty)[2]
     odds = F.exp("estimate")
     return table.select(
         F.col("term").alias("name"), "estimate", odds.alias("odds"),
@@ -229,75 +234,61 @@ def talent_log_loss(
     penalty: float = 0.0,
 ) -> DataFrame:
     """Held-out log loss of the talent model."""
-    rows = with_fold(talent_rows(xkill), [*EVENT, "type"], folds)
-    terms = talent_terms(rows, roster, min_games)
-    return cross_validate(
-        rows, F.col("outcome"), terms, ["kill_prob"], [penalty], folds, "logistic"
-    )
+    with settled(with_fold(talent_rows(xkill), [*EVENT, "type"], folds)) as rows:
+        terms = talent_terms(rows, roster, min_games)
+        return cross_validate(
+            rows, F.col("outcome"), terms, ["kill_prob"], [penalty], folds, "logistic"
+        )
+
 
+def shot_quality_rows(xkill: DataFrame, shifts: DataFrame) -> DataFrame:
+    """The first event of each shift: the victim's expected share, who was alive where.
 
-def shot_quality_rows(xkill: DataFrame, alive: DataFrame, shifts: DataFrame) -> DataFrame:
-    """The first event of each shift: the victim's expected share, who was alive where."""
-    first = shifts.select(*EVENT, "adv")
+    ``shifts`` comes from ``side_terms``.
+    """
     victims = xkill.filter((F.col("type") == "id") & F.col("xkill").isNotNull())
-    terms = collect_terms(
-        alive, EVENT, F.concat_ws("_", "player_id", "type"), F.col("alive") == 1
-    )
-    rows = victims.select(*EVENT, "xkill").join(first, EVENT).join(terms, EVENT)
+    rows = victims.select(*EVENT, "xkill").join(shifts.select(*EVENT, "adv", "terms"), EVENT)
     return add_term(rows, level_term("adv"))
 
 
-def shot_quality_terms(rows, roster, shifts, min_games, baseline_player=None):
-    adv = level_terms(shifts, "adv")
-    return varying_terms(
-        rows, adv + player_terms(roster, ["AGAINST", "FOR"], min_games, baseline_player)
-    )
-
-
 def shot_quality_model(
-    xkill: DataFrame, alive: DataFrame, shifts: DataFrame, roster: DataFrame,
-    min_games: int = params.MIN_GAMES, penalty: float = 1e-9,
+    xkill: DataFrame, shifts: DataFrame, roster: DataFrame, min_games: int = params.MIN_GAMES,
+    penalty: float = 1e-9, baseline_player: str | None = None,
 ) -> DataFrame:
     """Ridge linear fit of expected kills on advantage and players, as a player table."""
-    rows = shot_quality_rows(xkill, alive, shifts)
-    terms = shot_quality_terms(rows, roster, shifts, min_games)
-    table = fit_ridge_linear(rows, F.col("xkill"), terms, penalty=penalty)[2]
+    players = player_terms(roster, ["AGAINST", "FOR"], min_games, baseline_player)
+    with settled(shot_quality_rows(xkill, shifts)) as rows:
+        terms = varying_terms(rows, players, "adv")
+        table = fit_ridge_linear(rows, F.col("xkill"), terms, penalty=penalty)[2]
     return player_table(table, ["AGAINST", "FOR"], "FOR", "AGAINST")
 
 
 def shot_quality_grid(
-    xkill: DataFrame, alive: DataFrame, shifts: DataFrame, roster: DataFrame,
-    min_games: int = params.MIN_GAMES, penalties: list[float] | None = None, folds: int = 10,
+    xkill: DataFrame, shifts: DataFrame, roster: DataFrame, min_games: int = params.MIN_GAMES,
+    penalties: list[float] | None = None, folds: int = 10, baseline_player: str | None = None,
 ) -> DataFrame:
     """Held-out error of the shot quality fit over a grid of penalties."""
-    rows = with_fold(shot_quality_rows(xkill, alive, shifts), EVENT, folds)
-    terms = shot_quality_terms(rows, roster, shifts, min_games)
-    return cross_validate(rows, F.col("xkill"), terms, None, penalties, folds, "linear")
-
-
-def pace_rows(pace: DataFrame, alive: DataFrame) -> DataFrame:
-    """Every event with a duration: its state and who was alive on which side."""
-    terms = collect_terms(
-        alive, EVENT, F.concat_ws("_", "player_id", "type"), F.col("alive") == 1
-    )
-    rows = pace.filter(F.col("duration").isNotNull()).join(terms, EVENT)
-    return add_term(rows, level_term("state"))
+    players = player_terms(roster, ["AGAINST", "FOR"], min_games, baseline_player)
+    with settled(with_fold(shot_quality_rows(xkill, shifts), EVENT, folds)) as rows:
+        terms = varying_terms(rows, players, "adv")
+        return cross_validate(rows, F.col("xkill"), terms, None, penalties, folds, "linear")
 
 
 def pace_fit(
-    pace: DataFrame, alive: DataFrame, roster: DataFrame, min_games: int = params.MIN_GAMES,
+    pace: DataFrame, roster: DataFrame, min_games: int = params.MIN_GAMES,
     folds: int = 4, levels: int = 10, rule: str = "1se", seed: int = 7,
 ) -> CoxFit:
-    """Ridge Cox fit of the time between events."""
-    rows = pace_rows(pace, alive)
-    allowed = level_terms(pace, "state") + player_terms(
-        roster, ["AGAINST", "FOR"], min_games, ""
-    )
-    terms = varying_terms(rows, allowed)
+    """Ridge Cox fit of the time between events on its state and on who was alive where.
+
+    ``pace`` comes from ``side_terms``.
+    """
+    timed = pace.filter(F.col("duration").isNotNull())
+    rows = add_term(timed.select(*EVENT, "state", "model_ms", "terms"), level_term("state"))
+    players = player_terms(roster, ["AGAINST", "FOR"], min_games, "")
     train, _ = train_test_split(rows, EVENT, seed)
-    return fit_cox(
-        with_fold(train, EVENT, folds), "model_ms", terms, folds, levels=levels, rule=rule
-    )
+    with settled(with_fold(train, EVENT, folds)) as kept:
+        terms = varying_terms(kept, players, "state")
+        return fit_cox(kept, "model_ms", terms, folds, levels=levels, rule=rule)
 
 
 def pace_table(fit: CoxFit) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import clip_gap
-from .scan import SLICE, group_keys, scan
+from .scan import SLICE, event_keys, group_keys, scan
 
 VICTIM, KILLER = "id", "attacker_id"
 
@@ -44,7 +44,10 @@ def event_sequence(deaths: DataFrame, tie_breaker: str | None = None) -> DataFra
 
 
 def engagement_long(sequence: DataFrame) -> DataFrame:
-    """Two rows per event, the victim's first; both ids of the event stay on the row."""
+    """Two rows per event, the victim's first; both ids of the event stay on the row.
+
+    A state and advantage of the event, if the feed has them, stay as well.
+    """
     sides = F.explode(
         F.array(
             F.struct(F.lit(VICTIM).alias("type"), F.lit(0).alias("role_ord"),
@@ -53,7 +56,7 @@ def engagement_long(sequence: DataFrame) -> DataFrame:
                      F.col(KILLER).alias("player"), F.col(VICTIM).alias("other_player")),
         )
     )
-    kept = group_keys(sequence, "match_id", "event_id", "time_ms")
+    kept = event_keys(sequence, "time_ms")
     return sequence.select(*kept, F.col(VICTIM).alias("victim"), sides.alias("side")).select(
         *kept, "victim", "side.*"
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SLICE = "slice_id"
+EVENT_COLUMNS = ("state", "adv")
 MAX_GROUP_ROWS = 1_000_000
 MAX_BROADCAST_GROUPS = 100_000
 
@@ -57,6 +58,16 @@ def group_keys(df: DataFrame, *keys: str) -> list[str]:
     return [*keys, SLICE] if SLICE in df.columns else list(keys)
 
 
+def event_keys(df: DataFrame, *more: str) -> list[str]:
+    """The columns that name an event, and those that hold for the event as a whole.
+
+    State and advantage, once computed, travel on the rows of their event: grouping by them
+    as well changes nothing and saves the join that would bring them back.
+    """
+    shared = [c for c in EVENT_COLUMNS if c in df.columns]
+    return group_keys(df, "match_id", "event_id", *more, *shared)
+
+
 def scan(
     df: DataFrame,
     by: list[str],

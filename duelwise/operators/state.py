@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import params
 from .feed import KILLER, VICTIM
 from .reshape import gather, role_terms, spread, sum_matrix
-from .scan import SLICE, group_keys, scan
+from .scan import SLICE, event_keys, group_keys, scan
 
 EVENT = ["match_id", "event_id", "time_ms", VICTIM, KILLER]
 
@@ -42,9 +42,10 @@ def team_of(player: str) -> Column:
 def event_roster(sequence: DataFrame, roster: DataFrame) -> DataFrame:
     """Every event with every player of the match, FOR or AGAINST the killer's team.
 
-    A killer who is missing or not on the roster leaves everyone AGAINST.
+    A killer who is missing or not on the roster leaves everyone AGAINST. Further columns of
+    the feed are kept.
     """
-    event = group_keys(sequence, *EVENT)
+    event = sequence.columns
     return (
         with_roster(sequence, roster)
         .withColumn("killer_team", team_of(KILLER))
@@ -84,14 +85,18 @@ def alive_matrix(alive: DataFrame, players: list[str]) -> DataFrame:
     )
 
 
-def trader_roles(alive: DataFrame) -> DataFrame:
-    """Event-roster rows with role DEAD, KILLER or AGAINST; the killer's team-mates go."""
-    role = (
+def trader_role() -> Column:
+    """DEAD or KILLER for the players of the event, else the side of the roster row."""
+    return (
         F.when(F.col("player_id") == F.col(VICTIM), "DEAD")
         .when(F.col("player_id") == F.col(KILLER), "KILLER")
         .otherwise(F.col("type"))
     )
-    return alive.withColumn("type", role).filter(F.col("type") != "FOR")
+
+
+def trader_roles(alive: DataFrame) -> DataFrame:
+    """Event-roster rows with role DEAD, KILLER or AGAINST; the killer's team-mates go."""
+    return alive.withColumn("type", trader_role()).filter(F.col("type") != "FOR")
 
 
 def trader_matrix(alive: DataFrame, players: list[str]) -> DataFrame:
@@ -102,17 +107,23 @@ def trader_matrix(alive: DataFrame, players: list[str]) -> DataFrame:
     )
 
 
-def manpower_state(alive: DataFrame) -> DataFrame:
+def manpower_state(
+    alive: DataFrame, terms: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Players alive for and against the killer at each event, as ``AvB`` and difference.
 
     An aggregate per event on the match's partitioning: nothing is pivoted or shuffled.
+    Both ids stay, so that engagement features can be computed on the result and carry the
+    state with them. ``terms`` is a text column of the roster row; those that are not NULL
+    are gathered per event. ``keep`` names further columns of the event.
     """
     def side(name: str):
         return F.sum(F.when(F.col("type") == name, F.col("alive")).otherwise(0))
 
+    gathered = [] if terms is None else [F.collect_list(terms).alias("terms")]
     return (
-        alive.groupBy(*group_keys(alive, "match_id", "event_id", "time_ms"))
-        .agg(side("FOR").alias("for_alive"), side("AGAINST").alias("against_alive"))
+        alive.groupBy(*group_keys(alive, *EVENT, *keep))
+        .agg(side("FOR").alias("for_alive"), side("AGAINST").alias("against_alive"), *gathered)
         .withColumns({
             "state": F.concat(F.col("for_alive").cast("string"), F.lit("v"),
                               F.col("against_alive").cast("string")),
@@ -135,9 +146,7 @@ def state_shifts(states: DataFrame, start: str = params.START_STATE) -> DataFram
     changed = F.col("state") != F.coalesce(F.col("prev_state"), F.lit(start))
     rows = scan(rows, ["match_id"], order, total={"shift_index": changed.cast("long")})
     first = changed | F.col("prev_state").isNull()
-    return rows.filter(first).select(
-        *group_keys(states, "match_id", "event_id"), "time_ms", "state", "adv", "shift_index"
-    )
+    return rows.filter(first).drop("prev_state", "for_alive", "against_alive")
 
 
 def engagement_pace(states: DataFrame) -> DataFrame:
@@ -149,7 +158,7 @@ def engagement_pace(states: DataFrame) -> DataFrame:
     rows = scan(states, ["match_id"], ["event_id"], previous={"prev_time": "time_ms"})
     duration = F.col("time_ms") - F.col("prev_time")
     return rows.select(
-        *group_keys(states, "match_id", "event_id"), "state", "adv",
+        *event_keys(states), *(["terms"] if "terms" in states.columns else []),
         duration.alias("duration"),
         F.try_divide(F.lit(60000.0), duration).alias("epm"),
         F.lit(1).alias("shot"),
@@ -164,10 +173,13 @@ def event_lengths(sequence: DataFrame) -> DataFrame:
     return rows.withColumn("event_len", gap).drop("prev_time")
 
 
-def team_advantage(sequence: DataFrame, roster: DataFrame, states: DataFrame) -> DataFrame:
-    """Both players of each event with the man-power advantage seen from their team."""
-    keys = group_keys(sequence, "match_id", "event_id")
-    event = with_roster(event_lengths(sequence), roster).join(states.select(*keys, "adv"), keys)
+def team_advantage(states: DataFrame, roster: DataFrame) -> DataFrame:
+    """Both players of each event with the man-power advantage seen from their team.
+
+    ``states`` is the feed with its states.
+    """
+    keys = group_keys(states, "match_id", "event_id")
+    event = with_roster(event_lengths(states), roster)
     sides = F.explode(
         F.array(
             F.struct(F.lit(VICTIM).alias("type"), F.lit(0).alias("role_ord"),

@@ -9,7 +9,7 @@ from .. import params
 from .feed import KILLER, VICTIM
 from .ranking import league_mean, percent_rank_by
 from .reshape import gather, presence_matrix, role_terms
-from .scan import group_keys, scan
+from .scan import EVENT_COLUMNS, event_keys, scan
 
 
 def trade_outcomes(long: DataFrame, trade_ms: int = params.TRADE_MS) -> DataFrame:
@@ -25,8 +25,7 @@ def trade_outcomes(long: DataFrame, trade_ms: int = params.TRADE_MS) -> DataFram
     )
     answered = F.col("next_time") - F.col("time_ms") < trade_ms
     return ahead.filter(F.col("type") == KILLER).select(
-        *group_keys(long, "match_id", "event_id"),
-        "time_ms",
+        *event_keys(long, "time_ms"),
         F.col("victim").alias(VICTIM),
         F.col("player").alias(KILLER),
         F.when(answered, F.col("next_other")).alias("other_player"),
@@ -46,7 +45,7 @@ def was_traded(outcomes: DataFrame) -> DataFrame:
 def trades_only(outcomes: DataFrame) -> DataFrame:
     """Events with an attempted trade: killer, victim, follow-up opponent and result."""
     return outcomes.filter(F.col("trade_win").isNotNull()).select(
-        "match_id", "event_id", "time_ms", VICTIM, KILLER,
+        *event_keys(outcomes, "time_ms"), VICTIM, KILLER,
         F.col(KILLER).alias("player"), "other_player",
         F.col("trade_att").alias("in_trade_eng"), F.col("trade_win").alias("traded"),
     )
@@ -61,11 +60,12 @@ def trade_engs(outcomes: DataFrame) -> DataFrame:
 
 def trade_roles_long(trades: DataFrame) -> DataFrame:
     """Attempted trades by role: P1 the killer, P2 the victim, P3 the follow-up opponent."""
+    ids = [*event_keys(trades), "traded"]
     roles = trades.select(
-        "match_id", "event_id", "traded",
+        *ids,
         F.col(KILLER).alias("P1"), F.col(VICTIM).alias("P2"), F.col("other_player").alias("P3"),
     )
-    return roles.unpivot(["match_id", "event_id", "traded"], ["P1", "P2", "P3"], "p", "player_id")
+    return roles.unpivot(ids, ["P1", "P2", "P3"], "p", "player_id")
 
 
 def trade_role_matrix(roles: DataFrame, players: list[str]) -> DataFrame:
@@ -80,7 +80,7 @@ def marked_trades(steps: DataFrame) -> DataFrame:
     """Rows outside the after-respawn window, with ``trade_kill``: exactly one player of
     the event is in a trade. The mark is taken over both rows of the event.
     """
-    event = group_keys(steps, "match_id", "event_id")
+    event = event_keys(steps)
     marks = steps.groupBy(*event).agg(
         F.bool_or("in_trade_eng").alias("some"), F.bool_and("in_trade_eng").alias("every"),
         F.collect_list(
@@ -114,7 +114,7 @@ def trade_triplets(steps: DataFrame, strict: bool = False) -> DataFrame:
     carried on the row, so no join back to the earlier event is needed.
     """
     shown = ~F.col("pdk")
-    event = group_keys(steps, "match_id", "event_id")
+    event = event_keys(steps)
     counted = shown if not strict else shown & F.col("in_trade_eng")
     events = (
         steps.groupBy(*event)
@@ -140,18 +140,25 @@ def trade_triplets(steps: DataFrame, strict: bool = False) -> DataFrame:
     )
 
 
-def trade_triplet_matrix(triplets: DataFrame, states: DataFrame, players: list[str]) -> DataFrame:
+def with_event_columns(rows: DataFrame, states: DataFrame | None, *columns: str) -> DataFrame:
+    """Rows with columns of their event's state: those they carry, or else by a join."""
+    if all(c in rows.columns for c in columns):
+        return rows
+    keys = ["match_id", "event_id"]
+    return rows.drop(*EVENT_COLUMNS).join(states.select(*keys, *columns), keys, "left")
+
+
+def trade_triplet_matrix(
+    triplets: DataFrame, players: list[str], states: DataFrame | None = None
+) -> DataFrame:
     """``player_TYPE`` indicators of each triplet event beside its man-power state."""
-    wide = presence_matrix(
-        triplets, ["match_id", "event_id", "win"], F.concat_ws("_", "player", "type"),
-        role_terms(players, ["AGAINST", "DEAD", "TRADE"]),
-    )
-    return wide.join(
-        states.select("match_id", "event_id", "state"), ["match_id", "event_id"], "left"
+    return presence_matrix(
+        with_event_columns(triplets, states, "state"), ["match_id", "event_id", "win", "state"],
+        F.concat_ws("_", "player", "type"), role_terms(players, ["AGAINST", "DEAD", "TRADE"]),
     )
 
 
-def state_by_role(triplets: DataFrame, states: DataFrame) -> DataFrame:
+def state_by_role(triplets: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """The man-power state seen from the side of each role's player."""
     sides = F.split("state", "v")
     own, other = sides.getItem(0), sides.getItem(1)
@@ -159,11 +166,8 @@ def state_by_role(triplets: DataFrame, states: DataFrame) -> DataFrame:
     seen = F.when(killer_side, F.concat(own, F.lit("v"), other)).when(
         ~killer_side, F.concat(other, F.lit("v"), own)
     )
-    return (
-        triplets.join(
-            states.select("match_id", "event_id", "state"), ["match_id", "event_id"], "left"
-        )
-        .select("match_id", "event_id", "win", "type", "player", seen.alias("state"))
+    return with_event_columns(triplets, states, "state").select(
+        "match_id", "event_id", "win", "type", "player", seen.alias("state")
     )
 
 

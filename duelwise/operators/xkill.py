@@ -9,7 +9,8 @@ from .. import params
 from ..functions import odds_to_probability
 from .feed import KILLER, VICTIM
 from .reshape import presence_matrix
-from .scan import group_keys
+from .trades import with_event_columns
+from .scan import EVENT_COLUMNS, event_keys
 
 FEATURES = ["player", "pkk", "tsla", "pdk", "in_trade_eng"]
 
@@ -24,7 +25,7 @@ def duels(steps: DataFrame) -> DataFrame:
             F.when(F.col("type") == role, F.struct(*FEATURES)), ignorenulls=True
         ).alias(name)
 
-    return steps.groupBy(*group_keys(steps, "match_id", "event_id")).agg(
+    return steps.groupBy(*event_keys(steps)).agg(
         side(VICTIM, "v"), side(KILLER, "k")
     )
 
@@ -65,7 +66,7 @@ def xkill_pairs(steps: DataFrame, seed: int = 0) -> DataFrame:
         return F.when(y_is_victim, F.col(f"{first}.{field}")).otherwise(F.col(f"{second}.{field}"))
 
     return both.select(
-        *group_keys(steps, "match_id", "event_id"),
+        *event_keys(steps),
         *[
             pick(field, s).alias(f"{name}_{s}")
             for s in ("x", "y")
@@ -95,7 +96,7 @@ def xkill_closed_form(
         + both * one(F.col("pkk_x") & F.col("pkk_y"))
     )
     p = odds_to_probability(F.exp(log_odds))
-    keys = group_keys(pairs, "match_id", "event_id")
+    keys = event_keys(pairs)
     sides = F.explode(
         F.array(
             F.struct(F.col("player_x").alias("player"), F.col("p").alias("pred_win"),
@@ -107,12 +108,14 @@ def xkill_closed_form(
     return pairs.withColumn("p", p).select(*keys, sides.alias("s")).select(*keys, "s.*")
 
 
-def trade_situation(scores: DataFrame, states: DataFrame) -> DataFrame:
+def trade_situation(scores: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """Each scored side with its trade situation, and the advantage from its own view.
 
     BOTH players are in a trade, only this one (SOLO), only the OTHER, or NONE.
     """
-    keys = group_keys(scores, "match_id", "event_id")
+    scores = with_event_columns(scores, states, "adv")
+    keys = event_keys(scores)
+    kept = [k for k in keys if k not in EVENT_COLUMNS]
     marks = scores.groupBy(*keys).agg(
         F.bool_or("in_trade").alias("some"), F.bool_and("in_trade").alias("every"),
         F.collect_list(F.struct("player", "pred_win", "win", "in_trade")).alias("sides"),
@@ -126,9 +129,8 @@ def trade_situation(scores: DataFrame, states: DataFrame) -> DataFrame:
     return (
         marks.select(*keys, "some", "every", F.explode("sides").alias("s"))
         .select(*keys, "some", "every", "s.*")
-        .join(states.select(*keys, "adv"), keys, "left")
         .select(
-            *keys, "player", "pred_win", "win", "in_trade", situation.alias("trade_sit"),
+            *kept, *(["state"] if "state" in keys else []), "player", "pred_win", "win", "in_trade", situation.alias("trade_sit"),
             F.when(F.col("win"), F.col("adv")).otherwise(-F.col("adv")).alias("adv"),
         )
     )

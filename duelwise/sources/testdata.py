@@ -176,8 +176,14 @@ class Feed:
         return xkill.xkill_pairs(feed.engagements(self.sequence, gap_cap_ms=30000))
 
     @cached_property
-    def scores(self) -> DataFrame:
-        return xkill.xkill_closed_form(self.pairs)
+    def state_outcomes(self) -> DataFrame:
+        """Trade outcomes of the feed with its states, which stay on the rows."""
+        return trades.trade_outcomes(feed.engagement_long(self.states))
+
+    @cached_property
+    def state_scores(self) -> DataFrame:
+        pairs = xkill.xkill_pairs(feed.engagements(self.states, gap_cap_ms=30000))
+        return xkill.xkill_closed_form(pairs)
 
     # Stand-ins for fitted coefficients, as observed odds with one added to each count.
 

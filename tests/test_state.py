@@ -65,7 +65,7 @@ def test_pace_and_lengths(spark):
 def test_team_views_mirror_each_other(spark):
     sequence, alive = alive_of(spark, (10000, "a1", "b1"), (12000, "a2", "b1"), (13000, "b2", "a3"))
     states = state.manpower_state(alive)
-    rows = state.team_advantage(sequence, roster(spark), states)
+    rows = state.team_advantage(states, roster(spark))
     assert rows.groupBy("event_id").agg(F.sum("adv").alias("s")).filter("s <> 0").count() == 0
     a = keyed(rows.filter("team = 'A'"), ["event_id"], "adv", "previous_adv", "event_len")
     assert a == {1: (0, 0, 10000), 2: (-1, 0, 2000), 3: (-2, -1, 1000)}
