@@ -9,17 +9,24 @@ coefficient matrix is one pair of penalty and left-out fold: a pass serves all o
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .design import assemble, correlations, deviations
 from .fits import terms_frame
 
-MAX_CELLS = 50_000_000
+# The task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+MAX_CELLS = 50_000_000  # of the driver's table by duration
+MAX_DENSE = 5_000_000   # of a task's indicator matrix
+MAX_HELD = 100_000      # durations that a task holds before it merges them
 
 
 @dataclass
@@ -33,31 +40,50 @@ class CoxFit:
     table: DataFrame
 
 
-def _eta(indices: pd.Series, beta: np.ndarray) -> np.ndarray:
-    """Sum of the coefficient rows of each row's terms."""
+def _indicators(indices: pd.Series, width: int) -> np.ndarray:
+    """Rows by terms, with the number of times that each term holds in the row."""
     sizes = indices.map(len).to_numpy()
-    total = np.zeros((len(sizes), beta.shape[1]))
+    cells = np.zeros(0, dtype=np.int64)
     if sizes.sum():
         flat = np.concatenate(indices.to_numpy()).astype(np.int64)
-        np.add.at(total, np.repeat(np.arange(len(sizes)), sizes), beta[flat])
-    return total
+        cells = np.repeat(np.arange(len(sizes)), sizes) * width + flat
+    return np.bincount(cells, minlength=len(sizes) * width).reshape(-1, width).astype(float)
+
+
+def _pieces(batches, width: int):
+    """Batches cut so that a dense indicator matrix of a piece stays small."""
+    step = max(1, MAX_DENSE // max(1, width))
+    for batch in batches:
+        for start in range(0, len(batch), step):
+            yield batch.iloc[start : start + step]
+
 
+def _by_time(times: np.ndarray, cells: np.ndarray):
+    """Sums of the rows of each distinct time, in order."""
+    order = np.argsort(times, kind="stable")
+    distinct, starts = np.unique(times[order], return_index=True)
+    return distinct, np.add.reduceat(cells[order], starts, axis=0)
 
-def _hazard_sums(beta: np.ndarray, left_out: np.ndarray, columns: list[str]):
+
+def _hazard_sums(beta: np.ndarray, left_out: np.ndarray, folds: np.ndarray, columns: list[str]):
+    """Per duration: sum of exp(eta) per column and row count per fold set. Key -1: sum of eta."""
     def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            eta = _eta(batch["idx"], beta)
-            used = batch["fold"].to_numpy()[:, None] != left_out[None, :]
-            cells = np.hstack([used * np.exp(eta), used * eta, used])
-            times, place = np.unique(batch["duration"].to_numpy(), return_inverse=True)
-            grouped = np.zeros((len(times), cells.shape[1]))
-            np.add.at(grouped, place, cells)
-            for time, row in zip(times.tolist(), grouped):
-                sums[time] = sums[time] + row if time in sums else row
-        if sums:
-            frame = pd.DataFrame(np.array(list(sums.values())), columns=columns)
-            frame.insert(0, "key", list(sums))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        eta_total = np.zeros(len(left_out))
+        for batch in _pieces(batches, len(beta)):
+            fold = batch["fold"].to_numpy()[:, None]
+            eta = _indicators(batch["idx"], len(beta)) @ beta
+            used = fold != left_out
+            eta_total += (used * eta).sum(axis=0)
+            cells = np.hstack([used * np.exp(eta), fold != folds])
+            held.append(_by_time(batch["duration"].to_numpy(), cells))
+            if sum(len(t) for t, _ in held) > MAX_HELD:
+                held = [_by_time(*map(np.concatenate, zip(*held)))]
+        if held:
+            times, sums = _by_time(*map(np.concatenate, zip(*held)))
+            tail = np.concatenate([eta_total, np.zeros(len(folds))])
+            frame = pd.DataFrame(np.vstack([sums, tail]), columns=columns)
+            frame.insert(0, "key", np.append(times, -1))
             yield frame
     return run
 
@@ -65,15 +91,11 @@ def _hazard_sums(beta: np.ndarray, left_out: np.ndarray, columns: list[str]):
 def _gradient_sums(beta, left_out, times, hazard, columns: list[str]):
     def run(batches):
         total = np.zeros_like(beta)
-        for batch in batches:
-            eta = _eta(batch["idx"], beta)
-            used = batch["fold"].to_numpy()[:, None] != left_out[None, :]
+        for batch in _pieces(batches, len(beta)):
+            held = _indicators(batch["idx"], len(beta))
+            used = batch["fold"].to_numpy()[:, None] != left_out
             at = np.searchsorted(times, batch["duration"].to_numpy())
-            weight = used * (1.0 - np.exp(eta) * hazard[at])
-            sizes = batch["idx"].map(len).to_numpy()
-            if sizes.sum():
-                flat = np.concatenate(batch["idx"].to_numpy()).astype(np.int64)
-                np.add.at(total, flat, np.repeat(weight, sizes, axis=0))
+            total += held.T @ (used * (1.0 - np.exp(held @ beta) * hazard[at]))
         frame = pd.DataFrame(total, columns=columns)
         frame.insert(0, "key", np.arange(len(beta)))
         yield frame
@@ -92,26 +114,33 @@ def _grouped(rows: DataFrame, task, columns: list[str]) -> tuple[np.ndarray, np.
     return sums["key"].to_numpy(), sums[columns].to_numpy()
 
 
-def evaluate(rows: DataFrame, beta: np.ndarray, left_out: np.ndarray):
-    """Log partial likelihood, its gradient and the row count, per column of ``beta``."""
+def evaluate(rows: DataFrame, beta: np.ndarray, left_out: np.ndarray, slope: bool = True):
+    """Log partial likelihood, its gradient and the row count, per column of ``beta``.
+
+    Without ``slope`` the second pass is saved and the gradient is zero.
+    """
     width = beta.shape[1]
-    columns = [f"{name}{k}" for name in ("r", "e", "d") for k in range(width)]
-    times, cells = _grouped(rows, _hazard_sums(beta, left_out, columns), columns)
-    risk, eta, count = cells[:, :width], cells[:, width : 2 * width], cells[:, 2 * width :]
-    at_risk = np.cumsum(risk[::-1], axis=0)[::-1]
+    folds, place = np.unique(left_out, return_inverse=True)
+    columns = [f"r{k}" for k in range(width)] + [f"d{f}" for f in range(len(folds))]
+    keys, cells = _grouped(rows, _hazard_sums(beta, left_out, folds, columns), columns)
+    eta, times, cells = cells[0, :width], keys[1:], cells[1:]
+    count = cells[:, width:]
+    at_risk = np.cumsum(cells[::-1, :width], axis=0)[::-1]
     safe = np.where(at_risk > 0, at_risk, 1.0)
-    hazard = np.cumsum(count / safe, axis=0)
-    likelihood = eta.sum(axis=0) - (count * np.log(safe)).sum(axis=0)
+    hazard = np.cumsum(count[:, place] / safe, axis=0)
+    likelihood = eta - (count[:, place] * np.log(safe)).sum(axis=0)
+    if not slope:
+        return likelihood, np.zeros_like(beta), count.sum(axis=0)[place]
     names = [f"g{k}" for k in range(width)]
     _, gradient = _grouped(rows, _gradient_sums(beta, left_out, times, hazard, names), names)
-    return likelihood, gradient, count.sum(axis=0)
+    return likelihood, gradient, count.sum(axis=0)[place]
 
 
-def evaluate_blocks(rows: DataFrame, beta: np.ndarray, left_out: np.ndarray, n_times: int):
+def evaluate_blocks(rows, beta: np.ndarray, left_out: np.ndarray, n_times: int, slope=True):
     """``evaluate`` on as many columns at a time as keep the driver's tables bounded."""
-    block = max(1, MAX_CELLS // max(1, 3 * n_times))
+    block = max(1, MAX_CELLS // max(1, n_times))
     parts = [
-        evaluate(rows, beta[:, i : i + block], left_out[i : i + block])
+        evaluate(rows, beta[:, i : i + block], left_out[i : i + block], slope)
         for i in range(0, beta.shape[1], block)
     ]
     return tuple(np.concatenate([p[j] for p in parts], axis=-1) for j in range(3))
@@ -150,7 +179,7 @@ def _minimise(objective, start: np.ndarray, inverses: list[np.ndarray], iteratio
 def fit_cox(
     df: DataFrame, duration: str, terms: list[str], folds: int = 4,
     penalties: list[float] | None = None, levels: int = 10, rule: str = "1se",
-    iterations: int = 60, tol: float = 1e-7,
+    iterations: int = 60, tol: float = 1e-6,
 ) -> CoxFit:
     """Ridge Cox regression of ``duration`` on the indicator ``terms`` of each row.
 
@@ -190,8 +219,8 @@ def fit_cox(
     beta = _minimise(objective, np.zeros((size, len(level_of))), inverses, iterations, tol)
 
     held = fold_of >= 0
-    whole, _, n_all = evaluate_blocks(rows, beta[:, held], np.full(held.sum(), -1), n_times)
-    inside, _, n_in = evaluate_blocks(rows, beta[:, held], fold_of[held], n_times)
+    whole, _, n_all = evaluate_blocks(rows, beta[:, held], np.full(held.sum(), -1), n_times, False)
+    inside, _, n_in = evaluate_blocks(rows, beta[:, held], fold_of[held], n_times, False)
     weights = (n_all - n_in).reshape(folds, -1)
     deviance = (-2 * (whole - inside)).reshape(folds, -1) / np.maximum(weights, 1)
     mean = np.average(deviance, axis=0, weights=weights)

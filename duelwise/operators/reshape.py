@@ -48,12 +48,24 @@ def spread(
     return df.groupBy(*ids).pivot(names, levels).agg(F.first(values, ignorenulls=True))
 
 
+def unfold(df: DataFrame, ids: list[str], columns: list[str], name: str, value: str) -> DataFrame:
+    """Columns of one type to rows.
+
+    An explode of structs rather than ``unpivot``: two uses of the result then share one
+    shuffle, which Spark does not recognise for the plan that ``unpivot`` makes.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(c).alias(name), F.col(c).alias(value)) for c in columns
+    ])
+    return df.select(*ids, F.explode(cells).alias("cell")).select(*ids, "cell.*")
+
+
 def gather(
     df: DataFrame, ids: list[str], columns: list[str], name: str = "stat", value: str = "value"
 ) -> DataFrame:
     """Columns to rows, as doubles."""
     aligned = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
-    return aligned.unpivot(ids, columns, name, value)
+    return unfold(aligned, ids, columns, name, value)
 
 
 def role_terms(players: list[str], roles: list[str]) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import params
 from .feed import KILLER, VICTIM
 from .ranking import league_mean, percent_rank_by
-from .reshape import gather, presence_matrix, role_terms
+from .reshape import gather, presence_matrix, role_terms, unfold
 from .scan import EVENT_COLUMNS, event_keys, scan
 
 
@@ -65,7 +65,7 @@ def trade_roles_long(trades: DataFrame) -> DataFrame:
         *ids,
         F.col(KILLER).alias("P1"), F.col(VICTIM).alias("P2"), F.col("other_player").alias("P3"),
     )
-    return roles.unpivot(ids, ["P1", "P2", "P3"], "p", "player_id")
+    return unfold(roles, ids, ["P1", "P2", "P3"], "p", "player_id")
 
 
 def trade_role_matrix(roles: DataFrame, players: list[str]) -> DataFrame:
@@ -132,12 +132,12 @@ def trade_triplets(steps: DataFrame, strict: bool = False) -> DataFrame:
         .filter(F.col("some") & ~F.col("every"))
     )
     roles = ["AGAINST", "TRADE", "DEAD"]
-    return (
+    trios = (
         events.withColumn("win", F.col("killer") == F.col("TRADE"))
         .select(*event, "win", "AGAINST", "TRADE", F.explode("fallen").alias("gone"))
         .select(*event, "win", "AGAINST", "TRADE", F.col("gone.DEAD").alias("DEAD"))
-        .unpivot([*event, "win"], roles, "type", "player")
     )
+    return unfold(trios, [*event, "win"], roles, "type", "player")
 
 
 def with_event_columns(rows: DataFrame, states: DataFrame | None, *columns: str) -> DataFrame:
@@ -189,21 +189,24 @@ def trade_success(
             F.countDistinct("match_id").alias("games"),
         )
     )
+    # The conditions on w and games change no row. They keep the columns of both uses of the
+    # table the same, so that Spark runs its aggregation once and reuses the exchange.
     least = min_n if league_min_n is None else league_min_n
+    counted = (F.col("n") > least) & (F.col("w") >= 0) & (F.col("games") > 0)
     return table.filter(F.col("n") > min_n).select(
         "player", "type", "w", (F.col("n") - F.col("w")).alias("l"), "w_pct", "n",
         (F.col("n") / F.col("games")).alias("sit_per_game"),
-        league_mean(table, "w_pct", F.col("n") > least).alias("league_w_pct"),
+        league_mean(table, "w_pct", counted).alias("league_w_pct"),
     )
 
 
 def trade_counts(outcomes: DataFrame) -> DataFrame:
     """Events by player, role, trade attempted and trade won (both NULL without a trade)."""
-    return (
-        outcomes.select(VICTIM, KILLER, "other_player", "trade_att", "trade_win")
-        .unpivot(["trade_att", "trade_win"], [VICTIM, KILLER, "other_player"], "type", "player_id")
-        .groupBy("player_id", "type", "trade_att", "trade_win")
-        .agg(F.count(F.lit(1)).alias("n"))
+    rows = unfold(
+        outcomes, ["trade_att", "trade_win"], [VICTIM, KILLER, "other_player"], "type", "player_id"
+    )
+    return rows.groupBy("player_id", "type", "trade_att", "trade_win").agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 

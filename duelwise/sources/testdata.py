@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import feed, state, trades, xkill
+from ..operators.reshape import unfold
 from ..operators.scan import MAX_GROUP_ROWS, slice_hot_groups
 from .readers import read_table, roster_of
 
@@ -232,6 +233,6 @@ class Feed:
 
 def _observed_odds(rows: DataFrame, roles: list[str]) -> DataFrame:
     hits = F.count_if(F.col("hit"))
-    return rows.unpivot(["hit"], roles, "type", "player").groupBy("player", "type").agg(
+    return unfold(rows, ["hit"], roles, "type", "player").groupBy("player", "type").agg(
         ((hits + 1) / (F.count(F.lit(1)) - hits + 1)).alias("estimate")
     )
