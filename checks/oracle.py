@@ -502,8 +502,11 @@ def statements(
         "one_per_group": "SELECT match_id, event_id, type, player FROM (SELECT *, row_number() OVER (PARTITION BY match_id, event_id ORDER BY h) AS place FROM hashed) WHERE place = 1",
         "train_test_split": "SELECT match_id, event_id, CAST('0x' || substr(md5(match_id || '|' || event_id || '|7'), 1, 8) AS BIGINT) % 1000000 < 750000 AS is_train FROM seq",
         "varying_terms": "SELECT term, n FROM (SELECT player_id || '_' || p AS term, count(DISTINCT match_id || '|' || event_id) AS n FROM roles GROUP BY 1) WHERE n < (SELECT count(*) FROM outcomes WHERE trade_att)",
-        "odds_ratio_delta": "SELECT player_id, round((beta_1 - 1) * (kill_pct / (1 - kill_pct)) / (1 + (beta_1 - 1) * (kill_pct / (1 - kill_pct))), 6) AS delta FROM betas JOIN rates USING (player_id)",
+        "odds_ratio_delta": f"SELECT player_id, round((beta_1 - 1) * (kill_pct / (1 - kill_pct)) / (1 + (beta_1 - 1) * (kill_pct / (1 - kill_pct))), 6) AS delta FROM betas JOIN ({shown_rates}) USING (player_id)",
         "predictions_by_adv": "SELECT win, adv, count(*) AS n, round(avg(pred_win), 6) AS mean_pred, round(avg(CAST(pred_win > 0.5 AS INTEGER)), 6) AS called FROM situations GROUP BY win, adv",
+        "match_details": "SELECT i.match_id, i.mode, i.map, i.duration_ms, i.rounds, s.name AS team, s.score, s.is_victor FROM info i JOIN scores s USING (match_id)",
+        "predicted_by_state": "SELECT s.state, count(*) AS n, round(avg(c.pred_win), 6) AS mean_pred, round(avg(CAST(c.win AS INTEGER)), 6) AS mean_win FROM situations c JOIN states s ON c.match_id = s.match_id AND c.event_id = s.event_id GROUP BY s.state HAVING count(*) > 100",
+        "closed_form_grid": "SELECT pkk_x, pkk_y, tsla_x, tsla_y, round(o / (1 + o), 6) AS pred_win FROM (SELECT *, exp(0.254 * CAST(pkk_x AS INTEGER) + 2.79e-5 * tsla_x - 0.254 * CAST(pkk_y AS INTEGER) - 2.79e-5 * tsla_y - 0.0117 * CAST(pkk_x AND pkk_y AS INTEGER)) AS o FROM (SELECT DISTINCT pkk_x FROM pairs), (SELECT DISTINCT pkk_y FROM pairs), (SELECT unnest(range(0, 5001, 100)) AS tsla_x), (SELECT unnest(range(0, 5001, 1000)) AS tsla_y))",
         "xkill_confusion": 'SELECT win, CAST(sum(CASE WHEN pred_win > 0.5 THEN 0 ELSE 1 END) AS BIGINT) AS "false", CAST(sum(CASE WHEN pred_win > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS "true" FROM scored GROUP BY win',
     }
     return {name: f"{chain}\n{body}" for name, body in bodies.items()}

@@ -196,6 +196,7 @@ RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
     "player_war": lambda f: ratings.player_war(
         _pace(f), _quality(f), _skill(f), ratings.roster_games(f.roster)),
     "win_by_differential": lambda f: tables.win_by_differential(_plus_minus(f, "Hardpoint")),
+    "match_details": lambda f: tables.match_details(f.match_info, f.match_scores),
     "season_stats": _seasons,
     "season_games": lambda f: tables.season_games(_seasons(f)),
     "year_over_year_corr": lambda f: tables.year_over_year_corr(_seasons(f), SEASON_GAMES),
@@ -209,6 +210,8 @@ RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
         "player_id", odds_ratio_delta(F.col("beta_1"), F.col("kill_pct")).alias("delta")),
     "predictions_by_adv": lambda f: fits.predictions_by(
         _situations(f), ["win", "adv"], "pred_win"),
+    "predicted_by_state": lambda f: _predicted_by_state(f),
+    "closed_form_grid": lambda f: _closed_form_grid(f),
     "xkill_confusion": lambda f: fits.confusion(
         xkill.xkill_closed_form(f.pairs), "win", "pred_win"),
 }
@@ -236,6 +239,13 @@ def _grid(f: Feed) -> DataFrame:
     return fits.predict(fit[0], grid, fit[1])
 
 
+def _closed_form_grid(f: Feed) -> DataFrame:
+    """The published duel model over the observed streaks and a range of gaps."""
+    grid = fits.prediction_grid(
+        f.pairs, ["pkk_x", "pkk_y"], {"tsla_x": (0, 5000, 100), "tsla_y": (0, 5000, 1000)})
+    return grid.select("*", xkill.closed_form_probability().alias("pred_win"))
+
+
 MODELS: dict[str, Callable[[Feed], DataFrame]] = {
     "xkill_model": lambda f: jobs.xkill_model(f.pairs),
     "xkill_normalised": _xkill,
@@ -260,7 +270,6 @@ MODELS: dict[str, Callable[[Feed], DataFrame]] = {
         _xkill(f), _shifts(f), f.roster, MIN_GAMES),
     "pace_model": lambda f: jobs.pace_table(jobs.pace_fit(
         state.engagement_pace(jobs.side_terms(f.alive)), f.roster, MIN_GAMES)),
-    "predicted_by_state": lambda f: _predicted_by_state(f),
 }
 
 

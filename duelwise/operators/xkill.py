@@ -80,13 +80,12 @@ def xkill_pairs(steps: DataFrame, seed: int = 0) -> DataFrame:
     )
 
 
-def xkill_closed_form(
-    pairs: DataFrame,
+def closed_form_probability(
     streak: float = params.XKILL_STREAK,
     gap: float = params.XKILL_GAP,
     both: float = params.XKILL_BOTH,
-) -> DataFrame:
-    """The published duel model on each pair, as one row per side: p for x, 1 - p for y."""
+) -> Column:
+    """Probability that side x wins, from the streak and gap columns of both sides."""
     def one(flag):
         return flag.cast("int")
 
@@ -95,7 +94,17 @@ def xkill_closed_form(
         - streak * one(F.col("pkk_y")) - gap * F.col("tsla_y")
         + both * one(F.col("pkk_x") & F.col("pkk_y"))
     )
-    p = odds_to_probability(F.exp(log_odds))
+    return odds_to_probability(F.exp(log_odds))
+
+
+def xkill_closed_form(
+    pairs: DataFrame,
+    streak: float = params.XKILL_STREAK,
+    gap: float = params.XKILL_GAP,
+    both: float = params.XKILL_BOTH,
+) -> DataFrame:
+    """The published duel model on each pair, as one row per side: p for x, 1 - p for y."""
+    p = closed_form_probability(streak, gap, both)
     keys = event_keys(pairs)
     sides = F.explode(
         F.array(

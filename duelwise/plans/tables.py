@@ -34,6 +34,18 @@ def box_stats(
     return percent_rank_by(gather(table, ["name"], ["kd", "time_s", "kpm", "epm"]), "stat")
 
 
+def match_details(
+    match_info: DataFrame, match_scores: DataFrame, match_id: str | None = None
+) -> DataFrame:
+    """Mode, map, length and both teams' results of one match, or of all."""
+    if match_id is not None:
+        match_info = match_info.filter(F.col("match_id") == match_id)
+    return match_info.select("match_id", "mode", "map", "duration_ms", "rounds").join(
+        match_scores.select("match_id", F.col("name").alias("team"), "score", "is_victor"),
+        "match_id",
+    )
+
+
 def win_by_differential(
     plus_minus: DataFrame, low: int = params.BIN_LOW, high: int = params.BIN_HIGH
 ) -> DataFrame:

@@ -12,7 +12,8 @@ SQL = contract.oracle_sql()
 # Above their thresholds only from the next larger test data on.
 LARGER = {"player_trade_rates", "player_trade_rates_old", "player_trade_percentiles",
           "odds_ratio_delta", "eligible_players", "year_over_year_corr", "trade_success",
-          "trade_success_against", "trade_success_dead", "match_with_difference"}
+          "trade_success_against", "trade_success_dead", "match_with_difference",
+          "box_stats"}
 
 
 @pytest.fixture(scope="module")
