@@ -152,7 +152,7 @@ RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
         trades.trade_counts(f.outcomes), MIN_N),
     "player_trade_percentiles": _rates_long,
     "xkill_pairs": lambda f: f.pairs,
-    "xkill_closed_form": lambda f: xkill.xkill_closed_form(f.pairs),
+    "xkill_closed_form": lambda f: xkill.xkill_closed_form(f.pairs).drop("other_in_trade"),
     "trade_situation": lambda f: _situations(f).drop("state"),
     "engagement_matrix": lambda f: xkill.engagement_matrix(
         rounded(_situations(f)), PLAYERS),

@@ -29,10 +29,11 @@ def mode_deaths(
     hot matches (see ``slice_hot_groups``) stay.
     """
     matches = match_info.filter(F.col("mode") == mode).select("match_id")
+    time = F.col("time_ms").cast("long").alias("time_ms")
     return (
         events.filter(F.col("type") == event_type)
         .join(matches, "match_id")
-        .select(*group_keys(events, "match_id"), F.col("time_ms").cast("long").alias("time_ms"), VICTIM, KILLER, *keep)
+        .select(*group_keys(events, "match_id"), time, VICTIM, KILLER, *keep)
     )
 
 

@@ -9,8 +9,8 @@ from .. import params
 from ..functions import odds_to_probability
 from .feed import KILLER, VICTIM
 from .reshape import presence_matrix
+from .scan import event_keys
 from .trades import with_event_columns
-from .scan import EVENT_COLUMNS, event_keys
 
 FEATURES = ["player", "pkk", "tsla", "pdk", "in_trade_eng"]
 
@@ -103,18 +103,22 @@ def xkill_closed_form(
     gap: float = params.XKILL_GAP,
     both: float = params.XKILL_BOTH,
 ) -> DataFrame:
-    """The published duel model on each pair, as one row per side: p for x, 1 - p for y."""
-    p = closed_form_probability(streak, gap, both)
+    """The published duel model on each pair, as one row per side: p for x, 1 - p for y.
+
+    Each row also says whether the other side is in a trade.
+    """
     keys = event_keys(pairs)
-    sides = F.explode(
-        F.array(
-            F.struct(F.col("player_x").alias("player"), F.col("p").alias("pred_win"),
-                     F.col("win_x").alias("win"), F.col("in_trade_x").alias("in_trade")),
-            F.struct(F.col("player_y").alias("player"), (1 - F.col("p")).alias("pred_win"),
-                     F.col("win_y").alias("win"), F.col("in_trade_y").alias("in_trade")),
+
+    def side(own: str, other: str, p: Column) -> Column:
+        return F.struct(
+            F.col(f"player_{own}").alias("player"), p.alias("pred_win"),
+            F.col(f"win_{own}").alias("win"), F.col(f"in_trade_{own}").alias("in_trade"),
+            F.col(f"in_trade_{other}").alias("other_in_trade"),
         )
-    )
-    return pairs.withColumn("p", p).select(*keys, sides.alias("s")).select(*keys, "s.*")
+
+    sides = F.explode(F.array(side("x", "y", F.col("p")), side("y", "x", 1 - F.col("p"))))
+    scored = pairs.withColumn("p", closed_form_probability(streak, gap, both))
+    return scored.select(*keys, sides.alias("s")).select(*keys, "s.*")
 
 
 def trade_situation(scores: DataFrame, states: DataFrame | None = None) -> DataFrame:
@@ -123,25 +127,16 @@ def trade_situation(scores: DataFrame, states: DataFrame | None = None) -> DataF
     BOTH players are in a trade, only this one (SOLO), only the OTHER, or NONE.
     """
     scores = with_event_columns(scores, states, "adv")
-    keys = event_keys(scores)
-    kept = [k for k in keys if k not in EVENT_COLUMNS]
-    marks = scores.groupBy(*keys).agg(
-        F.bool_or("in_trade").alias("some"), F.bool_and("in_trade").alias("every"),
-        F.collect_list(F.struct("player", "pred_win", "win", "in_trade")).alias("sides"),
-    )
     situation = (
-        F.when(F.col("every"), "BOTH")
+        F.when(F.col("in_trade") & F.col("other_in_trade"), "BOTH")
         .when(F.col("in_trade"), "SOLO")
-        .when(F.col("some"), "OTHER")
+        .when(F.col("other_in_trade"), "OTHER")
         .otherwise("NONE")
     )
-    return (
-        marks.select(*keys, "some", "every", F.explode("sides").alias("s"))
-        .select(*keys, "some", "every", "s.*")
-        .select(
-            *kept, *(["state"] if "state" in keys else []), "player", "pred_win", "win", "in_trade", situation.alias("trade_sit"),
-            F.when(F.col("win"), F.col("adv")).otherwise(-F.col("adv")).alias("adv"),
-        )
+    kept = [k for k in event_keys(scores) if k != "adv"]
+    return scores.select(
+        *kept, "player", "pred_win", "win", "in_trade", situation.alias("trade_sit"),
+        F.when(F.col("win"), F.col("adv")).otherwise(-F.col("adv")).alias("adv"),
     )
 
 
