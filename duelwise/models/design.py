@@ -17,7 +17,7 @@ from ..operators.reshape import level_list
 from ..operators.state import eligible_players
 from ..operators.xkill import key_hash
 
-MAX_TERMS = 4096
+MAX_TERMS = 100_000  # names that the driver may list
 
 
 @contextmanager

@@ -6,6 +6,7 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from .design import aliased_columns, assemble, correlations
 
 TIDY = "term string, estimate double, `std.error` double, statistic double, `p.value` double"
 INTERCEPT = "(Intercept)"
+SOLVER_TERMS = 4096  # columns that Spark's normal-equation solver accepts
 
 
 def terms_frame(spark: SparkSession, rows: list[tuple], schema: str = TIDY) -> DataFrame:
@@ -33,43 +35,55 @@ def fit_logistic(
 
     Returns the model, the names of its columns, and a tidy table in which ``estimate``
     is an odds ratio. Terms that depend linearly on earlier ones are left out of the fit
-    and listed with NULL values. ``df`` is read once per iteration: settle it first.
+    and listed with NULL values. Beyond ``SOLVER_TERMS`` columns, which normal equations
+    cannot hold, the same likelihood is maximised by L-BFGS and the table has estimates
+    only. ``df`` is read once per iteration: settle it first.
     """
     numeric = numeric or []
     names = [*numeric, *terms]
     labelled = df.withColumn("label", label.cast("double"))
     rows = labelled.select("label", *(["terms"] if terms else []), *numeric)
-    dropped: list[int] = []
-    if intercept and len(names) > 1:
+    direct = len(names) <= SOLVER_TERMS
+    gone: set[str] = set()
+    if direct and intercept and len(names) > 1:
         dropped = aliased_columns(correlations(assemble(rows, terms, numeric)))
-    gone = {names[i] for i in dropped}
+        gone = {names[i] for i in dropped}
     used_numeric = [n for n in numeric if n not in gone]
     used_terms = [t for t in terms if t not in gone]
-    estimator = GeneralizedLinearRegression(
-        family="binomial", link="logit", fitIntercept=intercept, maxIter=25, tol=1e-8
-    )
-    model = estimator.fit(assemble(rows, used_terms, used_numeric))
-    summary = model.summary
-    used = [*used_numeric, *used_terms]
-    estimates = dict(zip(used, model.coefficients.toArray().tolist()))
-    order = used + ([INTERCEPT] if intercept else [])
-    estimates[INTERCEPT] = model.intercept
-    errors = dict(zip(order, summary.coefficientStandardErrors))
-    statistics = dict(zip(order, summary.tValues))
-    p_values = dict(zip(order, summary.pValues))
+    vectors = assemble(rows, used_terms, used_numeric)
+    order = [*used_numeric, *used_terms]
+    if direct:
+        model = GeneralizedLinearRegression(
+            family="binomial", link="logit", fitIntercept=intercept, maxIter=25, tol=1e-8
+        ).fit(vectors)
+        summary = model.summary
+        columns = [summary.coefficientStandardErrors, summary.tValues, summary.pValues]
+    else:
+        model = LogisticRegression(
+            regParam=0.0, fitIntercept=intercept, maxIter=500, tol=1e-9
+        ).fit(vectors)
+        columns = [[None] * (len(order) + 1)] * 3
+    found = dict(zip(
+        [*order, *([INTERCEPT] if intercept else [])],
+        zip([*model.coefficients.toArray().tolist(), *([model.intercept] if intercept else [])],
+            *columns),
+    ))
     table = []
-    for name in ([INTERCEPT] if intercept else []) + names:
-        if name in gone:
-            table.append((name, None, None, None, None))
-            continue
-        value = math.exp(estimates[name]) if exponentiate else estimates[name]
-        table.append((name, value, errors[name], statistics[name], p_values[name]))
+    for name in [*([INTERCEPT] if intercept else []), *names]:
+        estimate, *rest = found.get(name, (None,) * 4)
+        if estimate is not None and exponentiate:
+            estimate = math.exp(estimate)
+        table.append((name, estimate, *rest))
     return model, (used_terms, used_numeric), terms_frame(df.sparkSession, table)
 
 
 def predict(model, df: DataFrame, columns: tuple[list[str], list[str]]) -> DataFrame:
-    """Rows with the model's ``prediction``: a probability, or a value for ridge."""
-    return model.transform(assemble(df, *columns)).drop("features", "held")
+    """Rows with the model's ``prediction``: a probability, or a value for ridge linear."""
+    scored = model.transform(assemble(df, *columns))
+    if "probability" in scored.columns:
+        positive = vector_to_array("probability").getItem(1)
+        scored = scored.withColumn("prediction", positive)
+    return scored.drop("features", "held", "rawPrediction", "probability")
 
 
 def _ridge(df: DataFrame, label: Column, terms, numeric, estimator):

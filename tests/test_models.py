@@ -60,6 +60,21 @@ def test_logistic_equals_numpy(spark):
     assert np.abs(beta - truth).max() < 0.5
 
 
+def test_many_terms_are_fitted_without_errors(spark, monkeypatch):
+    rng, players, x = sample()
+    X = matrix(players, x, TERMS)
+    y = rng.random(len(x)) < 1 / (1 + np.exp(-X @ (rng.normal(size=X.shape[1]) * 0.5)))
+    monkeypatch.setattr(fits, "SOLVER_TERMS", 3)
+    df = frame(spark, players, x, y)
+    model, columns, table = fits.fit_logistic(df, F.col("y"), TERMS, ["x"])
+    got = keyed(table, ["term"], "estimate", "std.error")
+    beta, _ = irls(X, y.astype(float))
+    for name, b in zip(["(Intercept)", "x", *TERMS], beta):
+        assert np.isclose(np.log(got[name][0]), b, atol=1e-3) and got[name][1] is None
+    p = keyed(fits.predict(model, df, columns), ["i"], "prediction")
+    assert np.allclose([p[i] for i in range(len(x))], 1 / (1 + np.exp(-X @ beta)), atol=1e-3)
+
+
 def test_aliased_terms_are_null(spark):
     rng, players, x = sample(800)
     y = rng.random(len(x)) < 0.5
