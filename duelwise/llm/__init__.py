@@ -1 +1,10 @@
-"""Operators for preparing training text."""
+"""Operators for preparing training text.
+
+Tasks get the code of this package by value, so executors need not have it installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,11 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duelwise.llm import minhash
+from duelwise.llm import classifier, decontam, licenses, lines, minhash, mixing, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Verdict, host and path.
+URL_RULES = [
+    ("block", "net", "/"), ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+]
+#: Scores from here on are predicted as good.
+GOOD = 0.7
+
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
@@ -19,6 +28,53 @@ def op2_minhash_dedup(spark: SparkSession, path: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, path, "documents"), shingle=4)
 
 
+def op3_url_filter(spark: SparkSession, path: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, path, "pages"), URL_RULES)
+
+
+def op5_license_scan(spark: SparkSession, path: str) -> DataFrame:
+    return licenses.license_labels(_table(spark, path, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, path: str) -> DataFrame:
+    """Per document: its lines, the numbers of those removed, and the text that is left."""
+    docs = _table(spark, path, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id", F.col("line_report.n_lines").alias("n_lines"),
+        F.size("line_report.removed").cast("long").alias("n_removed"),
+        F.concat_ws(",", F.col("line_report.removed").cast("array<string>")).alias("removed"),
+        "text")
+
+
+def op8_quality_classifier(spark: SparkSession, path: str) -> DataFrame:
+    docs = _table(spark, path, "documents").select("doc_id", "text")
+    weights = classifier.fit(docs, _table(spark, path, "labels"))
+    return classifier.score(docs, weights).select(
+        "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op9_decontamination(spark: SparkSession, path: str) -> DataFrame:
+    found = decontam.contamination(
+        _table(spark, path, "documents").select("doc_id", "text"),
+        _table(spark, path, "benchmark"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items",
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op10_source_mix(spark: SparkSession, path: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, path, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op5_license_scan": op5_license_scan,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_decontamination": op9_decontamination,
+    "op10_source_mix": op10_source_mix,
 }

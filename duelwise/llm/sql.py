@@ -24,3 +24,78 @@ pairs AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
+
+STATEMENTS["op9_decontamination"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), wide AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(
+        range(1, greatest(len(w) - 9, 1) + 1),
+        lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS s
+    FROM b WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT m FROM wide),
+spans AS (
+    SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS i, w FROM d, lengths WHERE len(w) >= m
+), hits AS (
+    SELECT doc_id, i, m, item_id FROM spans JOIN wide USING (m)
+    WHERE s = array_to_string(w[i:i + m - 1], ' ')
+), covered AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM hits) GROUP BY 1
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+STATEMENTS["op10_source_mix"] = r"""
+WITH RECURSIVE s AS (
+    SELECT doc_id, source,
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+        [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE
+            AS weight
+    FROM s GROUP BY 1
+), total AS (SELECT 1.5 * sum(source_size)::DOUBLE AS t FROM sources),
+-- Water level: sources at their cap leave the rest to the others, until none is above.
+filled AS (
+    SELECT 0 AS step, t / (SELECT sum(weight) FROM sources) AS rate FROM total
+    UNION ALL
+    SELECT step + 1, (SELECT (t - coalesce(sum(2.0 * source_size)
+            FILTER (2.0 * source_size < weight * rate), 0))
+            / sum(weight) FILTER (2.0 * source_size >= weight * rate) FROM sources)
+    FROM filled, total WHERE step < (SELECT count(*) FROM sources)
+), level AS (SELECT max(rate) AS rate FROM filled),
+targets AS (
+    SELECT source, source_size, round(least(2.0 * source_size, weight * rate), 6) AS target
+    FROM sources, level
+), grid AS (
+    SELECT t, greatest(0, ceil(log2(greatest(1, ceil(floor(t) / 64)))))::INT AS bits FROM total
+), ranges AS (
+    SELECT source, source_size, target,
+        ceil(round(sum(target) OVER w / t * (1 << bits), 3))
+        - ceil(round((sum(target) OVER w - target) / t * (1 << bits), 3)) AS slots,
+        floor(t)::BIGINT // (1 << bits) + 1 AS block
+    FROM targets, grid WINDOW w AS (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), tape AS (
+    SELECT source, source_size, target, least(slots * block, round(target))::BIGINT AS reach
+    FROM ranges
+), placed AS (
+    SELECT s.*, source_size, target, reach, coalesce(sum(size) OVER (
+        PARTITION BY s.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM s JOIN tape ON s.source IS NOT DISTINCT FROM tape.source
+)
+SELECT doc_id, size, source_size, target,
+    (least(size, greatest(0, reach - start))
+     + least(size, greatest(0, reach - start - source_size)))::BIGINT AS taken
+FROM placed
+"""

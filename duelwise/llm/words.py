@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,7 @@ import pyarrow.compute as pc
 #: Bytes handled at once; one longer text is handled alone.
 SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
 
 _codes = np.arange(256)
@@ -37,15 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    up = np.full(size, _BASE, np.uint64)
-    down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
 @dataclass
 class Words:
     """Words of consecutive texts; those of text i are offsets[i]:offsets[i + 1]."""
@@ -92,16 +83,22 @@ def split_words(
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Words(data, start, end, np.searchsorted(start, offsets), _hash(data, start, end))
+    return Words(data, start, end, np.searchsorted(start, offsets), hash_runs(data, start, end))
+
+
+def _powers(base: int, size: int) -> np.ndarray:
+    """Powers modulo 2**64, from the first to the one before `size`."""
+    out = np.full(size, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
 
 
-def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.empty(0, np.uint64)
-    size = max(SLICE, 1 << int(len(data) - 1).bit_length())
-    up, down = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[:len(data)], out=sums[1:])
+    np.cumsum(_VALUE[data] * _powers(_BASE, len(data)), out=sums[1:])
+    down = _powers(_INVERSE, len(data))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
