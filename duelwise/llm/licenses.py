@@ -4,7 +4,8 @@ All rolling hashes of GRAM words of every text are joined to the places of the s
 in license templates. Hits of one text and template on the same diagonal (place in the text
 minus place in the template) vote together, neighbouring diagonals are merged, so that a
 notice with a few words more or less stays whole, and the words of the span found are
-aligned with the template. A label holds if enough of the template's words are there.
+aligned with the template. A label holds if enough of the template's words are there: all of
+a short one, COVER of a longer one. Of spans that overlap, the one with more words holds.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from duelwise.llm.words import ALNUM, Words, split_words, text_slices, windows
 GRAM = 3
 #: Diagonals at most so far apart are one.
 DRIFT = 3
-#: Share of a template's words that must be found in order.
-COVER = 0.6
+#: Share of a template's words that must be found in order, and up to what length all of them.
+COVER, SHORT = 0.6, 12
 WANTED = 1 << 22
 
 # Phrases that count wherever they stand.
@@ -161,7 +162,7 @@ def _aligned(found: list[str], template: list[str]) -> int:
 
 
 def _verified(source: DataFrame, spans: DataFrame, templates, cover: float) -> DataFrame:
-    """(id, part, label, score) of the spans whose words are the template's."""
+    """(id, part, label, score, words, first, last) of the spans that hold the template."""
     slot = F.xxhash64("id", "part").bitwiseAND(F.lit(WANTED - 1)).cast("int")
     wanted = source.sparkSession.sparkContext.broadcast(np.packbits(
         slot_counts(spans.select(slot.alias("slot")), "slot", WANTED) > 0))
@@ -185,21 +186,31 @@ def _verified(source: DataFrame, spans: DataFrame, templates, cover: float) -> D
                     inner = slice(at + start, min(at + stop, words.offsets[i + 1]))
                     found = [raw[s:e].decode() for s, e in zip(words.start[inner], words.end[inner])]
                     label, template = texts[number]
-                    score = _aligned(found, template) / len(template)
-                    if score >= cover:
-                        rows.append((first + i, label, score))
+                    size = len(template)
+                    common = _aligned(found, template)
+                    if common >= (size if size <= SHORT else cover * size):
+                        rows.append((first + i, label, common / size, common, start, stop))
             at = pa.array([r[0] for r in rows], pa.int64())
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at),
-                 pa.array([r[1] for r in rows], pa.string()),
-                 pa.array([r[2] for r in rows], pa.float64())],
-                names=["id", "part", "label", "score"])
+                 *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1))],
+                names=["id", "part", "label", "score", "words", "first", "last"])
 
     picked = source.withColumn("slot", slot).mapInArrow(
         pick, "id long, part long, text string").dropDuplicates(["id", "part"])
     return spans.join(picked, ["id", "part"]).select(
         "id", "part", "text", "template", "first", "last").mapInArrow(
-        check, "id long, part long, label string, score double")
+        check, "id long, part long, label string, score double, words long, first long, "
+               "last long")
+
+
+def _strongest(spans: Column) -> Column:
+    """Spans that no overlapping span of another label with more words puts in doubt."""
+    return F.filter(spans, lambda x: ~F.exists(spans, lambda y: (
+        (y["label"] != x["label"]) & (y["first"] < x["last"]) & (x["first"] < y["last"])
+        & ((y["words"] > x["words"])
+           | ((y["words"] == x["words"]) & (y["label"] < x["label"]))))))
 
 
 def license_labels(
@@ -223,7 +234,9 @@ def license_labels(
     scanned = _scan(source, phrases)
     spans = settle(_spans(scanned.select("id", "part", "grams"), templates))
     found = _verified(source, spans, templates, cover).groupBy("id", "part").agg(
-        F.collect_set("label").alias("own"), F.max("score").alias("best"))
+        F.collect_set(F.struct("label", "score", "words", "first", "last")).alias("spans"))
+    found = found.withColumn("spans", _strongest(F.col("spans"))).select(
+        "id", "part", F.col("spans.label").alias("own"), F.array_max("spans.score").alias("best"))
     base = F.array_join("base", ",")
     both = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))
     return scanned.drop("grams").join(settle(found), ["id", "part"], "left").select(

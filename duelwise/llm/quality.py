@@ -21,13 +21,13 @@ from duelwise.llm.scratch import settle
 #: Share of a group that the covariance is taken from, steps towards it, least group.
 HALF, STEPS, LEAST_GROUP = 0.75, 5, 100
 #: Squared robust distance from which a text is an outlier.
-CUTOFF = 150.0
+CUTOFF = 200.0
 #: Median of the chi-square distribution with five degrees of freedom.
 CHI_MEDIAN = 4.351
 #: Width of a histogram's bins, of statistics and of log distances.
 BIN = 0.01
 #: Least spread of each statistic: smaller differences are never odd.
-LEAST_SPREAD = (0.5, 0.05, 0.05, 0.1, 0.5)
+LEAST_SPREAD = (0.5, 0.05, 0.05, 0.2, 1.0)
 SPACE = r"[\x20\x09-\x0D]+"
 N = len(LEAST_SPREAD)
 

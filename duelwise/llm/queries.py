@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelwise.llm import classifier, decontam, licenses, lines, minhash, mixing, urls
+from duelwise.llm import (
+    classifier, decontam, licenses, lines, minhash, mixing, quality, surrogates, tools, urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,10 @@ URL_RULES = [
     ("block", "net", "/"), ("allow", "example.net", "/en/"),
     ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
 ]
+#: Parameters of the call that a plain turn stands for.
+SCHEMAS = {"answer": [("prompt", "string", True)]}
+#: In production a secret of its own; it is never in the results.
+PII_KEY = "a key of the caller"
 #: Scores from here on are predicted as good.
 GOOD = 0.7
 
@@ -24,6 +30,13 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, path: str) -> DataFrame:
+    docs = _table(spark, path, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, PII_KEY).select(
+        "doc_id", F.col("entities").alias("n_entities"),
+        (F.col("entities") > 0).alias("changed"), "text")
+
+
 def op2_minhash_dedup(spark: SparkSession, path: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, path, "documents"), shingle=4)
 
@@ -32,10 +45,19 @@ def op3_url_filter(spark: SparkSession, path: str) -> DataFrame:
     return urls.filter_urls(_table(spark, path, "pages"), URL_RULES)
 
 
+def op4_quality_rules(spark: SparkSession, path: str) -> DataFrame:
+    return quality.quality_rules(_table(spark, path, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, path: str) -> DataFrame:
     return licenses.license_labels(_table(spark, path, "documents"))
 
 
+def op6_tool_calls(spark: SparkSession, path: str) -> DataFrame:
+    calls, results = tools.conversation_calls(_table(spark, path, "conversations"))
+    return tools.link_calls(calls, results, SCHEMAS)
+
+
 def op7_line_dedup(spark: SparkSession, path: str) -> DataFrame:
     """Per document: its lines, the numbers of those removed, and the text that is left."""
     docs = _table(spark, path, "documents").select("doc_id", "text")
@@ -70,9 +92,12 @@ def op10_source_mix(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
+    "op6_tool_calls": op6_tool_calls,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,

@@ -113,14 +113,19 @@ def _number(noise: Column, at: Column, size: int) -> Column:
 
 
 def _scrambled(text: Column, key: str, *parts: Column) -> Column:
-    """Every ASCII letter and digit replaced by one of its kind, other signs kept."""
+    """Every ASCII letter and digit replaced by one of its kind, other signs kept; hexadecimal
+    numbers stay such."""
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    hexadecimal = text.rlike(r"^(?=.*\d)[0-9a-f]{8,}$")
 
     def one(sign: Column, i: Column) -> Column:
         noise = _noise(key, *parts, (i / 42).cast("int").cast("string"))
         out = sign
         for signs in (digits, lower, upper):
-            some = F.substring(F.lit(signs), _number(noise, i, len(signs)) + 1, F.lit(1))
+            at = _number(noise, i, len(signs))
+            if signs == lower:
+                at = F.when(hexadecimal, F.pmod(at, F.lit(6))).otherwise(at)
+            some = F.substring(F.lit(signs), at + 1, F.lit(1))
             out = F.when(sign.rlike(f"^[{signs[0]}-{signs[-1]}]$"), some).otherwise(out)
         return out
 
