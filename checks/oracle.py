@@ -160,6 +160,11 @@ sides AS (
 states AS (
   SELECT *, for_alive || 'v' || against_alive AS state, for_alive - against_alive AS adv
   FROM sides),
+timed AS (
+  SELECT match_id, event_id, state, CASE WHEN duration = 0 THEN 1 ELSE duration END AS model_ms
+  FROM (SELECT *, time_ms - lag(time_ms) OVER (PARTITION BY match_id ORDER BY event_id) AS duration
+        FROM states)
+  WHERE duration IS NOT NULL),
 seen AS (
   SELECT t.match_id, t.event_id, t.win, t.type, t.player,
     CASE WHEN t.win = (t.type IN ('TRADE', 'DEAD'))
@@ -304,13 +309,17 @@ seasons AS (
   SELECT CASE WHEN make_timestamp(start_time_s * 1000000) < TIMESTAMP '2017-10-01' THEN 1
       WHEN make_timestamp(start_time_s * 1000000) < TIMESTAMP '2018-10-01' THEN 2
       WHEN make_timestamp(start_time_s * 1000000) < TIMESTAMP '2019-10-01' THEN 3 END AS year_no,
+    CASE WHEN make_timestamp(start_time_s * 1000000) < TIMESTAMP '2017-10-01' THEN 'IW'
+      WHEN make_timestamp(start_time_s * 1000000) < TIMESTAMP '2018-10-01' THEN 'WWII'
+      WHEN make_timestamp(start_time_s * 1000000) < TIMESTAMP '2019-10-01' THEN 'BO4' END AS title,
     mode, lower(name) AS player, CAST(sum(kills) AS BIGINT) AS kills,
     CAST(sum(deaths) AS BIGINT) AS deaths, CAST(sum(rounds) AS BIGINT) AS rounds, count(*) AS n,
     sum(kills) / nullif(sum(deaths), 0) AS kd
-  FROM box LEFT JOIN info USING (match_id) GROUP BY 1, 2, 3)
+  FROM box LEFT JOIN info USING (match_id) GROUP BY 1, 2, 3, 4)
 """
 
-LEVELS = [-2, -1, 0, 1, 2]
+# Four seats a side.
+LEVELS = list(range(-4, 5))
 RATE_NAMES = [
     "kill_pct", "death_pct", "trade_att_kill_pct", "no_trade_att_kill_pct", "traded_kill_pct",
     "two_piece_pct", "trade_att_death_pct", "no_trade_att_death_pct", "traded_death_pct",
@@ -412,11 +421,13 @@ def statements(
         " WHERE mode = 'Hardpoint' GROUP BY name) t ON t.name = p.player_id"
     )
     stat_next = (
-        "SELECT name, value, lead(value) OVER (PARTITION BY player, name ORDER BY year_no, mode) AS next_year"
-        " FROM (SELECT year_no, mode, player, 'kd' AS name, kd AS value FROM seasons WHERE n > {g}"
+        "SELECT a.name, a.value, b.value AS next_year FROM ({s}) a LEFT JOIN ({s}) b"
+        " ON a.player = b.player AND a.name = b.name AND a.mode = b.mode AND b.year_no = a.year_no + 1"
+    ).format(s=(
+        "SELECT year_no, mode, player, 'kd' AS name, kd AS value FROM seasons WHERE n > {g}"
         " UNION ALL SELECT year_no, mode, player, 'kpr', kills / nullif(rounds, 0) FROM seasons"
-        " WHERE n > {g})"
-    ).format(g=season_games)
+        " WHERE n > {g}"
+    ).format(g=season_games))
 
     def success(states: list[str], role: str) -> str:
         inside = ", ".join(f"'{s}'" for s in states)
@@ -426,9 +437,10 @@ def statements(
             f" FROM seen WHERE state IN ({inside}) AND type = '{role}' GROUP BY player, type"
         )
         return (
-            "SELECT player, type, w, n - w AS l, round(w_pct, 6) AS w_pct, n,"
+            "SELECT player, type, w, n - w AS l, round(w_pct, 6) AS w_pct, round(1 - w_pct, 6) AS l_pct, n,"
             " round(n / games, 6) AS sit_per_game,"
-            f" round((SELECT avg(w_pct) FROM ({table}) WHERE n > {min_situations // 2}), 6) AS league_w_pct"
+            f" round((SELECT avg(w_pct) FROM ({table}) WHERE n > {min_situations // 2}), 6) AS league_w_pct,"
+            f" round(1 - (SELECT avg(w_pct) FROM ({table}) WHERE n > {min_situations // 2}), 6) AS league_l_pct"
             f" FROM ({table}) WHERE n > {min_situations}"
         )
 
@@ -495,7 +507,7 @@ def statements(
         "skill_added": f"SELECT player_id, {_r('pm_added_skill', 'kapr_skill')} FROM skill_pm",
         "player_war": "SELECT player_id, round(pm_added_pace / g.games + pm_added_total / q.games + kapr_skill, 6) AS kapr, round((pm_added_pace + pm_added_total + pm_added_skill) / g.games, 6) AS pm_g, round(pm_added_pace + pm_added_total + pm_added_skill, 6) AS pm_total, round((pm_added_pace + pm_added_total + pm_added_skill) / g.games * 0.18, 6) AS wapr FROM pace LEFT JOIN quality q USING (player_id) LEFT JOIN skill_pm USING (player_id) LEFT JOIN games g USING (player_id)",
         "win_by_differential": "SELECT bin, round(avg(CAST(is_victor AS INTEGER)), 6) AS win_pct, count(*) AS n FROM (SELECT *, CASE WHEN pm > -10 AND pm <= 10 THEN '(' || (pm - 1) || ',' || pm || ']' END AS bin FROM pm_mode) GROUP BY bin",
-        "season_stats": f"SELECT year_no, mode, player, kills, deaths, rounds, n, {_r('kd')} FROM seasons",
+        "season_stats": f"SELECT year_no, title, mode, player, kills, deaths, rounds, n, {_r('kd')} FROM seasons",
         "season_games": "SELECT year_no, CAST(sum(n) AS BIGINT) AS n FROM seasons GROUP BY year_no",
         "year_over_year_corr": f"SELECT name, round(corr(value, next_year), 6) AS cor FROM ({stat_next}) WHERE value IS NOT NULL AND next_year IS NOT NULL GROUP BY name",
         "first_groups": "SELECT match_id, event_id, time_ms, id, attacker_id FROM seq WHERE match_id IN (SELECT DISTINCT match_id FROM seq ORDER BY match_id LIMIT 5)",
@@ -509,4 +521,43 @@ def statements(
         "closed_form_grid": "SELECT pkk_x, pkk_y, tsla_x, tsla_y, round(o / (1 + o), 6) AS pred_win FROM (SELECT *, exp(0.254 * CAST(pkk_x AS INTEGER) + 2.79e-5 * tsla_x - 0.254 * CAST(pkk_y AS INTEGER) - 2.79e-5 * tsla_y - 0.0117 * CAST(pkk_x AND pkk_y AS INTEGER)) AS o FROM (SELECT DISTINCT pkk_x FROM pairs), (SELECT DISTINCT pkk_y FROM pairs), (SELECT unnest(range(0, 5001, 100)) AS tsla_x), (SELECT unnest(range(0, 5001, 1000)) AS tsla_y))",
         "xkill_confusion": 'SELECT win, CAST(sum(CASE WHEN pred_win > 0.5 THEN 0 ELSE 1 END) AS BIGINT) AS "false", CAST(sum(CASE WHEN pred_win > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS "true" FROM scored GROUP BY win',
     }
+    bodies |= _designs()
     return {name: f"{chain}\n{body}" for name, body in bodies.items()}
+
+
+def _designs() -> dict[str, str]:
+    """Design matrices in long form: a row for every term that holds in an event."""
+    acting = (
+        "SELECT a.match_id, a.event_id, coalesce(o.trade_att, false) AS outcome, a.alive, a.player_id,"
+        " CASE WHEN a.player_id = a.id THEN 'DEAD' WHEN a.player_id = a.attacker_id THEN 'KILLER'"
+        " ELSE a.type END AS role FROM alive a JOIN outcomes o USING (match_id, event_id)"
+    )
+    return {
+        "trade_attempted_design": (
+            f"SELECT match_id, event_id, outcome, player_id || '_' || role AS term FROM ({acting})"
+            " WHERE alive = 1 AND role <> 'FOR' UNION ALL SELECT match_id, event_id,"
+            " coalesce(trade_att, false), 'adv' || adv FROM outcomes JOIN states USING (match_id, event_id)"
+        ),
+        "trade_won_design": (
+            "SELECT DISTINCT match_id, event_id, traded AS outcome, player_id || '_' || p AS term"
+            " FROM roles JOIN states USING (match_id, event_id) UNION ALL SELECT DISTINCT match_id,"
+            " event_id, traded, 'adv' || adv FROM roles JOIN states USING (match_id, event_id)"
+        ),
+        "duel_design": (
+            "SELECT match_id, event_id, player, win AS outcome, round(pred_win, 6) AS pred_win,"
+            " unnest([player || '_ENG', 'adv' || adv]) AS term FROM situations"
+            " WHERE adv IS NOT NULL AND trade_sit <> 'NONE'"
+        ),
+        "triplet_design": (
+            "SELECT DISTINCT match_id, event_id, win AS outcome, player || '_' || type AS term"
+            " FROM triplets WHERE win IS NOT NULL AND player IS NOT NULL UNION ALL"
+            " SELECT DISTINCT match_id, event_id, win, 'state' || state FROM triplets"
+            " JOIN states USING (match_id, event_id) WHERE win IS NOT NULL"
+        ),
+        "pace_design": (
+            "SELECT match_id, event_id, model_ms, player_id || '_' || type AS term FROM timed"
+            " JOIN alive USING (match_id, event_id) WHERE alive = 1"
+            " UNION ALL SELECT match_id, event_id, model_ms, 'state' || state FROM timed"
+        ),
+        "win_design": "SELECT is_victor, CAST(pm AS DOUBLE) AS adv FROM pm_mode WHERE is_victor IS NOT NULL",
+    }

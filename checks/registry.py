@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from duelwise.functions import odds_ratio_delta
 from duelwise.models import design, fits, jobs
 from duelwise.operators import feed, state, trades, xkill
+from duelwise.operators.scan import SLICE
 from duelwise.plans import ratings, tables
 from duelwise.sources.testdata import PLAYERS, Feed
 
 MIN_N, MIN_GAMES, MIN_SITUATIONS, BOX_MIN_TIME, SEASON_GAMES = 200, 10, 20, 6000, 2
-LEVELS = [-2, -1, 0, 1, 2]
 EVENT = ["match_id", "event_id"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; the slices of hot matches are inner matters."""
+    df = df.drop(SLICE)
     doubles = [name for name, kind in df.dtypes if kind == "double"]
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in doubles})
 
@@ -71,7 +73,8 @@ def _shifts(f: Feed) -> DataFrame:
 
 
 def _times_wide(f: Feed) -> DataFrame:
-    return state.time_at_advantage_wide(state.time_at_advantage(_team_rows(f)), LEVELS)
+    return state.time_at_advantage_wide(
+        state.time_at_advantage(_team_rows(f)), state.advantage_levels(f.roster))
 
 
 def _plus_minus(f: Feed, mode: str | None = None) -> DataFrame:
@@ -170,7 +173,8 @@ RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
     "advantage_vs_score": lambda f: state.advantage_vs_score(_times_wide(f), _plus_minus(f)),
     "match_with_difference": lambda f: state.match_with_difference(
         state.advantage_vs_score(_times_wide(f), _plus_minus(f)), 2),
-    "advantage_profile": lambda f: state.advantage_profile(_times_wide(f)),
+    "advantage_profile": lambda f: state.advantage_profile(
+        state.time_at_advantage(_team_rows(f))),
     "advantage_timeline": lambda f: state.advantage_timeline(_team_rows(f)),
     "player_time_alive": lambda f: state.player_time_alive(f.alive),
     "eligible_players": lambda f: state.eligible_players(f.roster, MIN_GAMES),
@@ -214,9 +218,23 @@ RELATIONAL: dict[str, Callable[[Feed], DataFrame]] = {
     "closed_form_grid": lambda f: _closed_form_grid(f),
     "xkill_confusion": lambda f: fits.confusion(
         xkill.xkill_closed_form(f.pairs), "win", "pred_win"),
+    "trade_attempted_design": lambda f: _design(jobs.trade_attempted_rows(_outcome_alive(f))),
+    "trade_won_design": lambda f: _design(jobs.trade_won_rows(_roles(f, with_state=True))),
+    "duel_design": lambda f: _design(
+        jobs.duel_rows(_situations(f)), "player", "outcome", "pred_win"),
+    "triplet_design": lambda f: _design(jobs.triplet_rows(_state_triplets(f))),
+    "pace_design": lambda f: _design(jobs.pace_rows(
+        state.engagement_pace(jobs.side_terms(f.alive))), "model_ms"),
+    "win_design": lambda f: jobs.win_rows(_plus_minus(f, "Hardpoint")),
 }
 
 
+def _design(rows: DataFrame, *more: str) -> DataFrame:
+    """A design matrix in long form: a row for every term that holds."""
+    return rows.select(*EVENT, *(more or ["outcome"]), F.explode("terms").alias("term")).filter(
+        F.col("term").isNotNull())
+
+
 def _varying(f: Feed) -> DataFrame:
     rows = design.collect_terms(
         _roles(f), EVENT, F.concat_ws("_", "player_id", "p"), F.lit(True))

@@ -75,8 +75,12 @@ def level_term(column: str) -> Column:
 
 
 def collect_terms(rows: DataFrame, ids: list[str], term: Column, present: Column) -> DataFrame:
-    """The terms that hold in each event, as an array bounded by the roster of the event."""
-    return rows.groupBy(*ids).agg(F.collect_list(F.when(present, term)).alias("terms"))
+    """The terms that hold in each event, as an array bounded by the roster of the event.
+
+    A term that several rows of an event name holds once: a design has presence, not counts.
+    """
+    held = F.array_distinct(F.collect_list(F.when(present, term)))
+    return rows.groupBy(*ids).agg(held.alias("terms"))
 
 
 def add_term(df: DataFrame, term: Column) -> DataFrame:

@@ -76,9 +76,9 @@ def _odds_ratios(
     numeric: list[str] | None = None, keys: list[str] = EVENT,
 ) -> DataFrame:
     """Fit on the training share of the rows: advantage levels and the player terms."""
-    with settled(rows) as kept:
-        terms = varying_terms(kept, players, "adv", str(adv_baseline))
-        train, _ = train_test_split(kept, keys, seed)
+    train, _ = train_test_split(rows, keys, seed)
+    with settled(train) as train:
+        terms = varying_terms(train, players, "adv", str(adv_baseline))
         return fit_logistic(train, F.col("outcome"), terms, numeric)[2]
 
 
@@ -174,14 +174,27 @@ def xkill_normalised(steps: DataFrame, fit) -> DataFrame:
     return both.select(*keys, sides.alias("s")).select(*keys, "s.*")
 
 
+def win_rows(plus_minus: DataFrame) -> DataFrame:
+    """Every team of a match with a result: victory and kill difference."""
+    rows = plus_minus.filter(F.col("is_victor").isNotNull())
+    return rows.select("is_victor", F.col("pm").cast("double").alias("adv"))
+
+
 def win_model(plus_minus: DataFrame) -> DataFrame:
     """Log odds of a match win by kill difference."""
-    rows = plus_minus.filter(F.col("is_victor").isNotNull())
-    rows = rows.select("is_victor", F.col("pm").cast("double").alias("adv"))
-    with settled(rows) as kept:
+    with settled(win_rows(plus_minus)) as kept:
         return fit_logistic(kept, F.col("is_victor"), [], ["adv"], exponentiate=False)[2]
 
 
+def triplet_rows(triplets: DataFrame) -> DataFrame:
+    """Every trade: did the avenger win, the three players' roles, the state of its event."""
+    rows = collect_terms(
+        triplets.filter(F.col("win").isNotNull()), [*event_keys(triplets), "win"],
+        F.concat_ws("_", "player", "type"), F.col("player").isNotNull(),
+    )
+    return add_term(rows, level_term("state")).withColumnRenamed("win", "outcome")
+
+
 def triplet_model(
     triplets: DataFrame, roster: DataFrame, min_games: int = 0, penalty: float = 1e-9,
     seed: int = 7,
@@ -190,15 +203,10 @@ def triplet_model(
 
     ``triplets`` carries the state of its event.
     """
-    rows = collect_terms(
-        triplets.filter(F.col("win").isNotNull()), [*event_keys(triplets), "win"],
-        F.concat_ws("_", "player", "type"), F.col("player").isNotNull(),
-    )
-    rows = add_term(rows, level_term("state")).withColumnRenamed("win", "outcome")
     players = player_terms(roster, ["AGAINST", "DEAD", "TRADE"], min_games, "")
-    with settled(rows) as kept:
-        terms = varying_terms(kept, players, "state")
-        train, _ = train_test_split(kept, EVENT, seed)
+    train, _ = train_test_split(triplet_rows(triplets), EVENT, seed)
+    with settled(train) as train:
+        terms = varying_terms(train, players, "state")
         return fit_ridge_logistic(train, F.col("outcome"), terms, penalty=penalty)[2]
 
 
@@ -231,10 +239,11 @@ def talent_model(
 
 def talent_log_loss(
     xkill: DataFrame, roster: DataFrame, min_games: int = params.MIN_GAMES, folds: int = 10,
-    penalty: float = 0.0,
+    penalty: float = 0.0, seed: int = 7,
 ) -> DataFrame:
-    """Held-out log loss of the talent model."""
-    with settled(with_fold(talent_rows(xkill), [*EVENT, "type"], folds)) as rows:
+    """Held-out log loss of the talent model, over folds of the training rows."""
+    train, _ = train_test_split(talent_rows(xkill), [*EVENT, "type"], seed)
+    with settled(with_fold(train, [*EVENT, "type"], folds)) as rows:
         terms = talent_terms(rows, roster, min_games)
         return cross_validate(
             rows, F.col("outcome"), terms, ["kill_prob"], [penalty], folds, "logistic"
@@ -274,6 +283,12 @@ def shot_quality_grid(
         return cross_validate(rows, F.col("xkill"), terms, None, penalties, folds, "linear")
 
 
+def pace_rows(pace: DataFrame) -> DataFrame:
+    """Every event after a match's first: time since the one before, state, who was alive."""
+    timed = pace.filter(F.col("duration").isNotNull())
+    return add_term(timed.select(*EVENT, "state", "model_ms", "terms"), level_term("state"))
+
+
 def pace_fit(
     pace: DataFrame, roster: DataFrame, min_games: int = params.MIN_GAMES,
     folds: int = 4, levels: int = 10, rule: str = "1se", seed: int = 7,
@@ -282,10 +297,8 @@ def pace_fit(
 
     ``pace`` comes from ``side_terms``.
     """
-    timed = pace.filter(F.col("duration").isNotNull())
-    rows = add_term(timed.select(*EVENT, "state", "model_ms", "terms"), level_term("state"))
     players = player_terms(roster, ["AGAINST", "FOR"], min_games, "")
-    train, _ = train_test_split(rows, EVENT, seed)
+    train, _ = train_test_split(pace_rows(pace), EVENT, seed)
     with settled(with_fold(train, EVENT, folds)) as kept:
         terms = varying_terms(kept, players, "state")
         return fit_cox(kept, "model_ms", terms, folds, levels=levels, rule=rule)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from .feed import KILLER, VICTIM
-from .reshape import gather, role_terms, spread, sum_matrix
+from .reshape import role_terms, spread, sum_matrix
 from .scan import SLICE, event_keys, group_keys, scan
 
 EVENT = ["match_id", "event_id", "time_ms", VICTIM, KILLER]
@@ -204,7 +204,15 @@ def time_at_advantage(team_rows: DataFrame) -> DataFrame:
     return team_rows.groupBy("match_id", "team", "adv").agg(F.sum("event_len").alias("time"))
 
 
+def advantage_levels(roster: DataFrame) -> list[int]:
+    """All advantages that the largest side of any match allows."""
+    sides = roster.groupBy("match_id", "team").agg(F.count(F.lit(1)).alias("n"))
+    most = sides.agg(F.max("n")).first()[0] or 0
+    return list(range(-most, most + 1))
+
+
 def time_at_advantage_wide(times: DataFrame, levels: list[int]) -> DataFrame:
+    """One column per level; ``advantage_levels`` names all that can occur."""
     return spread(times, ["match_id", "team"], "adv", "time", levels)
 
 
@@ -239,16 +247,11 @@ def match_with_difference(scored: DataFrame, pm: int) -> DataFrame:
     )
 
 
-def advantage_profile(wide_times: DataFrame, match_id: str | None = None) -> DataFrame:
-    """Time at each positive advantage, long; for one match or for all."""
+def advantage_profile(times: DataFrame, match_id: str | None = None) -> DataFrame:
+    """Time at each positive advantage, whatever its size; for one match or for all."""
     if match_id is not None:
-        wide_times = wide_times.filter(F.col("match_id") == match_id)
-    levels = [c for c in wide_times.columns if c not in ("match_id", "team")]
-    rows = gather(wide_times, ["match_id", "team"], levels, "adv", "time")
-    return rows.select(
-        "match_id", "team", F.col("adv").cast("long").alias("adv"),
-        F.col("time").cast("long").alias("time"),
-    ).filter(F.col("time").isNotNull() & (F.col("adv") > 0))
+        times = times.filter(F.col("match_id") == match_id)
+    return times.filter(F.col("time").isNotNull() & (F.col("adv") > 0))
 
 
 def advantage_timeline(

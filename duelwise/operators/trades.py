@@ -178,7 +178,10 @@ def trade_success(
     min_n: int = params.MIN_SITUATIONS,
     league_min_n: int | None = None,
 ) -> DataFrame:
-    """Wins, losses and situations per game of each player in a role, and the league mean."""
+    """Wins, losses and situations per game of each player in a role, and the league means.
+
+    For AGAINST, l_pct is the share of second kills; for DEAD, the share of deaths traded.
+    """
     table = (
         by_role.filter(F.col("state").isin(states) & (F.col("type") == role))
         .groupBy("player", "type")
@@ -193,11 +196,13 @@ def trade_success(
     # table the same, so that Spark runs its aggregation once and reuses the exchange.
     least = min_n if league_min_n is None else league_min_n
     counted = (F.col("n") > least) & (F.col("w") >= 0) & (F.col("games") > 0)
-    return table.filter(F.col("n") > min_n).select(
-        "player", "type", "w", (F.col("n") - F.col("w")).alias("l"), "w_pct", "n",
+    rows = table.filter(F.col("n") > min_n).select(
+        "player", "type", "w", (F.col("n") - F.col("w")).alias("l"), "w_pct",
+        (1 - F.col("w_pct")).alias("l_pct"), "n",
         (F.col("n") / F.col("games")).alias("sit_per_game"),
         league_mean(table, "w_pct", counted).alias("league_w_pct"),
     )
+    return rows.withColumn("league_l_pct", 1 - F.col("league_w_pct"))
 
 
 def trade_counts(outcomes: DataFrame) -> DataFrame:

@@ -74,10 +74,10 @@ def with_season(boxscores: DataFrame, match_info: DataFrame) -> DataFrame:
 
 
 def season_stats(boxscores: DataFrame, match_info: DataFrame) -> DataFrame:
-    """Kills, deaths, rounds, matches and ratio by season, mode and player."""
+    """Kills, deaths, rounds, matches and ratio by season, its title, mode and player."""
     return (
         with_season(boxscores, match_info)
-        .groupBy("year_no", "mode", F.lower("name").alias("player"))
+        .groupBy("year_no", "title", "mode", F.lower("name").alias("player"))
         .agg(
             F.sum("kills").alias("kills"), F.sum("deaths").alias("deaths"),
             F.sum("rounds").alias("rounds"), F.count(F.lit(1)).alias("n"),
@@ -93,15 +93,16 @@ def season_games(stats: DataFrame) -> DataFrame:
 def year_over_year(
     stats: DataFrame, min_games: int = params.MIN_SEASON_GAMES, mode: str | None = None
 ) -> DataFrame:
-    """Each player's value of a statistic beside that of their next season row."""
+    """Each player's value of a statistic in a mode beside that of the next season, if played."""
     if mode is not None:
         stats = stats.filter(F.col("mode") == mode)
     rates = stats.filter(F.col("n") > min_games).withColumn(
         "kpr", F.try_divide(F.col("kills"), F.col("rounds"))
     )
     rows = gather(rates, ["year_no", "mode", "player"], ["kd", "kpr"], "name")
-    seasons = Window.partitionBy("player", "name").orderBy("year_no", "mode")
-    return rows.withColumn("next_year", F.lead("value").over(seasons))
+    seasons = Window.partitionBy("player", "name", "mode").orderBy("year_no")
+    follows = F.lead("year_no").over(seasons) == F.col("year_no") + 1
+    return rows.withColumn("next_year", F.when(follows, F.lead("value").over(seasons)))
 
 
 def year_over_year_corr(

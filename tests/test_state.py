@@ -72,7 +72,7 @@ def test_team_views_mirror_each_other(spark):
     times = state.time_at_advantage(rows)
     assert keyed(times.filter("team = 'B'"), ["adv"], "time") == {0: 10000, 1: 2000, 2: 1000}
     wide = state.time_at_advantage_wide(times, [-2, -1, 0, 1, 2])
-    profile = state.advantage_profile(wide, "m")
+    profile = state.advantage_profile(times, "m")
     assert keyed(profile, ["team", "adv"], "time") == {("B", 1): 2000, ("B", 2): 1000}
     line = keyed(state.advantage_timeline(rows, "m", "B"), ["event_id"], "cum_adv")
     assert line == {1: 0, 2: 1, 3: 3}
