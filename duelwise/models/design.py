@@ -141,21 +141,13 @@ def deviations(assembled: DataFrame) -> np.ndarray:
 
 def aliased_columns(matrix: np.ndarray, tolerance: float = 1e-7) -> list[int]:
     """Columns that are, beside an intercept, a linear combination of earlier columns."""
-    size = len(matrix)
-    factor = np.zeros((size, size))
-    kept: list[int] = []
+    rest = np.where(np.isfinite(matrix), matrix, 0.0)
     dropped: list[int] = []
-    for column in range(size):
-        if not np.isfinite(matrix[column]).any():
+    for column in range(len(rest)):
+        if not rest[column, column] > tolerance:
             dropped.append(column)
             continue
-        known = factor[np.ix_(kept, range(len(kept)))]
-        row = np.linalg.solve(known, matrix[kept, column]) if kept else np.zeros(0)
-        rest = matrix[column, column] - row @ row
-        if not rest > tolerance:
-            dropped.append(column)
-            continue
-        factor[column, : len(kept)] = row
-        factor[column, len(kept)] = np.sqrt(rest)
-        kept.append(column)
+        # What this column explains is taken out of those behind it.
+        later = rest[column, column + 1:] / np.sqrt(rest[column, column])
+        rest[column + 1:, column + 1:] -= np.outer(later, later)
     return dropped

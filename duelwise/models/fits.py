@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -19,7 +24,12 @@ from .design import aliased_columns, assemble, correlations
 
 TIDY = "term string, estimate double, `std.error` double, statistic double, `p.value` double"
 INTERCEPT = "(Intercept)"
-SOLVER_TERMS = 4096  # columns that Spark's normal-equation solver accepts
+IRLS_STEPS, LBFGS_STEPS = 50, 500
+
+
+def _warn_unless(converged: bool, what: str) -> None:
+    if not converged:
+        warnings.warn(f"{what} stopped before it converged", RuntimeWarning, stacklevel=3)
 
 
 def terms_frame(spark: SparkSession, rows: list[tuple], schema: str = TIDY) -> DataFrame:
@@ -29,39 +39,44 @@ def terms_frame(spark: SparkSession, rows: list[tuple], schema: str = TIDY) -> D
 
 def fit_logistic(
     df: DataFrame, label: Column, terms: list[str], numeric: list[str] | None = None,
-    intercept: bool = True, exponentiate: bool = True,
+    intercept: bool = True, exponentiate: bool = True, solver: str = "irls",
 ):
-    """Unregularised logistic regression by iteratively reweighted least squares.
+    """Unregularised logistic regression.
 
     Returns the model, the names of its columns, and a tidy table in which ``estimate``
     is an odds ratio. Terms that depend linearly on earlier ones are left out of the fit
-    and listed with NULL values. Beyond ``SOLVER_TERMS`` columns, which normal equations
-    cannot hold, the same likelihood is maximised by L-BFGS and the table has estimates
-    only. ``df`` is read once per iteration: settle it first.
+    and listed with NULL values. The caller chooses the solver, and with it the table:
+    ``irls``, iteratively reweighted least squares, gives standard errors and takes up to
+    4096 columns, Spark's limit for normal equations, beyond which it fails; ``lbfgs``
+    takes any number and gives estimates only. A fit that stops before it has converged
+    gives a warning. ``df`` is read once per iteration: settle it first.
     """
+    if solver not in ("irls", "lbfgs"):
+        raise ValueError(f"no solver {solver}")
     numeric = numeric or []
     names = [*numeric, *terms]
     labelled = df.withColumn("label", label.cast("double"))
     rows = labelled.select("label", *(["terms"] if terms else []), *numeric)
-    direct = len(names) <= SOLVER_TERMS
     gone: set[str] = set()
-    if direct and intercept and len(names) > 1:
+    if intercept and len(names) > 1:
         dropped = aliased_columns(correlations(assemble(rows, terms, numeric)))
         gone = {names[i] for i in dropped}
     used_numeric = [n for n in numeric if n not in gone]
     used_terms = [t for t in terms if t not in gone]
     vectors = assemble(rows, used_terms, used_numeric)
     order = [*used_numeric, *used_terms]
-    if direct:
+    if solver == "irls":
         model = GeneralizedLinearRegression(
-            family="binomial", link="logit", fitIntercept=intercept, maxIter=25, tol=1e-8
+            family="binomial", link="logit", fitIntercept=intercept, maxIter=IRLS_STEPS, tol=1e-8
         ).fit(vectors)
         summary = model.summary
+        _warn_unless(summary.numIterations < IRLS_STEPS, "logistic fit")
         columns = [summary.coefficientStandardErrors, summary.tValues, summary.pValues]
     else:
         model = LogisticRegression(
-            regParam=0.0, fitIntercept=intercept, maxIter=500, tol=1e-9
+            regParam=0.0, fitIntercept=intercept, maxIter=LBFGS_STEPS, tol=1e-9
         ).fit(vectors)
+        _warn_unless(model.summary.totalIterations < LBFGS_STEPS, "logistic fit")
         columns = [[None] * (len(order) + 1)] * 3
     found = dict(zip(
         [*order, *([INTERCEPT] if intercept else [])],
@@ -104,18 +119,22 @@ def fit_ridge_logistic(
 ):
     """Logistic regression with an L2 penalty on standardised columns, on the log-odds scale."""
     estimator = LogisticRegression(
-        regParam=penalty, elasticNetParam=0.0, standardization=True, maxIter=200, tol=1e-7
+        regParam=penalty, elasticNetParam=0.0, standardization=True, maxIter=LBFGS_STEPS,
+        tol=1e-7,
     )
     return _ridge(df, label, terms, numeric, estimator)
 
 
 def fit_ridge_linear(
     df: DataFrame, label: Column, terms: list[str], numeric: list[str] | None = None,
-    penalty: float = 1e-9,
+    penalty: float = 1e-9, solver: str = "normal",
 ):
-    """Linear regression with an L2 penalty on standardised columns."""
+    """Linear regression with an L2 penalty on standardised columns.
+
+    ``normal`` takes up to 4096 columns, Spark's limit, and fails beyond; ``l-bfgs`` any number.
+    """
     estimator = LinearRegression(
-        regParam=penalty, elasticNetParam=0.0, standardization=True, solver="auto"
+        regParam=penalty, elasticNetParam=0.0, standardization=True, solver=solver
     )
     return _ridge(df, label, terms, numeric, estimator)
 
@@ -139,12 +158,15 @@ def cross_validate(
     penalties = penalties or penalty_levels()
     labelled = df.withColumn("label", label.cast("double"))
     rows = labelled.select("label", "fold", "terms", *(numeric or []))
+    schema = "penalty double, metric string, mean double, std double"
     if kind == "linear":
-        estimator = LinearRegression(elasticNetParam=0.0)
-        evaluator = RegressionEvaluator(metricName="rmse")
-    else:
-        estimator = LogisticRegression(elasticNetParam=0.0, maxIter=200, tol=1e-7)
-        evaluator = MulticlassClassificationEvaluator(metricName="logLoss")
+        errors = _ridge_errors(_fold_sums(rows, terms, numeric or [], folds), penalties)
+        return terms_frame(df.sparkSession, [
+            (float(p), "rmse", float(e.mean()), float(e.std(ddof=1)) if folds > 1 else None)
+            for p, e in zip(penalties, errors)
+        ], schema)
+    estimator = LogisticRegression(elasticNetParam=0.0, maxIter=LBFGS_STEPS, tol=1e-7)
+    evaluator = MulticlassClassificationEvaluator(metricName="logLoss")
     grid = ParamGridBuilder().addGrid(estimator.regParam, penalties).build()
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,
@@ -155,9 +177,74 @@ def cross_validate(
         (float(p), evaluator.getMetricName(), float(m), float(s))
         for p, m, s in zip(penalties, found.avgMetrics, found.stdMetrics)
     ]
-    return terms_frame(
-        df.sparkSession, results, "penalty double, metric string, mean double, std double"
-    )
+    return terms_frame(df.sparkSession, results, schema)
+
+
+def _fold_sums(
+    rows: DataFrame, terms: list[str], numeric: list[str], folds: int
+) -> np.ndarray:
+    """Sums of products of (1, numeric, terms, label) per fold, in one pass over the rows.
+
+    What leaves a task, and what the driver sees, is a matrix per fold, not rows.
+    """
+    size = len(numeric) + len(terms) + 2
+    names = pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((folds, size, size))
+        for batch in batches:
+            for start in range(0, len(batch), 4096):
+                part = batch.slice(start, 4096)
+                x = np.zeros((len(part), size))
+                x[:, 0], x[:, -1] = 1.0, part.column(0).to_numpy(zero_copy_only=False)
+                for i in range(len(numeric)):
+                    x[:, 1 + i] = part.column(3 + i).to_numpy(zero_copy_only=False)
+                held = part.column(2)
+                at = pc.index_in(pc.list_flatten(held), names)
+                whose = pc.list_parent_indices(held)
+                known = at.is_valid()
+                place = at.filter(known).to_numpy() + 1 + len(numeric)
+                np.add.at(x, (whose.filter(known).to_numpy(), place), 1.0)
+                fold = part.column(1).to_numpy()
+                for k in np.unique(fold):
+                    own = x[fold == k]
+                    total[k] += own.T @ own
+        k, i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v.astype(np.int32)) for v in (k, i, j)] + [pa.array(total[k, i, j])],
+            names=["k", "i", "j", "v"])
+
+    sums = rows.select("label", "fold", "terms", *(F.col(c).cast("double") for c in numeric))
+    found = sums.mapInArrow(run, "k int, i int, j int, v double").groupBy("k", "i", "j").agg(
+        F.sum("v").alias("v")).toArrow()
+    out = np.zeros((folds, size, size))
+    out[tuple(found.column(c).to_numpy() for c in range(3))] = found.column(3).to_numpy()
+    return out
+
+
+def _ridge_errors(sums: np.ndarray, penalties: list[float]) -> list[np.ndarray]:
+    """Held-out root mean squared error per penalty and fold, from sums of products.
+
+    Columns and label are standardised on the training folds, and the penalty is divided by
+    the label's deviation, as in Spark's own fit.
+    """
+    whole = sums.sum(axis=0)
+    errors = [np.zeros(len(sums)) for _ in penalties]
+    for k, held in enumerate(sums):
+        train = whole - held
+        mean = train[0, 1:] / train[0, 0]
+        cov = train[1:, 1:] / train[0, 0] - np.outer(mean, mean)
+        spread_ = np.sqrt(np.maximum(np.diag(cov), 0.0))
+        varies = spread_[:-1] > 1e-12
+        scale = np.where(varies, spread_[:-1], 1.0)
+        left = cov[:-1, :-1] / np.outer(scale, scale)
+        right = cov[:-1, -1] / scale
+        for error, penalty in zip(errors, penalties):
+            lead = left + np.diag(np.where(varies, penalty / spread_[-1], 1.0))
+            slope = np.where(varies, np.linalg.lstsq(lead, right, rcond=None)[0], 0.0) / scale
+            full = np.concatenate([[mean[-1] - slope @ mean[:-1]], slope, [-1.0]])
+            error[k] = np.sqrt(max(full @ held @ full, 0.0) / held[0, 0])
+    return errors
 
 
 def player_table(terms: DataFrame, roles: list[str], positive: str, negative: str) -> DataFrame:

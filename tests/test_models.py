@@ -60,13 +60,12 @@ def test_logistic_equals_numpy(spark):
     assert np.abs(beta - truth).max() < 0.5
 
 
-def test_many_terms_are_fitted_without_errors(spark, monkeypatch):
+def test_the_other_solver_gives_estimates_only(spark):
     rng, players, x = sample()
     X = matrix(players, x, TERMS)
     y = rng.random(len(x)) < 1 / (1 + np.exp(-X @ (rng.normal(size=X.shape[1]) * 0.5)))
-    monkeypatch.setattr(fits, "SOLVER_TERMS", 3)
     df = frame(spark, players, x, y)
-    model, columns, table = fits.fit_logistic(df, F.col("y"), TERMS, ["x"])
+    model, columns, table = fits.fit_logistic(df, F.col("y"), TERMS, ["x"], solver="lbfgs")
     got = keyed(table, ["term"], "estimate", "std.error")
     beta, _ = irls(X, y.astype(float))
     for name, b in zip(["(Intercept)", "x", *TERMS], beta):
@@ -164,6 +163,22 @@ def test_cross_validation_prefers_the_small_penalty(spark):
     assert fits.penalty_levels(3) == [1e-10, 1e-5, 1.0]
 
 
+def test_one_pass_errors_equal_those_of_single_fits(spark):
+    rng, players, x = sample(600)
+    df = design.with_fold(frame(spark, players, x, 3 * x + rng.normal(size=len(x))), ["i"], 3).cache()
+    got = keyed(fits.cross_validate(df, F.col("y"), TERMS, ["x"], [1e-3, 0.7], 3), ["penalty"], "mean", "std")
+    for penalty in (1e-3, 0.7):
+        errors = []
+        for k in range(3):
+            model, columns, _ = fits.fit_ridge_linear(
+                df.filter(F.col("fold") != k), F.col("y"), TERMS, ["x"], penalty)
+            held = fits.predict(model, df.filter(F.col("fold") == k), columns)
+            errors.append(held.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)))).first()[0])
+        mean = sum(errors) / 3
+        assert abs(got[penalty][0] - mean) < 1e-6, (got, errors)
+        assert abs(got[penalty][1] - np.std(errors, ddof=1)) < 1e-6
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     return Feed(spark, SMALL)
