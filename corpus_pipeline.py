@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelwise.llm import classifier, decontam, lines, minhash, mixing
+from duelwise.llm.columns import free_name
 from duelwise.llm.scratch import settle
 
 #: Least quality score of a document that stays.
@@ -22,21 +23,23 @@ GOOD = 0.7
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on those given."""
     weights = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.score(docs, weights).filter(F.col("quality_score") >= GOOD).select(
+    out = free_name(docs, "quality_score")
+    return classifier.score(docs, weights, out=out).filter(F.col(out) >= GOOD).select(
         *docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines similar to earlier ones. A document goes if it loses all its words;
     n_chars follows the text."""
-    cleaned = lines.dedup_lines(docs)
-    lost = (F.size("line_report.removed") > 0) & ~F.coalesce(
+    out = free_name(docs, "line_report")
+    cleaned = lines.dedup_lines(docs, out=out)
+    cut = F.size(f"{out}.removed") > 0
+    lost = cut & ~F.coalesce(
         F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     cleaned = cleaned.filter(~lost)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(
-            F.size("line_report.removed") > 0, F.char_length("text").cast("long"))
-            .otherwise(F.col("n_chars")))
+            cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)
 
 

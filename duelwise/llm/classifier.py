@@ -155,8 +155,11 @@ def held_out(id_):
     return F.coalesce(F.pmod(crc, F.lit(4)) == 2, F.lit(False))
 
 
-def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """All columns of `docs`, then `quality_score` from 0 to 1; null texts count as empty."""
+def score(
+    docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str = "quality_score"
+) -> DataFrame:
+    """All columns of `docs`, then `out` from 0 to 1; null texts count as empty, and texts
+    without words get the bias. The name `out` must be new to `docs`."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     names = docs.columns
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"),
@@ -171,4 +174,4 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataF
 
     scored = F.arrow_udf(run, "double")
     return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in names),
-                       scored("text").alias("quality_score"))
+                       scored("text").alias(out))

@@ -424,14 +424,14 @@ def _list_lengths(listed: DataFrame, slots: int) -> np.ndarray:
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3,
-    percent: int = 80,
+    percent: int = 80, out: str = "line_report",
 ) -> DataFrame:
-    """All columns of `docs`, the text without repeated lines, and `line_report`.
+    """All columns of `docs`, the text without repeated lines, and `out`, a name new to `docs`.
 
     A line is a piece of the text between line feeds; its set holds its words (runs without
     white space, A-Z lower-cased). A line of min_words words or more goes if a line that
     comes earlier, by id and then by line number, reaches the similarity. Shorter and blank
-    lines stay. line_report is a struct of n_lines and removed (numbers of the lines, from
+    lines stay. `out` is a struct of n_lines and removed (numbers of the lines, from
     0). A null text has no lines and stays null; a null id comes last; of rows with one id
     and different texts the order is that of a hash; rows alike in id and text are one
     document and lose the same lines. The similarity must be at least 80 percent.
@@ -451,4 +451,4 @@ def dedup_lines(
                       .alias("n_lines"), gone.alias("removed"))
     return rows.join(removed, ["id", "part"], "left").select(
         *((kept if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in names),
-        report.alias("line_report"))
+        report.alias(out))

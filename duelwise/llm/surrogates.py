@@ -263,9 +263,11 @@ def entity_table(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replace_entities(
-    docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text",
+    out: str = "entities",
 ) -> DataFrame:
-    """All columns of `docs`, the text with surrogates, and `entities`: how many were replaced.
+    """All columns of `docs`, the text with surrogates, and `out`, a name new to `docs`: how
+    many were replaced.
 
     key is the secret of the keyed hash: the same key gives the same surrogates for the same
     corpus. A text without entities, an empty or a null text stays as it is, with 0; rows
@@ -294,4 +296,4 @@ def replace_entities(
             F.get("put", i)["new"], F.lit("")))), "")))
     return rows.select(
         *((new if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in names),
-        F.coalesce(F.size("put"), F.lit(0)).cast("long").alias("entities"))
+        F.coalesce(F.size("put"), F.lit(0)).cast("long").alias(out))
