@@ -7,8 +7,9 @@ length, by the places of the shared word, and by a parity bitmap that can only
 underestimate a difference. Whole sets then confirm the pairs. A line goes if any earlier
 line is similar to it.
 
-Each line names only its first few possible partners per list; a line that none of them
-confirms, and that had more, is compared with all of them in a second turn.
+In a first turn each line is compared with its earliest possible partner alone; a line that
+this one does not confirm, and that has more, is compared with all of them in a second turn.
+So a group of n similar lines makes about n pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from duelwise.llm.words import SPACED, mix, split_words, text_slices
 SLOTS = 1 << 20
 #: Slots of a bitmap of wanted documents, lines or words.
 WANTED = 1 << 22
-#: Partners that a line names in its first turn.
-NAMED = 4
 #: Lists that may be longer are dealt into pairs of chunks of about this length.
 CHUNK = 1 << 16
 _LAST = (1 << 63) - 1
@@ -45,8 +44,7 @@ class _Lines:
         line = np.searchsorted(breaks, words.start) + text
         begins = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)
         rarity = counts[words.hash & np.uint64(SLOTS - 1)] if counts is not None else None
-        keys = (words.hash, line) if rarity is None else (words.hash, rarity, line)
-        order = np.lexsort(keys)
+        order = _order(words.hash, rarity, line)
         token, line, text = words.hash[order], line[order], text[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
@@ -68,6 +66,21 @@ class _Lines:
         return self.token[flat], bounds
 
 
+def _order(token: np.ndarray, rarity: np.ndarray | None, line: np.ndarray) -> np.ndarray:
+    """Order by line, rarity and word, by one key if that settles it."""
+    if rarity is not None:
+        rarity = np.minimum(rarity, (1 << 22) - 1).astype(np.uint64)
+    if len(line) and line[-1] < 1 << 20:
+        key = (token >> np.uint64(20)) if rarity is None else (
+            rarity << np.uint64(22)) | (token >> np.uint64(42))
+        key |= line.astype(np.uint64) << np.uint64(44)
+        order = np.argsort(key)
+        key, own = key[order], token[order]
+        if not ((key[1:] == key[:-1]) & (own[1:] != own[:-1])).any():
+            return order
+    return np.lexsort((token, line) if rarity is None else (token, rarity, line))
+
+
 def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """Up to three words, 80 percent means equal sets, which need no list."""
     length = n - -(-percent * n // 100) + 1
@@ -144,8 +157,23 @@ def _word_counts(source: DataFrame) -> np.ndarray:
     return slot_counts(counted, "slot", SLOTS, "c")
 
 
+#: Bits by which the columns of a place are shifted for its slot.
+_SHIFTS = (0, 3, 9)
+
+
 def _slots(*columns: str):
-    return F.xxhash64(*columns).bitwiseAND(F.lit(WANTED - 1)).cast("int")
+    """The slot of a place, or of a text; `_slot_of` gives the same in a task."""
+    slot = F.lit(0).cast("long")
+    for column, shift in zip(columns, _SHIFTS):
+        slot = slot.bitwiseXOR(F.shiftleft(F.col(column).cast("long"), shift))
+    return slot.bitwiseAND(F.lit(WANTED - 1)).cast("int")
+
+
+def _slot_of(*columns: np.ndarray) -> np.ndarray:
+    slot = np.zeros(len(columns[0]), np.int64)
+    for column, shift in zip(columns, _SHIFTS):
+        slot ^= column.astype(np.int64) << shift
+    return slot & (WANTED - 1)
 
 
 def _bitmap(df: DataFrame, *columns: str):
@@ -159,9 +187,12 @@ def _marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def _postings(lines: DataFrame, lengths, words=None, open_=None) -> DataFrame:
-    """A row per listed word of a line. With bitmaps: of marked words; open lines marked."""
-    rows = lines.select(*_PLACE, "node", "n", "sig0", "sig1", "prefix",
-                        _slots(*_PLACE).alias("slot"))
+    """A row per listed word of a line. With bitmaps: of marked words; open lines marked.
+
+    Numbers are packed in pairs, which halves what is shuffled: list is word and block, spot
+    is part and line, form is the number of words, the word's place among them, and the mark.
+    """
+    rows = lines.select(*_PLACE, "node", "n", "sig0", "sig1", "prefix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,20 +214,24 @@ def _postings(lines: DataFrame, lengths, words=None, open_=None) -> DataFrame:
             if words is not None:
                 few = _marked(words.value, _word_slot(word, WANTED))
                 which, place, word = which[few], place[few], word[few]
-                marked = _marked(open_.value, batch.column(8).to_numpy())
+                marked = _marked(open_.value, _slot_of(
+                    *(batch.column(i).to_numpy() for i in (0, 1, 2))))
             many = lengths.value[_word_slot(word, len(lengths.value))]
             chunks = np.maximum(1, -(-many // CHUNK))
             for block, some in _dealt(which, chunks, node):
-                at = pa.array(which[some])
+                at = which[some]
+                list_ = (word[some].astype(np.int64) << 32) | block
+                spot = (batch.column(1).to_numpy()[at].astype(np.int64) << 32) \
+                    | batch.column(2).to_numpy()[at]
+                form = (batch.column(4).to_numpy()[at].astype(np.int64) << 31) \
+                    | (place[some] << 1) | marked[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word[some]), pa.array(block.astype(np.int32)),
-                     *(batch.column(i).take(at) for i in (0, 1, 2, 4, 5, 6)),
-                     pa.array(place[some].astype(np.int32)), pa.array(marked[which[some]])],
-                    names=["word", "block", *_PLACE, "n", "sig0", "sig1", "pos", "marked"])
+                    [pa.array(list_), batch.column(0).take(pa.array(at)), pa.array(spot),
+                     pa.array(form), *(batch.column(i).take(pa.array(at)) for i in (5, 6))],
+                    names=["list", "id", "spot", "form", "sig0", "sig1"])
 
     return rows.mapInArrow(
-        run, "word int, block int, id long, part int, line int, n int, sig0 long, sig1 long, "
-             "pos int, marked boolean")
+        run, "list long, id long, spot long, form long, sig0 long, sig1 long")
 
 
 def _word_slot(word: np.ndarray, slots: int) -> np.ndarray:
@@ -221,6 +256,7 @@ def _partners(postings: DataFrame, percent: int, named: int | None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_lists(batches):
+            rows = _unpacked(rows)
             x, y, more = _list_pairs(rows, percent, named)
             for s in range(0, len(x), 1 << 16):
                 part = slice(s, s + (1 << 16))
@@ -229,28 +265,38 @@ def _partners(postings: DataFrame, percent: int, named: int | None) -> DataFrame
                      pa.array(more[part])],
                     names=[*(f"{s_}_{c}" for s_ in "xy" for c in _PLACE), "more"])
 
-    order = ["word", "block", *_PLACE]
-    return postings.repartition("word", "block").sortWithinPartitions(*order).mapInArrow(run, out)
+    return postings.repartition("list").sortWithinPartitions("list").mapInArrow(run, out)
+
+
+def _unpacked(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Columns of whole lists, each in order of the lines' places."""
+    part, line = rows["spot"] >> 32, rows["spot"] & 0xFFFFFFFF
+    order = np.lexsort((line, part, rows["id"], rows["list"]))
+    form = rows["form"][order]
+    return {
+        "list": rows["list"][order], "id": rows["id"][order],
+        "part": part[order].astype(np.int32), "line": line[order].astype(np.int32),
+        "n": form >> 31, "pos": (form >> 1) & 0x3FFFFFFF, "marked": (form & 1).astype(bool),
+        "sig0": rows["sig0"][order], "sig1": rows["sig1"][order],
+    }
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Sorted rows in runs that end where a list ends."""
-    held, size = [], 0
+    held = []
     for batch in batches:
-        word, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero((np.diff(word) != 0) | (np.diff(block) != 0))
+        list_ = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(list_) != 0)
         cut = int(cuts[-1]) + 1 if len(cuts) else 0
         if held and len(batch):
-            last = held[-1]
-            if (last.column(0)[-1], last.column(1)[-1]) != (batch.column(0)[0], batch.column(1)[0]):
+            if held[-1].column(0)[-1].as_py() != list_[0]:
                 yield _columns(held)
-                held, size = [], 0
+                held = []
         if cut:
             yield _columns([*held, batch.slice(0, cut)])
-            held, size = [], 0
+            held = []
         if len(batch) > cut:
             held.append(batch.slice(cut))
-            size += len(batch) - cut
     if held:
         yield _columns(held)
 
@@ -262,7 +308,7 @@ def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 def _may(rows, x, y, percent: int) -> np.ndarray:
     """Whether lines x and y of a list pass the filters of length, place and bitmap."""
-    nx, ny = rows["n"][x].astype(np.int64), rows["n"][y].astype(np.int64)
+    nx, ny = rows["n"][x], rows["n"][y]
     left = 1 + np.minimum(nx - 1 - rows["pos"][x], ny - 1 - rows["pos"][y])
     apart = sum(np.bitwise_count((rows[c][x] ^ rows[c][y]).view(np.uint64)).astype(np.int64)
                 for c in ("sig0", "sig1"))
@@ -273,9 +319,9 @@ def _may(rows, x, y, percent: int) -> np.ndarray:
 
 def _list_pairs(rows: dict[str, np.ndarray], percent: int, named: int | None):
     """Possible pairs (x before y) within lists; y must be marked."""
-    size = len(rows["word"])
+    size = len(rows["list"])
     new = np.ones(size, bool)
-    new[1:] = (rows["word"][1:] != rows["word"][:-1]) | (rows["block"][1:] != rows["block"][:-1])
+    new[1:] = rows["list"][1:] != rows["list"][:-1]
     begin = np.maximum.accumulate(np.where(new, np.arange(size), 0))
     rank = np.arange(size) - begin
     length = np.diff(np.append(np.flatnonzero(new), size))[np.cumsum(new) - 1]
@@ -331,33 +377,29 @@ def _confirmed(source: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(*(F.col(f"x_{c}").alias(c) for c in _PLACE)).union(
         pairs.select(*(f"y_{c}" for c in _PLACE)))
     texts, wanted = _bitmap(ends, "id", "part"), _bitmap(ends, *_PLACE)
-    picked = source.withColumn("slot", _slots("id", "part"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            few = np.flatnonzero(_marked(texts.value, batch.column(3).to_numpy()))
-            batch = batch.take(pa.array(few))
+            key = [batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)]
+            few = np.flatnonzero(_marked(texts.value, _slot_of(*key)))
+            batch, key = batch.take(pa.array(few)), [k[few] for k in key]
             for first, data, offsets in text_slices(batch.column(2)):
                 found = _Lines(data, offsets)
-                if not len(found.n):
+                whose = found.text + first
+                rows = np.flatnonzero(_marked(wanted.value, _slot_of(
+                    key[0][whose], key[1][whose], found.line)))
+                if not len(rows):
                     continue
-                token, bounds = found.tokens(np.arange(len(found.n)))
-                whose = pa.array(found.text + first)
+                token, bounds = found.tokens(rows)
+                whose = pa.array(whose[rows])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(whose), batch.column(1).take(whose),
-                     pa.array(found.line.astype(np.int32)),
+                     pa.array(found.line[rows].astype(np.int32)),
                      pa.ListArray.from_arrays(bounds.astype(np.int32), token.view(np.int64))],
                     names=[*_PLACE, "tokens"])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            few = np.flatnonzero(_marked(wanted.value, batch.column(4).to_numpy()))
-            yield batch.take(pa.array(few)).select([*_PLACE, "tokens"])
-
     shape = "id long, part int, line int, tokens array<long>"
-    sets = picked.mapInArrow(choose, shape).withColumn("slot", _slots(*_PLACE)).mapInArrow(
-        keep, shape).dropDuplicates(_PLACE)
-    sets = settle(sets)
+    sets = settle(source.mapInArrow(choose, shape).dropDuplicates(_PLACE))
     for side in "xy":
         pairs = pairs.join(sets.select(*(F.col(c).alias(f"{side}_{c}") for c in _PLACE),
                                        F.col("tokens").alias(side)),
@@ -377,14 +419,16 @@ def removed_lines(
     counts = spark.sparkContext.broadcast(
         np.minimum(_word_counts(source), (1 << 31) - 1).astype(np.int32))
     lines = settle(_line_rows(source, counts, min_words, percent))
-    listed = lines.select(F.explode("prefix").alias("word"))
     # Slots of 4096 entries on average: only a list that is long alone counts as long.
     entries = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
     slots = 1 << min(24, max(12, (entries // 4096).bit_length()))
-    lengths = spark.sparkContext.broadcast(_list_lengths(listed, slots))
+    lengths = spark.sparkContext.broadcast(_list_lengths(lines, slots))
+    x = F.struct(*(f"x_{c}" for c in _PLACE))
     pairs = settle(
-        _partners(_postings(lines, lengths), percent, NAMED)
-        .groupBy(*(f"{s}_{c}" for s in "xy" for c in _PLACE)).agg(F.max("more").alias("more"))
+        _partners(_postings(lines, lengths), percent, 1)
+        .groupBy(*(f"y_{c}" for c in _PLACE))
+        .agg(F.min(x).alias("x"), (F.max("more") | (F.min(x) < F.max(x))).alias("more"))
+        .select("x.*", *(f"y_{c}" for c in _PLACE), "more")
     )
     similar = settle(_confirmed(source, pairs, percent))
     still = settle(
@@ -392,7 +436,7 @@ def removed_lines(
         .join(similar, _PLACE, "left_anti")
     )
     if not still.isEmpty():
-        words = lines.join(still, _PLACE).select(F.explode("prefix").alias("word"))
+        words = lines.join(still, _PLACE).select("prefix")
         again = _partners(
             _postings(lines, lengths, spark.sparkContext.broadcast(
                 np.packbits(_list_lengths(words, WANTED) > 0)), _bitmap(still, *_PLACE)),
@@ -406,20 +450,22 @@ def removed_lines(
         F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def _list_lengths(listed: DataFrame, slots: int) -> np.ndarray:
-    """Lengths of the lists of words, by slot."""
+def _list_lengths(lines: DataFrame, slots: int) -> np.ndarray:
+    """Lengths of the lists of words of some lines, by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for batch in batches:
-            total += np.bincount(_word_slot(batch.column(0).to_numpy(), slots), minlength=slots)
+            word = batch.column(0).flatten().to_numpy()
+            total += np.bincount(_word_slot(word, slots), minlength=slots)
         slot = np.flatnonzero(total)
         for start in range(0, len(slot), 1 << 16):
             some = slot[start:start + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "c"])
 
-    return slot_counts(listed.mapInArrow(run, "slot int, c long"), "slot", slots, "c")
+    counted = lines.select("prefix").mapInArrow(run, "slot int, c long")
+    return slot_counts(counted, "slot", slots, "c")
 
 
 def dedup_lines(

@@ -77,11 +77,10 @@ def line_texts(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("named", [1, 4])
-def test_repeated_lines_equal_all_pairs(spark, monkeypatch, named):
-    monkeypatch.setattr(lines, "NAMED", named)
-    monkeypatch.setattr(lines, "CHUNK", 16)
-    rows = line_texts(named)
+@pytest.mark.parametrize("chunk", [16, 1 << 16])
+def test_repeated_lines_equal_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lines, "CHUNK", chunk)
+    rows = line_texts(chunk)
     found = lines.dedup_lines(documents(spark, rows))
     want = repeated_lines(rows)
     assert removed(found) == want
