@@ -23,7 +23,7 @@ from duelwise.llm.words import mix, text_slices
 #: Characters of context at most.
 ORDER = 5
 #: Slots for contexts, and as many for contexts with the next character, per order.
-SLOTS = 1 << 16
+SLOTS = 1 << 17
 #: Observations that the next lower order is worth.
 LEAN = 2.0
 #: Width and number of the bins of scores by which they are calibrated.
