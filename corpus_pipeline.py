@@ -1,8 +1,9 @@
 """Corpus preparation, stage by stage.
 
 Every stage takes all documents that the one before kept, written as Parquet, and returns
-the columns of documents; the last returns the mix. Null texts and empty ones pass all
-filters; an empty table stays empty.
+the columns of documents; the last returns the mix. Texts that are null, or without words,
+get the classifier's bias as score, so they stay where good labels are common enough; the
+other filters keep them. An empty table stays empty.
 """
 
 from __future__ import annotations
