@@ -294,10 +294,10 @@ def common_levels(df: DataFrame, level: str, min_n: int) -> DataFrame:
     """Rows of the levels with more than ``min_n`` rows, with that number.
 
     Counted by an aggregate and joined back: a window on a level would put the most common
-    level into one task. There is one row per level of a factor, so the counts are small.
+    level into one task. Whether the counts are broadcast is left to Spark's size check.
     """
     counts = df.groupBy(level).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_n)
-    return df.join(F.broadcast(counts), level)
+    return df.join(counts, level)
 
 
 def prediction_grid(df: DataFrame, factors: list[str], ranges: dict[str, tuple[int, int, int]]):

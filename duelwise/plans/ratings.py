@@ -157,7 +157,7 @@ def coef_percentiles(table: DataFrame) -> DataFrame:
     stats = [c for c in table.columns if c != "player_id"]
     ranked = percent_rank_by(gather(table, ["player_id"], stats, "name"), "name")
     averages = ranked.groupBy("name").agg(F.avg("value").alias("avg"))
-    return ranked.join(F.broadcast(averages), "name", "left")
+    return ranked.join(averages, "name", "left")
 
 
 def impact_vs_actual(coefs_long: DataFrame, rates_long: DataFrame) -> DataFrame:
