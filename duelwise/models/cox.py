@@ -10,22 +10,24 @@ coefficient matrix is one pair of penalty and left-out fold: a pass serves all o
 from __future__ import annotations
 
 import sys
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .design import assemble, correlations, deviations
+from .design import assemble, correlations, deviations, settled
 from .fits import terms_frame
 
 # The task functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_CELLS = 50_000_000  # of the driver's table by duration
-MAX_DENSE = 5_000_000   # of a task's indicator matrix
 MAX_HELD = 100_000      # durations that a task holds before it merges them
 
 
@@ -40,22 +42,29 @@ class CoxFit:
     table: DataFrame
 
 
-def _indicators(indices: pd.Series, width: int) -> np.ndarray:
-    """Rows by terms, with the number of times that each term holds in the row."""
+def _held(indices: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that hold, row by row, and how many of them each row has."""
     sizes = indices.map(len).to_numpy()
-    cells = np.zeros(0, dtype=np.int64)
-    if sizes.sum():
-        flat = np.concatenate(indices.to_numpy()).astype(np.int64)
-        cells = np.repeat(np.arange(len(sizes)), sizes) * width + flat
-    return np.bincount(cells, minlength=len(sizes) * width).reshape(-1, width).astype(float)
+    flat = np.concatenate(indices.to_numpy()).astype(np.int64) if sizes.sum() else np.zeros(0, int)
+    return flat, sizes
 
 
-def _pieces(batches, width: int):
-    """Batches cut so that a dense indicator matrix of a piece stays small."""
-    step = max(1, MAX_DENSE // max(1, width))
-    for batch in batches:
-        for start in range(0, len(batch), step):
-            yield batch.iloc[start : start + step]
+def _row_sums(flat: np.ndarray, sizes: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Each row's sum of the coefficients of its terms: only terms that hold are touched."""
+    out = np.zeros((len(sizes), beta.shape[1]))
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(beta[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
+    return out
+
+
+def _term_sums(flat: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Each term's sum of values, one value per term that holds."""
+    out = np.zeros((size, values.shape[1]))
+    if len(flat):
+        distinct, sums = _by_time(flat, values)
+        out[distinct] = sums
+    return out
 
 
 def _by_time(times: np.ndarray, cells: np.ndarray):
@@ -65,14 +74,15 @@ def _by_time(times: np.ndarray, cells: np.ndarray):
     return distinct, np.add.reduceat(cells[order], starts, axis=0)
 
 
-def _hazard_sums(beta: np.ndarray, left_out: np.ndarray, folds: np.ndarray, columns: list[str]):
+def _hazard_sums(shared, left_out: np.ndarray, folds: np.ndarray, columns: list[str]):
     """Per duration: sum of exp(eta) per column and row count per fold set. Key -1: sum of eta."""
     def run(batches):
+        beta = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         eta_total = np.zeros(len(left_out))
-        for batch in _pieces(batches, len(beta)):
+        for batch in batches:
             fold = batch["fold"].to_numpy()[:, None]
-            eta = _indicators(batch["idx"], len(beta)) @ beta
+            eta = _row_sums(*_held(batch["idx"]), beta)
             used = fold != left_out
             eta_total += (used * eta).sum(axis=0)
             cells = np.hstack([used * np.exp(eta), fold != folds])
@@ -88,14 +98,16 @@ def _hazard_sums(beta: np.ndarray, left_out: np.ndarray, folds: np.ndarray, colu
     return run
 
 
-def _gradient_sums(beta, left_out, times, hazard, columns: list[str]):
+def _gradient_sums(shared, left_out, columns: list[str]):
     def run(batches):
+        beta, times, hazard = shared.value
         total = np.zeros_like(beta)
-        for batch in _pieces(batches, len(beta)):
-            held = _indicators(batch["idx"], len(beta))
+        for batch in batches:
+            flat, sizes = _held(batch["idx"])
             used = batch["fold"].to_numpy()[:, None] != left_out
             at = np.searchsorted(times, batch["duration"].to_numpy())
-            total += held.T @ (used * (1.0 - np.exp(held @ beta) * hazard[at]))
+            rest = used * (1.0 - np.exp(_row_sums(flat, sizes, beta)) * hazard[at])
+            total += _term_sums(flat, np.repeat(rest, sizes, axis=0), len(beta))
         frame = pd.DataFrame(total, columns=columns)
         frame.insert(0, "key", np.arange(len(beta)))
         yield frame
@@ -117,12 +129,15 @@ def _grouped(rows: DataFrame, task, columns: list[str]) -> tuple[np.ndarray, np.
 def evaluate(rows: DataFrame, beta: np.ndarray, left_out: np.ndarray, slope: bool = True):
     """Log partial likelihood, its gradient and the row count, per column of ``beta``.
 
-    Without ``slope`` the second pass is saved and the gradient is zero.
+    Without ``slope`` the second pass is saved and the gradient is zero. Coefficients and
+    hazards reach the tasks as Spark broadcasts, one copy per executor.
     """
+    share = rows.sparkSession.sparkContext.broadcast
     width = beta.shape[1]
     folds, place = np.unique(left_out, return_inverse=True)
     columns = [f"r{k}" for k in range(width)] + [f"d{f}" for f in range(len(folds))]
-    keys, cells = _grouped(rows, _hazard_sums(beta, left_out, folds, columns), columns)
+    keys, cells = _grouped(
+        rows, _hazard_sums(share(beta), left_out, folds, columns), columns)
     eta, times, cells = cells[0, :width], keys[1:], cells[1:]
     count = cells[:, width:]
     at_risk = np.cumsum(cells[::-1, :width], axis=0)[::-1]
@@ -132,7 +147,8 @@ def evaluate(rows: DataFrame, beta: np.ndarray, left_out: np.ndarray, slope: boo
     if not slope:
         return likelihood, np.zeros_like(beta), count.sum(axis=0)[place]
     names = [f"g{k}" for k in range(width)]
-    _, gradient = _grouped(rows, _gradient_sums(beta, left_out, times, hazard, names), names)
+    _, gradient = _grouped(
+        rows, _gradient_sums(share((beta, times, hazard)), left_out, names), names)
     return likelihood, gradient, count.sum(axis=0)[place]
 
 
@@ -173,6 +189,8 @@ def _minimise(objective, start: np.ndarray, inverses: list[np.ndarray], iteratio
             direction[:, k], step[k] = -inverses[k] @ slope[:, k], 1.0
         if (step < 1e-6).all():
             break
+    else:
+        warnings.warn("Cox fit stopped before it converged", RuntimeWarning, stacklevel=2)
     return beta
 
 
@@ -187,12 +205,28 @@ def fit_cox(
     held-out deviance over the ``fold`` column: the best (``rule="min"``) or the largest
     within one standard error of it (``"1se"``). ``df`` is read twice per step: settle it first.
     """
-    vocabulary = F.array(*[F.lit(t) for t in terms])
-    known = F.transform("terms", lambda t: (F.array_position(vocabulary, t) - 1).cast("int"))
     rows = df.select(
         F.col(duration).cast("long").alias("duration"), "fold",
-        F.filter(known, lambda i: i >= 0).alias("idx"),
+        F.filter(_term_index(terms)("terms"), lambda i: i >= 0).alias("idx"),
     )
+    with settled(rows) as rows:
+        return _fit(df, rows, terms, folds, penalties, levels, rule, iterations, tol)
+
+
+def _term_index(terms: list[str]):
+    """Places of terms among those given, by a hash lookup; -1 for others."""
+    names = pa.array(terms, pa.string())
+
+    def run(column: pa.Array) -> pa.Array:
+        at = pc.fill_null(pc.index_in(column.flatten(), names), -1)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, at)
+
+    return F.arrow_udf(run, "array<int>")
+
+
+def _fit(df, rows, terms, folds, penalties, levels, rule, iterations, tol) -> CoxFit:
     vectors = assemble(df, terms)
     spread, matrix = deviations(vectors), np.nan_to_num(correlations(vectors))
     np.fill_diagonal(matrix, 1.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -99,7 +100,7 @@ def varying_terms(
     """The terms that neither hold in every row nor in none, counted in one pass.
 
     Terms are the given names and, first, the levels of the factor ``level`` but for its
-    baseline: the given one if it occurs, else the first.
+    baseline: the given one, or, with a warning, the first if that does not occur.
     """
     everything = df.withColumn("terms", F.array_append("terms", F.lit("")))
     allowed = F.col("term").isin([*names, ""])
@@ -113,7 +114,11 @@ def varying_terms(
     listed = set(names)
     levels = sorted(t for t in counts if t not in listed)
     if levels:
-        levels.remove(f"{level}{baseline}" if f"{level}{baseline}" in levels else levels[0])
+        asked = f"{level}{baseline}"
+        if baseline is not None and asked not in levels:
+            warnings.warn(f"{asked} does not occur; {levels[0]} is the baseline",
+                          RuntimeWarning, stacklevel=2)
+        levels.remove(asked if asked in levels else levels[0])
     return [t for t in [*levels, *names] if 0 < counts.get(t, 0) < total]
 
 
