@@ -18,7 +18,8 @@ HEADLINE = [
     "manpower_state", "state_shifts", "time_at_advantage", "player_time_alive",
     "trade_situation", "box_stats", "expected_kills_added", "player_war",
     "season_stats", "year_over_year_corr", "win_model", "xkill_model",
-    "trade_attempted_model",
+    "trade_attempted_model", "coef_percentiles", "impact_vs_actual", "triplet_model",
+    "talent_log_loss", "shot_quality_model", "shot_quality_grid", "pace_model",
 ]
 
 
