@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelwise.llm.scratch import settle, slot_counts
+from duelwise.llm.scratch import TEXTS, settle, slot_counts
 from duelwise.llm.words import SPACED, mix, split_words, text_slices
 
 #: Slots of the array of word counts, which orders words by rarity.
@@ -154,7 +154,7 @@ def _word_counts(source: DataFrame) -> np.ndarray:
                 [pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "c"])
 
     counted = source.select("text").mapInArrow(run, "slot int, c long")
-    return slot_counts(counted, "slot", SLOTS, "c")
+    return slot_counts(counted, "slot", SLOTS, "c", TEXTS)
 
 
 #: Bits by which the columns of a place are shifted for its slot.
@@ -399,7 +399,7 @@ def _confirmed(source: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                     names=[*_PLACE, "tokens"])
 
     shape = "id long, part int, line int, tokens array<long>"
-    sets = settle(source.mapInArrow(choose, shape).dropDuplicates(_PLACE))
+    sets = settle(source.mapInArrow(choose, shape).dropDuplicates(_PLACE), TEXTS)
     for side in "xy":
         pairs = pairs.join(sets.select(*(F.col(c).alias(f"{side}_{c}") for c in _PLACE),
                                        F.col("tokens").alias(side)),
@@ -418,7 +418,7 @@ def removed_lines(
     source = _source(docs, id_col, text_col)
     counts = spark.sparkContext.broadcast(
         np.minimum(_word_counts(source), (1 << 31) - 1).astype(np.int32))
-    lines = settle(_line_rows(source, counts, min_words, percent))
+    lines = settle(_line_rows(source, counts, min_words, percent), TEXTS)
     # Slots of 4096 entries on average: only a list that is long alone counts as long.
     entries = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
     slots = 1 << min(24, max(12, (entries // 4096).bit_length()))
@@ -493,8 +493,9 @@ def dedup_lines(
     left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
     kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "\n"))
-    report = F.struct(F.when(F.col("text").isNull(), 0).otherwise(F.size(pieces)).cast("long")
-                      .alias("n_lines"), gone.alias("removed"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    report = F.struct(F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
+                      gone.alias("removed"))
     return rows.join(removed, ["id", "part"], "left").select(
         *((kept if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in names),
         report.alias(out))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelwise.llm.components import components
-from duelwise.llm.scratch import settle, slot_counts
+from duelwise.llm.scratch import TEXTS, settle, slot_counts
 from duelwise.llm.words import SPACED, Words, mix, split_words, text_slices, whole, windows
 
 K = 64
@@ -150,7 +150,7 @@ def similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percen
     spark = docs.sparkSession
     source = docs.select(
         F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    rows = settle(set_rows(source, size))
+    rows = settle(set_rows(source, size), TEXTS)
     nodes = settle(
         rows.filter("node is not null and row_id is not null").groupBy("node").agg(
             F.min("row_id").alias("first_id"), F.first("n").alias("n"),
@@ -289,7 +289,7 @@ def _confirmed(
     likely = settle(both.filter(2 * shared >= F.size(united)).select("a", "b", "ia", "ib"))
     ends = likely.select(F.col("a").alias("node"), F.col("ia").alias("row_id")).union(
         likely.select("b", "ib"))
-    sets = settle(_whole_sets(source, ends, size))
+    sets = settle(_whole_sets(source, ends, size), TEXTS)
     common = F.size(F.array_intersect("xa", "xb"))
     return (
         likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
