@@ -288,8 +288,10 @@ def replace_entities(
         F.sort_array(F.collect_set(F.struct(
             "at", laid_out(F.col("kind"), F.col("mention"), F.col("core")).alias("new"))))
         .alias("put"))
+    # The mentions grow with the texts: they are never broadcast, at no size.
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), *keys,
-                       text.alias("text")).join(settle(put), ["id", "part"], "left")
+                       text.alias("text")).join(
+        settle(put).hint("merge"), ["id", "part"], "left")
     gaps = F.split("text", ANY, -1)
     new = F.when(F.col("put").isNull(), F.col("text")).otherwise(let(gaps, lambda g: F.array_join(
         F.transform(g, lambda x, i: F.concat(x, F.coalesce(
