@@ -18,9 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duelwise.llm.columns import let
 from duelwise.llm.scratch import TEXTS, settle, slot_counts
 from duelwise.llm.words import SPACED, mix, split_words, text_slices
 
@@ -488,11 +489,14 @@ def dedup_lines(
     names = docs.columns
     rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"),
                        *_keys(id_col, text_col), docs[f"`{text_col}`"].alias("text"))
-    pieces = F.split("text", "\n", -1)
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
+
+    def rest(pieces: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
+        return F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "\n")
+
     kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "\n"))
+        let(F.split("text", "\n", -1), rest))
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     report = F.struct(F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
                       gone.alias("removed"))
