@@ -257,7 +257,7 @@ def _partners(postings: DataFrame, percent: int, named: int | None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_lists(batches):
-            rows = _unpacked(rows)
+            rows = _unpacked(_shared(rows))
             x, y, more = _list_pairs(rows, percent, named)
             for s in range(0, len(x), 1 << 16):
                 part = slice(s, s + (1 << 16))
@@ -269,6 +269,15 @@ def _partners(postings: DataFrame, percent: int, named: int | None) -> DataFrame
     return postings.repartition("list").sortWithinPartitions("list").mapInArrow(run, out)
 
 
+def _shared(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The rows of lists of two lines or more."""
+    same = rows["list"][1:] == rows["list"][:-1]
+    keep = np.zeros(len(rows["list"]), bool)
+    keep[1:] |= same
+    keep[:-1] |= same
+    return {c: v[keep] for c, v in rows.items()}
+
+
 def _unpacked(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Columns of whole lists, each in order of the lines' places."""
     part, line = rows["spot"] >> 32, rows["spot"] & 0xFFFFFFFF
@@ -311,16 +320,22 @@ def _may(rows, x, y, percent: int) -> np.ndarray:
     """Whether lines x and y of a list pass the filters of length, place and bitmap."""
     nx, ny = rows["n"][x], rows["n"][y]
     left = 1 + np.minimum(nx - 1 - rows["pos"][x], ny - 1 - rows["pos"][y])
+    good = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) \
+        & ((100 + percent) * left >= percent * (nx + ny))
+    # The bitmaps only of those that are left.
+    x, y = (np.broadcast_to(v, good.shape)[good] for v in (x, y))
     apart = sum(np.bitwise_count((rows[c][x] ^ rows[c][y]).view(np.uint64)).astype(np.int64)
                 for c in ("sig0", "sig1"))
-    return (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) \
-        & ((100 + percent) * left >= percent * (nx + ny)) \
-        & ((100 + percent) * apart <= (100 - percent) * (nx + ny))
+    good[good] = (100 + percent) * apart <= (100 - percent) * (rows["n"][x] + rows["n"][y])
+    return good
 
 
 def _list_pairs(rows: dict[str, np.ndarray], percent: int, named: int | None):
     """Possible pairs (x before y) within lists; y must be marked."""
     size = len(rows["list"])
+    if not size:
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0, bool)
     new = np.ones(size, bool)
     new[1:] = rows["list"][1:] != rows["list"][:-1]
     begin = np.maximum.accumulate(np.where(new, np.arange(size), 0))
