@@ -4,6 +4,9 @@ Every text gives a vector of transformed statistics. Per language and source the
 covariance determinant of the vectors is sought by concentration steps: from medians and
 median deviations on, the half of the texts (HALF of them) that lie nearest give the next
 mean and covariance. Texts far from that centre, by Mahalanobis distance, are rejected.
+Copies of one text count once in all estimates, so junk may fill a group with its copies;
+different texts of junk may fill up to half of it. There is one start, the medians: of
+several, the least determinant would favour a tight cluster of junk.
 
 Medians and limits are read from histograms, so a group of any size is summed up where its
 rows are, and no group is ever in one task.
@@ -19,7 +22,7 @@ from duelwise.llm.columns import let, split_words
 from duelwise.llm.scratch import settle
 
 #: Share of a group that the covariance is taken from, steps towards it, least group.
-HALF, STEPS, LEAST_GROUP = 0.75, 5, 100
+HALF, STEPS, LEAST_GROUP = 0.5, 5, 100
 #: Squared robust distance from which a text is an outlier.
 CUTOFF = 200.0
 #: Median of the chi-square distribution with five degrees of freedom.
@@ -95,8 +98,8 @@ def _quantile(df: DataFrame, value: str, share: float, *by: str) -> DataFrame:
     )
 
 
-def _standard(rows: DataFrame) -> DataFrame:
-    """Rows with z, the vector less its group's medians over its median deviations."""
+def _scale(rows: DataFrame) -> DataFrame:
+    """(g, median and spread of each statistic) of each group."""
     long_ = rows.select("g", F.posexplode("x").alias("k", "v"))
     median = settle(_quantile(long_, "v", 0.5, "g", "k").select(
         "g", "k", ((F.col("cut") + 0.5) * BIN).alias("m")))
@@ -105,9 +108,13 @@ def _standard(rows: DataFrame) -> DataFrame:
     least = F.element_at(F.array(*(F.lit(x) for x in LEAST_SPREAD)), F.col("k") + 1)
     both = median.join(spread, ["g", "k"]).withColumn(
         "s", F.greatest(1.4826 * (F.col("cut") + 0.5) * BIN, least))
-    scale = settle(both.groupBy("g").agg(
+    return settle(both.groupBy("g").agg(
         *(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
           for k in range(N) for c in "ms")))
+
+
+def _standard(rows: DataFrame, scale: DataFrame) -> DataFrame:
+    """Rows with z, the vector less its group's medians over its median deviations."""
     return rows.join(scale, "g").select(
         *rows.columns, *(((F.get("x", F.lit(k)) - F.col(f"m{k}")) / F.col(f"s{k}")).alias(f"z{k}")
                          for k in range(N)))
@@ -153,22 +160,28 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return rows.join(cut, "g").filter(F.floor(F.col("log_d2") / BIN) <= F.col("cut"))
 
 
-def outliers(rows: DataFrame) -> DataFrame:
+def outliers(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Rows (.., g, x) with d2, the robust squared distance in their group.
 
+    Estimates are taken from `counted` (g, x), where copies are left out; else from all rows.
     A group of fewer than LEAST_GROUP rows is judged with all other such rows as one group;
     if these are fewer, too, d2 is 0.
     """
     sizes = settle(rows.groupBy("g").agg((F.count(F.lit(1)) < LEAST_GROUP).alias("few")))
-    rows = rows.join(sizes, "g").withColumn("g", F.when(F.col("few"), "").otherwise(F.col("g")))
-    rows = settle(_standard(rows.drop("few")))
+    few = F.when(F.col("few"), "").otherwise(F.col("g"))
+    of = rows if counted is None else counted
+    of = settle(of.join(sizes, "g").withColumn("g", few).drop("few"))
+    rows = rows.join(sizes, "g").withColumn("g", few).drop("few")
+    scale = _scale(of)
+    rows, of = settle(_standard(rows, scale)), settle(_standard(of, scale))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(N)), F.lit(0.0))
-    near = _nearest(rows.withColumn("d2", d2).withColumn("log_d2", F.log(F.col("d2") + 1e-9)))
+    near = _nearest(of.withColumn("d2", d2).withColumn("log_d2", F.log(F.col("d2") + 1e-9)))
     for _ in range(STEPS - 1):
-        near = _nearest(_distance(rows, settle(_estimate(near))))
-    found = _distance(rows, settle(_estimate(near)))
+        near = _nearest(_distance(of, settle(_estimate(near))))
+    last = settle(_estimate(near))
+    found = _distance(rows, last)
     # The nearest rows understate the spread; the median distance is made that of a normal.
-    middle = settle(_quantile(found, "log_d2", 0.5, "g"))
+    middle = settle(_quantile(_distance(of, last), "log_d2", 0.5, "g"))
     enough = settle(rows.groupBy("g").agg((F.count(F.lit(1)) >= LEAST_GROUP).alias("enough")))
     grown = F.greatest(F.exp((F.col("cut") + 0.5) * BIN) / CHI_MEDIAN, F.lit(1.0))
     return found.join(middle, "g").join(enough, "g").withColumn(
@@ -191,10 +204,12 @@ def quality_rules(
                                             F.lit("n")) for c in (lang_col, source_col)))
     rows = settle(docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), name.alias("g"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("copy"),
         base_statistics(F.col(f"`{text_col}`")).alias("s")
-    ).select("doc_id", "g", "s.*").withColumn("base_failed", base_failed()))
+    ).select("doc_id", "g", "copy", "s.*").withColumn("base_failed", base_failed()))
     passed = rows.filter(~F.col("base_failed")).withColumn("x", F.array(*_vector()))
-    judged = outliers(passed).withColumnRenamed("d2", "distance")
+    once = passed.groupBy("g", "copy").agg(F.min("x").alias("x"))
+    judged = outliers(passed, once.select("g", "x")).withColumnRenamed("d2", "distance")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
              "base_failed"]
     failed = rows.filter("base_failed").select(

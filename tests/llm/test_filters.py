@@ -147,6 +147,19 @@ def test_outliers_equal_numpy(spark):
     assert min(got[i] for i in range(40)) > quality.CUTOFF / 4
 
 
+def junk_rows(n, copies):
+    """n texts of prose in one group, a third of them junk: copies of one text, or all different."""
+    junk = lambda i: " ".join(f"{w}#|$%&" for w in prose(3 if copies else i, 60).split())
+    return [(i, junk(i) if i % 3 == 0 else prose(i, 80 + i * 37 % 200)) for i in range(n)]
+
+
+@pytest.mark.parametrize("copies", [True, False])
+def test_a_third_of_junk_is_rejected(spark, copies):
+    got = quality.quality_rules(documents(spark, junk_rows(900, copies))).collect()
+    assert not any(r.base_failed for r in got)
+    assert all(r.kept == (r.doc_id % 3 > 0) for r in got)
+
+
 def test_license_places_and_labels(spark):
     noise = prose(3, 40)
     mit = licenses.TEMPLATES[0][1]
