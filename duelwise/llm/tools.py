@@ -7,8 +7,6 @@ JSON: keys sorted, no white space.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,25 +93,29 @@ def argument_errors(tool: Column, arguments: Column, schemas: dict[str, list[Par
 def call_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): the longest way back to a call that comes after none.
 
-    Calls on a circle, or behind one, get no row. Each turn settles one level, so turns grow
-    with the longest chain, not with the number of calls.
+    Calls on a circle, or behind one, get no row. Calls that lie 2, 4, 8.. steps back are
+    found by joining such tables with themselves; a level is then put together from the
+    longest stretch down. Rounds grow with the logarithm of the longest chain. The tables
+    hold, per call, the different calls so many steps back: one in a plain chain.
     """
     links = calls.select(*_KEY, F.explode(F.array_distinct("after")).alias("before"))
     known = calls.select("conv_id", F.col("call_id").alias("before"))
-    links = settle(links.join(known, ["conv_id", "before"], "left_semi"))
-    levels = [settle(calls.select(*_KEY).join(links, _KEY, "left_anti").withColumn(
-        "level", F.lit(0)))]
-    while not links.isEmpty():
-        done = reduce(DataFrame.union, levels).withColumnRenamed("call_id", "before")
-        ready = links.join(done, ["conv_id", "before"], "left").groupBy(*_KEY).agg(
-            F.count(F.lit(1)).alias("n"), F.count("level").alias("k"),
-            (F.max("level") + 1).alias("level"))
-        ready = settle(ready.filter("n = k").select(*_KEY, "level"))
-        if ready.isEmpty():
-            break
-        levels.append(ready)
-        links = settle(links.join(ready.select(*_KEY), _KEY, "left_anti"))
-    return reduce(DataFrame.union, levels)
+    back = [settle(links.join(known, ["conv_id", "before"], "left_semi"))]
+    # A way of as many steps as a conversation has calls leads over a circle.
+    most = calls.groupBy("conv_id").count().agg(F.max("count")).head()[0] or 0
+    while not back[-1].isEmpty() and 1 << (len(back) - 1) < most:
+        far = back[-1].withColumnRenamed("call_id", "via").withColumnRenamed("before", "far")
+        near = back[-1].withColumnRenamed("before", "via")
+        back.append(settle(near.join(far, ["conv_id", "via"]).select(
+            *_KEY, F.col("far").alias("before")).distinct()))
+    found = calls.select(*_KEY, F.col("call_id").alias("at"), F.lit(0).alias("level"))
+    for k in reversed(range(len(back))):
+        on = found.join(back[k].withColumnRenamed("call_id", "at"), ["conv_id", "at"])
+        on = settle(on.select(*_KEY, F.col("before").alias("at"),
+                              (F.col("level") + (1 << k)).alias("level")).distinct())
+        rest = found.join(on.select(*_KEY).distinct(), _KEY, "left_anti")
+        found = settle(on.union(rest.select(*on.columns)))
+    return found.filter(F.col("level") < most).select(*_KEY, "level").distinct()
 
 
 def link_calls(

@@ -136,6 +136,20 @@ def test_calls_are_linked_ordered_checked_and_written(spark):
     assert linked(spark, []) == {}
 
 
+def test_levels_of_a_long_conversation(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(3000)]
+    # Calls after the two before, a long circle and what is behind it, in another conversation.
+    names = lambda i: [f"c{k}" for k in (i - 1, i - 3) if k >= 0]
+    rows += [(2, i, "assistant", call(f"c{i}", "add", {"a": 1, "b": 1}, names(i))) for i in range(100)]
+    rows += [(2, 200 + i, "assistant", call(f"o{i}", "add", {"a": 1, "b": 1}, [f"o{(i + 1) % 37}", "c99"]))
+             for i in range(37)] + [(2, 300, "assistant", call("end", "add", {"a": 1, "b": 1}, ["o5", "c1"]))]
+    got = linked(spark, rows)
+    assert len(got) == 1500 + 138
+    assert all(got[1, str(i)].level == i // 2 and got[1, str(i)].status == "ok" for i in range(0, 3000, 2))
+    assert all(got[2, f"c{i}"].level == i for i in range(100))
+    assert all(got[2, c].errors == "circle" and got[2, c].level is None for c in ["end", *(f"o{i}" for i in range(37))])
+
+
 def plain_hits(text, items, window=10):
     w, hit, names = alnum(text), set(), set()
     for item, words in items:
