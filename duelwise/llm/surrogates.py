@@ -10,6 +10,8 @@ entity of the corpus. So different entities stay different.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,29 @@ SYLLABLES = {
                  "рос", "сел", "тан", "вер", "вил"],
 }
 
+def _signs(first: str, last: str, kind: str) -> str:
+    """The signs from first to last of a Unicode category."""
+    found = map(chr, range(ord(first), ord(last) + 1))
+    return "".join(c for c in found if unicodedata.category(c) == kind)[:4096]
+
+
+# Fixed values: (pattern, signs) of letters beyond ASCII; the first pattern that fits counts.
+LETTERS = [
+    (r"\p{IsLatin}&&\p{Lu}", _signs("À", "Þ", "Lu")), (r"\p{IsLatin}&&\p{L}", _signs("ß", "ÿ", "Ll")),
+    (r"\p{IsCyrillic}&&\p{Lu}", _signs("А", "Я", "Lu")), (r"\p{IsCyrillic}&&\p{L}", _signs("а", "я", "Ll")),
+    (r"\p{IsGreek}&&\p{Lu}", _signs("Α", "Ω", "Lu")), (r"\p{IsGreek}&&\p{L}", _signs("α", "ω", "Ll")),
+    (r"\p{IsArmenian}&&\p{Lu}", _signs("Ա", "Ֆ", "Lu")), (r"\p{IsArmenian}&&\p{L}", _signs("ա", "ֆ", "Ll")),
+    (r"\p{IsGeorgian}&&\p{L}", "".join(map(chr, range(0x10D0, 0x10F1)))),
+    (r"\p{IsHebrew}&&\p{L}", _signs("א", "ת", "Lo")), (r"\p{IsArabic}&&\p{L}", _signs("ا", "ي", "Lo")),
+    (r"\p{IsDevanagari}&&\p{L}", _signs("क", "ह", "Lo")), (r"\p{IsBengali}&&\p{L}", _signs("ক", "হ", "Lo")),
+    (r"\p{IsTamil}&&\p{L}", _signs("க", "ஹ", "Lo")), (r"\p{IsThai}&&\p{L}", _signs("ก", "ฮ", "Lo")),
+    (r"\p{IsHangul}&&\p{L}", _signs("가", "힣", "Lo")), (r"\p{IsHiragana}&&\p{L}", _signs("あ", "ん", "Lo")),
+    (r"\p{IsKatakana}&&\p{L}", _signs("ア", "ン", "Lo")), (r"\p{IsHan}", _signs("一", "龥", "Lo")),
+    # Letters of other scripts and digits that are not 0-9.
+    (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"),
+    (r"\p{N}", "0123456789"),
+]
+
 _WORD = r"\p{Lu}\p{Ll}+"
 _TITLE = "|".join(x for names in TITLES.values() for x in names)
 _GIVEN = "|".join(x for names in GIVEN.values() for x in names)
@@ -47,7 +72,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = [
     ("email", r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+"),
     ("secret", r"(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})"
-               r"[^\s\"',;=:]{6,}+"),
+               r"(?=[^\s\"',;=:]*[\p{L}\p{N}])[^\s\"',;=:]{6,}+"),
     ("key", r"\bAKIA[A-Z0-9]{16}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"),
@@ -113,14 +138,18 @@ def _number(noise: Column, at: Column, size: int) -> Column:
 
 
 def _scrambled(text: Column, key: str, *parts: Column) -> Column:
-    """Every ASCII letter and digit replaced by one of its kind, other signs kept; hexadecimal
-    numbers stay such."""
+    """Every letter and digit replaced by one of its kind and script (LETTERS; of scripts that
+    it lacks by an ASCII one), other signs kept; hexadecimal numbers stay such."""
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     hexadecimal = text.rlike(r"^(?=.*\d)[0-9a-f]{8,}$")
 
     def one(sign: Column, i: Column) -> Column:
         noise = _noise(key, *parts, (i / 42).cast("int").cast("string"))
-        out = sign
+        out = F.lit(None).cast("string")
+        for pattern, signs in reversed(LETTERS):
+            some = F.substring(F.lit(signs), _number(noise, i, len(signs)) + 1, F.lit(1))
+            out = F.when(sign.rlike(f"^[{pattern}]$"), some).otherwise(out)
+        out = F.when(F.octet_length(sign) == 1, sign).otherwise(F.coalesce(out, sign))
         for signs in (digits, lower, upper):
             at = _number(noise, i, len(signs))
             if signs == lower:

@@ -75,6 +75,21 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.core for r in table}) == 10 and not {r.core for r in table} & set("abcdefghij")
 
 
+def test_secrets_of_all_signs(spark):
+    secrets = ["пароль", "ПарольЁё", "密码是秘密的", "Ωμέγα12", "ññññññ", "абв123!?", "ひみつのことば", "ყველაფერი"]
+    rows = [(i, f"password: {s} end") for i, s in enumerate(secrets)]
+    masks = [(50, "password: ******** end"), (51, "token=------"), (52, "see bob@mail.org")]
+    got = {i: (t, n) for i, t, n in replaced(spark, rows + masks)}
+    assert all(got[i] == (t, 0) for i, t in masks[:2]) and got[52][1] == 1
+    for i, s in enumerate(secrets):
+        new = re.fullmatch("password: (.*) end", got[i][0])[1]
+        assert got[i][1] == 1 and len(new) == len(s) and new != s and new not in secrets
+        assert [c for c in new if not c.isalnum()] == [c for c in s if not c.isalnum()]
+        assert sum(a == b for a, b in zip(new, s) if a.isalnum()) <= 2
+    assert re.fullmatch("password: [а-я]{6} end", got[0][0])
+    assert re.fullmatch("password: [\u4e00-\u9fa5]{6} end", got[2][0])
+
+
 def test_odd_rows_of_surrogates(spark):
     rows = odd_rows() + [(30, "a@b.org"), (30, "a@b.org"), (None, "a@b.org"), (31, prose(1, 20000) + " a@b.org")]
     docs = documents(spark, rows)
