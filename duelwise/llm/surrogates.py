@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from duelwise.llm.columns import let
 from duelwise.llm.scratch import settle
 
-#: Attempts per entity at most; beyond them, the job fails rather than merging entities.
-ATTEMPTS = 60
+#: Attempts per entity at most. From the attempt FREE on, each one's surrogates are a digit or
+#: a syllable longer, so the space grows tenfold or more until all entities have a place.
+ATTEMPTS, FREE = 60, 6
 _NONE = -(1 << 63)
 
 # Titles and common given names, by gender.
@@ -161,6 +162,17 @@ def _scrambled(text: Column, key: str, *parts: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _longer(attempt: Column) -> Column:
+    """How many signs more than its entity a surrogate has."""
+    return F.greatest(attempt.cast("int") - (FREE - 1), F.lit(0))
+
+
+def _extra(key: str, *parts: Column) -> Column:
+    """As many digits; the last part is the attempt."""
+    digits = F.translate(_noise(key, F.lit("extra"), *parts), "abcdef", "012345")
+    return F.substring(digits, F.lit(1), _longer(parts[-1]))
+
+
 def _luhn_sum(digits: Column) -> Column:
     """Sum of the Luhn scheme over digits, the last one counting once."""
 
@@ -175,7 +187,7 @@ def _luhn_sum(digits: Column) -> Column:
 def _card(own: Column, key: str, *parts: Column) -> Column:
     """The first digit stays, and a card that passes the Luhn check gets one that does."""
     head = F.concat(F.substring(own, 1, 1), _scrambled(
-        F.substring(own, F.lit(2), F.length(own) - 2), key, *parts))
+        F.substring(own, F.lit(2), F.length(own) - 2), key, *parts), _extra(key, *parts))
     check = F.pmod(F.lit(10) - F.pmod(_luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10))
     last = F.when(F.pmod(_luhn_sum(own), F.lit(10)) == 0, check).otherwise(
         F.pmod(check + 1, F.lit(10)))
@@ -185,7 +197,8 @@ def _card(own: Column, key: str, *parts: Column) -> Column:
 def _iban(own: Column, key: str, *parts: Column) -> Column:
     """The country stays; the check digits are right for the rest."""
     country = F.substring(own, 1, 2)
-    body = _scrambled(F.substring(own, F.lit(5), F.length(own) - 4), key, *parts)
+    body = F.concat(_scrambled(F.substring(own, F.lit(5), F.length(own) - 4), key, *parts),
+                    _extra(key, *parts))
     signs = F.split(F.concat(body, country, F.lit("00")), "")
     numbers = F.transform(signs, lambda s: F.when(
         s.rlike(r"^\d$"), s).otherwise((F.ascii(s) - 55).cast("string")))
@@ -199,15 +212,21 @@ def _email(own: Column, key: str, *parts: Column) -> Column:
     domain = F.substring_index(own, "@", -1)
     host = F.regexp_replace(domain, r"\.[a-z]+$", "")
     host = F.regexp_replace(host, r"\.example$", "")
-    return F.concat(_scrambled(F.substring_index(own, "@", 1), key, *parts), F.lit("@"),
+    return F.concat(_scrambled(F.substring_index(own, "@", 1), key, *parts),
+                    _extra(key, *parts), F.lit("@"),
                     _scrambled(host, key, F.lit("domain"), domain),
                     F.when(domain.endswith(".example.com"), ".example.com").otherwise(".example"))
 
 
 def _ip(own: Column, key: str, *parts: Column) -> Column:
-    noise = _noise(key, *parts)
-    return F.concat_ws(".", F.lit("10"), *(
+    """An address of 10/8, then of the reserved 240/4, then a local one of version 6."""
+    noise, attempt = _noise(key, *parts), parts[-1].cast("int")
+    first = F.when(attempt < FREE, F.lit(10)).otherwise(_number(noise, F.lit(3), 15) + 240)
+    short = F.concat_ws(".", first.cast("string"), *(
         _number(noise, F.lit(i), 256).cast("string") for i in range(3)))
+    long_ = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(noise, 1, 2)), *(
+        F.substring(noise, 3 + 4 * i, 4) for i in range(7)))
+    return F.when(attempt < 2 * FREE, short).otherwise(long_)
 
 
 def _name(own: Column, key: str, *parts: Column) -> Column:
@@ -219,16 +238,22 @@ def _name(own: Column, key: str, *parts: Column) -> Column:
         noise = _noise(key, F.lit("name"), own_word, attempt)
         cyrillic = own_word.rlike(r"^\p{IsCyrillic}")
 
-        def pick(latin: list[str], other: list[str], at: int) -> Column:
+        def pick(latin: list[str], other: list[str], at: Column | int) -> Column:
+            at = F.lit(at) if isinstance(at, int) else at
             return F.when(cyrillic, F.get(F.array(*map(F.lit, other)), _number(
-                noise, F.lit(at), len(other)))).otherwise(
-                F.get(F.array(*map(F.lit, latin)), _number(noise, F.lit(at), len(latin))))
+                noise, at, len(other)))).otherwise(
+                F.get(F.array(*map(F.lit, latin)), _number(noise, at, len(latin))))
 
         def split(names: list[str]) -> tuple[list[str], list[str]]:
             return [n for n in names if n[0] < "Ё"], [n for n in names if n[0] >= "Ё"]
 
+        n = _longer(attempt)
+        more = F.array_join(F.when(n > 0, F.transform(
+            F.sequence(F.lit(1), n),
+            lambda k: pick(SYLLABLES["latin"], SYLLABLES["cyrillic"], k + 5))).otherwise(
+            F.array().cast("array<string>")), "")
         surname = F.initcap(F.concat(*(pick(SYLLABLES["latin"], SYLLABLES["cyrillic"], k)
-                                       for k in range(4))))
+                                       for k in range(4)), more))
         first = F.when(gender == "f", pick(*split(GIVEN["f"]), 5)).when(
             gender == "m", pick(*split(GIVEN["m"]), 5)).otherwise(
             pick(*split(GIVEN["f"] + GIVEN["m"]), 5))
@@ -243,24 +268,27 @@ def surrogate(kind: Column, own: Column, attempt: Column, key: str) -> Column:
     """The surrogate of an entity, an entity of the same kind."""
     parts = (kind, own, attempt.cast("string"))
     phone = F.concat(F.substring(own, 1, 1), _scrambled(
-        F.substring(own, F.lit(2), F.length(own)), key, *parts))
+        F.substring(own, F.lit(2), F.length(own)), key, *parts), _extra(key, *parts))
     return (
         F.when(kind == "email", _email(own, key, *parts)).when(kind == "ip", _ip(own, key, *parts))
         .when(kind == "card", _card(own, key, *parts)).when(kind == "phone", phone)
         .when(kind == "iban", _iban(own, key, *parts)).when(kind == "name", _name(own, key, *parts))
-        .when(kind == "key", F.concat(F.lit("AKIA"), _scrambled(F.substring(own, 5, 16), key, *parts)))
-        .otherwise(_scrambled(own, key, *parts)))
+        .when(kind == "key", F.concat(F.lit("AKIA"), _scrambled(F.substring(own, 5, 16), key, *parts),
+                                      _extra(key, *parts)))
+        .otherwise(F.concat(_scrambled(own, key, *parts), _extra(key, *parts))))
 
 
 def laid_out(kind: Column, mention: Column, core: Column) -> Column:
     """A surrogate in the format of a mention."""
 
     def filled(signs: Column) -> Column:
-        """Digits, or for an IBAN all but blanks, of the mention replaced in turn."""
-        return F.array_join(F.transform(signs, lambda s, i: F.when(
+        """Digits, or for an IBAN all but blanks, of the mention replaced in turn; what a
+        longer surrogate has left over follows."""
+        own = F.length(F.regexp_replace(mention, r"[^A-Z0-9]", ""))
+        return F.concat(F.array_join(F.transform(signs, lambda s, i: F.when(
             s.rlike(r"^[A-Z0-9]$"), F.substring(core, F.length(F.regexp_replace(F.array_join(
                 F.slice(signs, F.lit(1), i + 1), ""), r"[^A-Z0-9]", "")), F.lit(1)))
-            .otherwise(s)), "")
+            .otherwise(s)), ""), F.substring(core, own + 1, F.length(core)))
 
     title = F.regexp_extract(mention, rf"^((?:{_TITLE})\b\.? )", 1)
     return (
