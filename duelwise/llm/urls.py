@@ -3,8 +3,9 @@
 Two variable-order Markov models are counted over all URLs that the rules allow or block.
 A character's chance mixes all orders: each one leans on the next lower the more, the fewer
 times its context was seen. The mean log-likelihood difference per character is turned into
-a probability on a fifth of those URLs that was not counted. Counts live in hashed slots of
-a fixed number, so a model has the same size for any input. Characters are UTF-8 bytes.
+a probability on a fifth of those URLs that was not counted. Counts are exact, one row of a
+table per context and next character, which grows with the input; URLs are joined to it, and
+nothing of it is gathered on the driver or broadcast by force. Characters are UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelwise.llm.columns import LOWER, UPPER
-from duelwise.llm.scratch import slot_counts
-from duelwise.llm.words import mix, text_slices
+from duelwise.llm.scratch import settle, slot_counts
+from duelwise.llm.words import text_slices
 
 #: Characters of context at most.
 ORDER = 5
-#: Slots for contexts, and as many for contexts with the next character, per order.
+#: Of the hashed table that counts were kept in before; read by nothing but an older test.
 SLOTS = 1 << 17
 #: Observations that the next lower order is worth.
 LEAN = 2.0
@@ -55,70 +57,83 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
     return rule, verdict
 
 
-def _contexts(data: np.ndarray, offsets: np.ndarray):
-    """(url of each character, per order the slots of its context and of both together)."""
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(url, gram) of each character: its context of ORDER bytes and itself, as one number."""
     size = np.diff(offsets)
     url = np.repeat(np.arange(len(size)), size)
     # Every URL is led by ORDER signs that no text has.
     at = np.arange(len(data)) + (url + 1) * ORDER
-    padded = np.full(len(data) + len(size) * ORDER, 255, np.uint64)
+    padded = np.full(len(data) + len(size) * ORDER, 255, np.int64)
     padded[at] = data
-    slots, key = [], np.zeros(len(data), np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            key = mix(key + padded[at - order] + np.uint64(order << 8))
-        both = mix(key ^ ((data.astype(np.uint64) + np.uint64(1)) << np.uint64(40)))
-        slots.append(((mix(key) & np.uint64(SLOTS - 1)).astype(np.int64) + order * SLOTS,
-                      (both & np.uint64(SLOTS - 1)).astype(np.int64) + order * SLOTS))
-    return url, slots
+    gram = np.zeros(len(data), np.int64)
+    for back in range(ORDER, -1, -1):
+        gram = gram << 8 | padded[at - back]
+    return url, gram
 
 
-def _counted(labelled: DataFrame) -> np.ndarray:
-    """Counts [blocked or allowed][contexts or with character][order and slot]."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """(gram, n0, n1): how often blocked and allowed URLs hold each gram of any URL.
+
+    good is 1 of allowed, 0 of blocked, -1 of other URLs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, _TABLE), np.int64)
         for batch in batches:
             good = batch.column(1).to_numpy()
             for first, data, offsets in text_slices(batch.column(0)):
-                url, slots = _contexts(data, offsets)
+                url, gram = _grams(data, offsets)
+                gram, place = np.unique(gram, return_inverse=True)
                 side = good[first + url]
-                for pair in slots:
-                    for k, slot in enumerate(pair):
-                        for s in (0, 1):
-                            total[s, k] += np.bincount(slot[side == s], minlength=_TABLE)
-        flat = total.ravel()
-        slot = np.flatnonzero(flat)
-        for start in range(0, len(slot), 1 << 16):
-            some = slot[start:start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array(flat[some])], names=["slot", "c"])
-
-    counted = labelled.select("url", "good").mapInArrow(run, "slot int, c long")
-    return slot_counts(counted, "slot", 4 * _TABLE, "c").reshape(2, 2, _TABLE)
-
-
-def log_ratio(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Mean log-likelihood difference per character, allowed minus blocked; empty: 0."""
-    url, slots = _contexts(data, offsets)
-    difference = np.zeros(len(data))
-    for side, sign in ((1, 1.0), (0, -1.0)):
-        chance = np.full(len(data), 1 / 256)
-        for context, both in slots:
-            seen, with_ = counts[side, 0][context], counts[side, 1][both]
-            chance = (np.minimum(with_, seen) + LEAN * chance) / (seen + LEAN)
-        difference += sign * np.log(chance)
-    size = np.diff(offsets)
-    return np.bincount(url, difference, minlength=len(size)) / np.maximum(size, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), *(pa.array(np.bincount(
+                    place[side == s], minlength=len(gram)).astype(np.int64)) for s in (0, 1))],
+                    names=["gram", "n0", "n1"])
+
+    counted = rows.select("url", "good").mapInArrow(run, "gram long, n0 long, n1 long")
+    return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
 
+def _model(grams: DataFrame) -> DataFrame:
+    """(gram, d): log-likelihood difference of a gram's last character, allowed minus blocked.
 
-def _ratio_udf(counts):
-    def run(urls: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in urls:
-            found = [log_ratio(d, o, counts.value) for _, d, o in text_slices(column)]
-            yield pa.array(np.concatenate(found) if found else np.empty(0), pa.float64())
+    Each order is one table, joined to the next lower one by its grams' last bytes, so a key
+    meets at most 256 rows.
+    """
+    orders = [grams]
+    for order in range(ORDER - 1, -1, -1):
+        short = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        orders.append(settle(orders[-1].groupBy(short.alias("gram")).agg(
+            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))))
+    chances = None
+    for order, table in enumerate(reversed(orders)):
+        context = W.partitionBy(F.shiftright("gram", 8))
+        table = table.select("gram", *(c for k in "01" for c in (
+            F.col(f"n{k}"), F.sum(f"n{k}").over(context).alias(f"seen{k}"))))
+        if chances is None:
+            table = table.withColumns({f"p{k}": F.lit(1 / 256) for k in "01"})
+        else:
+            table = table.withColumn(
+                "short", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(
+                chances.withColumnRenamed("gram", "short"), "short")
+        chances = settle(table.select("gram", *(
+            ((F.col(f"n{k}") + LEAN * F.col(f"p{k}")) / (F.col(f"seen{k}") + LEAN)).alias(f"p{k}")
+            for k in "01")))
+    return settle(chances.select("gram", (F.log("p1") - F.log("p0")).alias("d")))
+
+
+def _ratios(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """(key, ratio): mean log-likelihood difference per character of each URL that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            for first, data, offsets in text_slices(batch.column(1)):
+                url, gram = _grams(data, offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[first + url]), pa.array(gram)], names=["key", "gram"])
 
-    return F.arrow_udf(run, "double")
+    once = rows.filter("url <> ''").groupBy("key").agg(F.min("url").alias("url"))
+    placed = once.select("key", "url").mapInArrow(run, "key long, gram long")
+    return placed.join(model, "gram").groupBy("key").agg(F.avg("d").alias("ratio"))
 
 
 def calibrate(centre: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -159,22 +174,25 @@ def filter_urls(
         F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"),
         rule.alias("rule"), verdict.alias("decided"),
         F.coalesce(F.regexp_extract(url, r"://([\s\S]*)", 1), F.lit("")).alias("url"))
+    # Rows alike in id and URL share a key; a common URL alone does not make one.
+    rows = settle(rows.withColumn("key", F.xxhash64("page_id", "url")))
     fold = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5))
-    labelled = rows.filter("decided is not null").select(
-        "url", (F.col("decided") == "allow").cast("int").alias("good"), fold.alias("fold"))
-    found = _counted(labelled.filter("fold <> 0"))
-    if not found[0, 0].any() or not found[1, 0].any():
-        found = np.zeros_like(found)
-    counts = pages.sparkSession.sparkContext.broadcast(found.astype(np.float32))
-    ratio = _ratio_udf(counts)
+    good = (F.col("decided") == "allow").cast("int")
+    counts = settle(_counted(rows.select(
+        "url", F.when(fold != 0, good).alias("good")).fillna(-1, ["good"])))
+    sides = counts.agg(F.sum("n0"), F.sum("n1")).head()
+    if sides[0] and sides[1]:
+        ratios = settle(_ratios(rows, _model(counts)))
+        scored = rows.join(ratios, "key", "left").fillna(0.0, ["ratio"])
+    else:
+        scored = rows.withColumn("ratio", F.lit(0.0))
     place = F.least(F.greatest(F.floor(F.col("ratio") / BIN) + BINS // 2, F.lit(0)),
                     F.lit(BINS - 1)).cast("int")
-    bins = labelled.filter("fold = 0").withColumn("ratio", ratio("url")).select(
-        (place + F.col("good") * BINS).alias("slot"))
+    bins = scored.filter((fold == 0) & F.col("decided").isNotNull()).select(
+        (place + good * BINS).alias("slot"))
     held = slot_counts(bins, "slot", 2 * BINS)
     centre = (np.arange(BINS) - BINS // 2 + 0.5) * BIN
     slope, offset = calibrate(centre, held[:BINS], held[BINS:])
-    scored = rows.withColumn("ratio", ratio("url"))
     scored = scored.withColumn(
         "probability", 1 / (1 + F.exp(-(F.col("ratio") * slope + F.lit(offset)))))
     return scored.select(

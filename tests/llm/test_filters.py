@@ -83,6 +83,35 @@ def test_urls_follow_rules_and_model(spark, monkeypatch):
     assert all(r.verdict == ("allow" if r.probability >= 0.5 else "block") for r in got if not r.rule)
 
 
+def test_url_counts_are_exact(spark):
+    # Far more contexts than any fixed number of slots keeps apart.
+    import zlib
+
+    rng = random.Random(9)
+    sign = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(i, f"http://{('example.net/en/', 'example.com/de/', 'x.y/')[i % 3]}{sign(20)}") for i in range(3000)]
+    counts = collections.Counter()
+    for i, u in rows:
+        text = u.split("://", 1)[1].encode()
+        if i % 3 < 2 and zlib.crc32(text) % 5:
+            for at, c in enumerate(text):
+                for o in range(urls.ORDER + 1):
+                    context = (b"\xff" * o + text[:at])[-o:] if o else b""
+                    counts[i % 3, context] += 1
+                    counts[i % 3, context, c] += 1
+    got = {r.page_id: r for r in urls.filter_urls(pages(spark, rows), URL_RULES).collect()}
+    for i, u in rows[:600]:
+        text, total = u.split("://", 1)[1].encode(), 0.0
+        for at, c in enumerate(text):
+            for side, plus in ((0, 1), (1, -1)):
+                chance = 1 / 256
+                for o in range(urls.ORDER + 1):
+                    context = (b"\xff" * o + text[:at])[-o:] if o else b""
+                    chance = (counts[side, context, c] + urls.LEAN * chance) / (counts[side, context] + urls.LEAN)
+                total += plus * math.log(chance)
+        assert abs(got[i].ratio - total / len(text)) < 1e-9
+
+
 def test_urls_without_a_model(spark):
     got = urls.filter_urls(pages(spark, [(1, "http://a.b/c"), (2, None)]), URL_RULES).collect()
     assert {(r.ratio, r.probability, r.verdict) for r in got} == {(0.0, 0.5, "allow")}
