@@ -23,6 +23,8 @@ from duelwise.llm.scratch import settle
 
 #: Share of a group that the covariance is taken from, steps towards it, least group.
 HALF, STEPS, LEAST_GROUP = 0.5, 5, 100
+#: Rows that what a group is shrunk towards is worth.
+WORTH = 100.0
 #: Squared robust distance from which a text is an outlier.
 CUTOFF = 200.0
 #: Median of the chi-square distribution with five degrees of freedom.
@@ -124,14 +126,23 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(N) for j in range(i + 1)]
 
 
+def _moments(rows: DataFrame) -> DataFrame:
+    """(g, means of z and of its products) of each group."""
+    return rows.groupBy("g").agg(
+        *(F.avg(f"z{i}").alias(f"a{i}") for i in range(N)),
+        *(F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in _pairs()))
+
+
 def _estimate(rows: DataFrame) -> DataFrame:
-    """(g, mean and lower Cholesky factor of the covariance) of the rows of each group.
+    """(g, mean and lower Cholesky factor of the covariance) of the rows of each group."""
+    return _factor(_moments(rows))
+
+
+def _factor(sums: DataFrame) -> DataFrame:
+    """The same from means of z and of its products.
 
     A small ridge keeps statistics that hardly vary from making everything odd.
     """
-    sums = rows.groupBy("g").agg(
-        *(F.avg(f"z{i}").alias(f"a{i}") for i in range(N)),
-        *(F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"q{i}{j}") for i, j in _pairs()))
     for i in range(N):
         for j in range(i + 1):
             left = F.col(f"q{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")
@@ -188,6 +199,59 @@ def outliers(rows: DataFrame, counted: DataFrame | None = None) -> DataFrame:
         "d2", F.when(F.col("enough"), F.col("d2") / grown).otherwise(0.0))
 
 
+def _levels(rows: DataFrame) -> DataFrame:
+    """Each row for its group, for its language and for the whole."""
+    return rows.withColumn("g", F.explode(F.array("g", "up", F.lit(""))))
+
+
+def _shrunk(table: DataFrame, tree: DataFrame, unit: dict[str, float]) -> DataFrame:
+    """(g, values): each group's mean with those of its language, and these with the whole's.
+
+    table has values for all levels, tree (g, up, n, n_up, n_all). What is above counts for
+    WORTH rows; above the whole are the values of `unit`, where it has any.
+    """
+    names = [c for c in table.columns if c != "g"]
+
+    def mean(n: str, own: Column, above: Column) -> Column:
+        return (F.col(n) * own + WORTH * above) / (F.col(n) + WORTH)
+
+    up = table.select(F.col("g").alias("up"), *(F.col(c).alias(f"up_{c}") for c in names))
+    all_ = table.filter("g = ''").select(*(F.col(c).alias(f"all_{c}") for c in names))
+    rows = tree.join(table, "g").join(up, "up").crossJoin(all_)
+    whole = {c: mean("n_all", F.col(f"all_{c}"), F.lit(unit[c])) if c in unit
+             else F.col(f"all_{c}") for c in names}
+    return rows.select("g", *(mean("n", F.col(c), mean("n_up", F.col(f"up_{c}"), whole[c])).alias(c)
+                              for c in names))
+
+
+def shrunk_outliers(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows (.., g, up, x) with d2, the robust squared distance in their group.
+
+    As `outliers`, but groups of every size by one formula: medians, spreads, moments and the
+    last scale of a group g are shrunk towards its language `up`, and these towards the
+    whole, by weight of rows; the whole's moments towards those of independent statistics of
+    spread 1. Neither g nor up may be empty or shared between levels.
+    """
+    of = settle(counted)
+    tree = of.groupBy("g", "up").agg(F.count(F.lit(1)).alias("n"))
+    tree = settle(tree.withColumn("n_up", F.sum("n").over(W.partitionBy("up"))))
+    tree = settle(tree.crossJoin(tree.agg(F.sum("n").alias("n_all"))))
+    scale = settle(_shrunk(_scale(_levels(of)), tree, {}).select("g", *(
+        F.col(f"{c}{k}") for k in range(N) for c in "ms")))
+    rows, of = settle(_standard(rows, scale)), settle(_standard(of, scale))
+    unit = {f"a{i}": 0.0 for i in range(N)} | {f"q{i}{j}": float(i == j) for i, j in _pairs()}
+    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(N)), F.lit(0.0))
+    near = _nearest(of.withColumn("d2", d2).withColumn("log_d2", F.log(F.col("d2") + 1e-9)))
+    for step in range(STEPS):
+        last = settle(_factor(_shrunk(settle(_moments(_levels(near))), tree, unit)))
+        if step < STEPS - 1:
+            near = _nearest(_distance(of, last))
+    middle = settle(_quantile(_levels(_distance(of, last)), "log_d2", 0.5, "g"))
+    middle = settle(_shrunk(middle.withColumn("cut", F.col("cut").cast("double")), tree, {}))
+    grown = F.greatest(F.exp((F.col("cut") + 0.5) * BIN) / CHI_MEDIAN, F.lit(1.0))
+    return _distance(rows, last).join(middle, "g").withColumn("d2", F.col("d2") / grown)
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     source_col: str = "source", cutoff: float = CUTOFF,
@@ -200,16 +264,18 @@ def quality_rules(
     distance, null where base_failed. A null text counts as empty and fails; a null
     language or source is a value of its own; rows may repeat. Other columns are not read.
     """
-    name = F.concat_ws("\x01", *(F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")),
-                                            F.lit("n")) for c in (lang_col, source_col)))
+    lang, source = (*(F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")),
+                                 F.lit("n")) for c in (lang_col, source_col)),)
+    name = F.concat_ws("\x01", F.lit("2"), lang, source)
     rows = settle(docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), name.alias("g"),
+        F.concat_ws("\x01", F.lit("1"), lang).alias("up"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("copy"),
         base_statistics(F.col(f"`{text_col}`")).alias("s")
-    ).select("doc_id", "g", "copy", "s.*").withColumn("base_failed", base_failed()))
+    ).select("doc_id", "g", "up", "copy", "s.*").withColumn("base_failed", base_failed()))
     passed = rows.filter(~F.col("base_failed")).withColumn("x", F.array(*_vector()))
-    once = passed.groupBy("g", "copy").agg(F.min("x").alias("x"))
-    judged = outliers(passed, once.select("g", "x")).withColumnRenamed("d2", "distance")
+    once = passed.groupBy("g", "up", "copy").agg(F.min("x").alias("x"))
+    judged = shrunk_outliers(passed, once.select("g", "up", "x")).withColumnRenamed("d2", "distance")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
              "base_failed"]
     failed = rows.filter("base_failed").select(

@@ -189,6 +189,16 @@ def test_a_third_of_junk_is_rejected(spark, copies):
     assert all(r.kept == (r.doc_id % 3 > 0) for r in got)
 
 
+def test_small_groups_are_judged_by_themselves(spark):
+    # Texts with many symbols: common in one small group, odd in the other, at any table size.
+    odd = lambda i: " ".join(f"{w}#|$%&" for w in prose(i, 60 + i % 50).split())
+    rows = [(i, odd(i), "code") for i in range(60)]
+    rows += [(100 + i, prose(100 + i, 60 + i % 50), "news") for i in range(60)] + [(200, odd(200), "news")]
+    got = {r.doc_id: r for r in quality.quality_rules(documents(spark, rows)).collect()}
+    assert got[200].distance > 2 * max(got[i].distance for i in range(60))
+    assert all(got[i].distance > 0 for i in (0, 30, 100, 130))
+
+
 def test_license_places_and_labels(spark):
     noise = prose(3, 40)
     mit = licenses.TEMPLATES[0][1]
