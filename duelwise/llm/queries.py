@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelwise.llm import (
-    classifier, decontam, licenses, lines, minhash, mixing, quality, surrogates, tools, urls,
+    classifier, decontam, divergence, infill, licenses, lines, minhash, mixing, packing, quality,
+    surrogates, tools, urls,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,26 @@ def op10_source_mix(spark: SparkSession, path: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, path, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, path: str) -> DataFrame:
+    docs = _table(spark, path, "documents").select("doc_id", "text")
+    return infill.fill_in_middle(docs, keep_text=False).select("doc_id", *(
+        f"infill.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256",
+                                "restored_sha256")))
+
+
+def op12_pack_sequences(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_documents(
+        _table(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+def op13_source_divergence(spark: SparkSession, path: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, path, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -102,4 +123,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_source_mix": op10_source_mix,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_pack_sequences": op12_pack_sequences,
+    "op13_source_divergence": op13_source_divergence,
 }

@@ -99,3 +99,68 @@ SELECT doc_id, size, source_size, target,
      + least(size, greatest(0, reach - start - source_size)))::BIGINT AS taken
 FROM placed
 """
+
+STATEMENTS["op11_fill_in_middle"] = r"""
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents
+), numbers AS (
+    SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+        ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn
+), cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+            OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+            WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), parts AS (
+    SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle,
+        array_to_string(w[b + 1:], '') AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
+STATEMENTS["op13_source_divergence"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), words AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (
+    SELECT lang, term, count(*) AS whole FROM words
+    GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words GROUP BY 1, 2, 3
+), langs AS (SELECT lang, count(*) AS v, sum(whole) AS total FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.whole
+    FROM groups g JOIN kept k USING (lang)
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+    SELECT cells.*, 1 + (1000000000::HUGEINT * (n + 5))
+            // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p,
+        1 + (1000000000::HUGEINT * (whole + 5)) // (total + 5 * v) AS q
+    FROM cells JOIN langs USING (lang)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY 1, 2, 3
+), answers AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+        coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+    SELECT *, row_number() OVER (
+        PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM answers)
+WHERE part = 'pair' OR rank <= 50
+"""
