@@ -12,7 +12,9 @@ part joins the lengths. Ranks of the rests, counted in the tasks, then find thei
 
 from __future__ import annotations
 
+import base64
 import os
+import re
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from duelwise.llm.scratch import TEXTS, settle
 
-#: Bytes of text that the tokenizer gets at once.
-BYTES = 1 << 19
+#: Runs of white space from this length on are left to the tokenizer itself.
+LONG = 10_000
 #: Bits of a key of length, start and rank.
 KEY = 62
 
@@ -129,30 +131,47 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 9)
 
 
-def _tokenizer(path: str):
-    """The tokenizer of this Python worker, read once."""
-    if path not in _READ:
+class Encoder:
+    """Ids of texts by a tokenizer file; by its table of ranks, where one is given.
+
+    The table is the same vocabulary for a faster library, which gives the same ids; only
+    texts that hold an added token of the tokenizer are left to the tokenizer itself.
+    """
+
+    def __init__(self, tokenizer: str, ranks: str | None, pattern: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _READ[path] = Tokenizer.from_file(path)
-    return _READ[path]
+        self.slow = Tokenizer.from_file(tokenizer)
+        self.fast, self.added = None, None
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as file:
+                pairs = map(bytes.split, file)
+                table = {base64.b64decode(piece): int(rank) for piece, rank in pairs}
+            self.fast = tiktoken.Encoding(
+                os.path.basename(ranks), pat_str=pattern, mergeable_ranks=table, special_tokens={})
+            added = self.slow.get_added_tokens_decoder().values()
+            self.added = re.compile("|".join(
+                [re.escape(t.content) for t in added] + [rf"\s{{{LONG},}}"]))
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for text in texts:
+            if self.fast is not None and not self.added.search(text):
+                yield np.array(self.fast.encode_ordinary(text), np.uint32)
+            else:
+                yield np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-_READ: dict = {}
+#: Encoders of this Python worker, read once.
+_READ: dict[tuple, Encoder] = {}
 
 
-def _encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """Ids of each text; the tokenizer gets a bounded number of bytes at once."""
-    tokenizer, first = _tokenizer(path), 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last]) <= BYTES):
-            size += len(texts[last])
-            last += 1
-        for made in tokenizer.encode_batch_fast(texts[first:last], add_special_tokens=False):
-            yield np.array(made.ids, np.uint32)
-        first = last
+def _encoder(*files: str | None) -> Encoder:
+    if files not in _READ:
+        _READ[files] = Encoder(*files)
+    return _READ[files]
 
 
 def _column_type(df: DataFrame, name: str) -> str:
@@ -160,7 +179,8 @@ def _column_type(df: DataFrame, name: str) -> str:
 
 
 def token_windows(
-    docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str, text_col: str,
+    docs: DataFrame, files: tuple[str | None, ...], capacity: int, end: int, id_col: str,
+    text_col: str,
 ) -> DataFrame:
     """(doc_id, doc_tokens, start, length, ids, task, turn) of full windows and rests.
 
@@ -172,7 +192,7 @@ def token_windows(
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             row, tokens, start, length, ids, turn = [], [], [], [], [], []
-            for i, found in enumerate(_encoded(texts, tokenizer)):
+            for i, found in enumerate(_encoder(*files).ids(texts)):
                 data = np.append(found, np.uint32(end)).astype("<u4").tobytes()
                 n = len(data) // 4
                 for low in range(0, n, capacity):
@@ -199,11 +219,14 @@ def token_windows(
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None,
+    pattern: str | None = None,
 ) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): one row per piece.
 
-    `tokenizer` is the path of a tokenizer file that every executor can read. A document's
+    `tokenizer` is the path of a tokenizer file that every executor can read; `ranks`, the
+    path of the same vocabulary as ranks, and `pattern`, which splits its words, make that
+    faster. A document's
     ids are those of its text, without special ones added, and `end` after them; a null text
     is empty, so its only id is `end`. Pieces of a document are gapless; ids are unsigned
     32-bit little-endian bytes. Sequences are numbered without gaps from 0 and hold
@@ -213,7 +236,8 @@ def pack_documents(
     """
     if capacity not in {1 << i for i in range(14)}:
         raise ValueError("the capacity is a power of two up to 8192")
-    rows = settle(token_windows(docs, tokenizer, capacity, end, id_col, text_col), TEXTS)
+    rows = settle(token_windows(
+        docs, (tokenizer, ranks, pattern), capacity, end, id_col, text_col), TEXTS)
     groups = settle(rows.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")))
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     groups = groups.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -103,7 +103,8 @@ def op12_pack_sequences(spark: SparkSession, path: str) -> DataFrame:
     import public_tokenizers
 
     packed = packing.pack_documents(
-        _table(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+        _table(spark, path, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
 

@@ -157,6 +157,17 @@ def test_packed_pieces_hold_all_ids(spark, capacity):
     assert packing.pack_documents(docs.limit(0), TOKENIZER).count() == 0
 
 
+def test_ranks_give_the_ids_of_the_tokenizer():
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoder = packing.Encoder(TOKENIZER, ranks, public_tokenizers.PATTERN)
+    model = Tokenizer.from_file(TOKENIZER)
+    texts = [t or "" for _, t in odd_rows()]
+    texts += ["a<|endoftext|>b", "  a  \n\n b\t c ", " " * 30_000 + "x", "x" * 50_000, "\u2028 a\x1c b"]
+    texts += [f"a{c}1 {c}b{c}!{c}  {c}" for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)])]
+    for text, ids in zip(texts, encoder.ids(texts), strict=True):
+        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids
+
+
 def test_query_of_packing_gives_unsigned_checksums(spark):
     from duelwise.llm.queries import QUERIES
 
