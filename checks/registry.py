@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from duelwise.functions import odds_ratio_delta
 from duelwise.models import design, fits, jobs
 from duelwise.operators import feed, state, trades, xkill
-from duelwise.operators.scan import SLICE
 from duelwise.plans import ratings, tables
 from duelwise.sources.testdata import PLAYERS, Feed
 
@@ -25,8 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded; the slices of hot matches are inner matters."""
-    df = df.drop(SLICE)
+    """Doubles rounded."""
     doubles = [name for name, kind in df.dtypes if kind == "double"]
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in doubles})
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params
-from ..operators.scan import event_keys, group_keys
+from ..operators.scan import event_keys
 from ..operators.state import manpower_state, trader_role
 from ..operators.xkill import duels
 from ..plans.ratings import tidy_terms
@@ -152,7 +152,7 @@ def xkill_normalised(steps: DataFrame, fit) -> DataFrame:
 
     Both sides of an event sit on one row, so no window is needed for the total.
     """
-    keys = group_keys(steps, *EVENT)
+    keys = EVENT
 
     def scored(rows: DataFrame, x: str, y: str, out: str) -> DataFrame:
         inputs = xkill_inputs(rows.withColumns({

@@ -1,7 +1,8 @@
 """From an event table to engagement rows: who met whom, and in which part of a life.
 
-The feed is shuffled once, on the match, by ``event_sequence``. The later windows on
-(match, player) and the aggregates on (match, event) are satisfied by that partitioning.
+The feed is shuffled once, by ``event_sequence``, on the match, or on match and block where the
+session asks for blocks. The later windows on (match, player) and the aggregates on (match,
+event) are satisfied by that partitioning.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import clip_gap
-from .scan import SLICE, event_keys, group_keys, scan
+from .scan import event_keys, number_events, scan
 
 VICTIM, KILLER = "id", "attacker_id"
 
@@ -25,22 +26,21 @@ def mode_deaths(
 ) -> DataFrame:
     """Events of one type in matches of one mode, as match, time, victim and killer.
 
-    ``keep`` names further event columns, such as a tie-breaker, to carry along. Slices of
-    hot matches (see ``slice_hot_groups``) stay.
+    ``keep`` names further event columns, such as a tie-breaker, to carry along.
     """
     matches = match_info.filter(F.col("mode") == mode).select("match_id")
     time = F.col("time_ms").cast("long").alias("time_ms")
     return (
         events.filter(F.col("type") == event_type)
         .join(matches, "match_id")
-        .select(*group_keys(events, "match_id"), time, VICTIM, KILLER, *keep)
+        .select("match_id", time, VICTIM, KILLER, *keep)
     )
 
 
 def event_sequence(deaths: DataFrame, tie_breaker: str | None = None) -> DataFrame:
     """Number the events of each match by time, then tie-breaker (or victim and killer)."""
     ties = [tie_breaker] if tie_breaker else [VICTIM, KILLER]
-    numbered = scan(deaths, ["match_id"], ["time_ms", *ties], number="event_id")
+    numbered = number_events(deaths, ["time_ms", *ties])
     return numbered.drop(tie_breaker) if tie_breaker else numbered
 
 
@@ -69,24 +69,17 @@ def life_streak(
     """Time since last action, life number, kills earlier in the life, and their flags.
 
     A life starts at a player's first row and after each row in which they were the
-    victim. The row number since the start of the life is the distance to the latest
-    starting row, so no window on the life itself is needed.
+    victim. Lives are therefore counted by earlier falls, and the streak is the number of
+    rows since the latest of them, so no window on the life itself is needed.
     """
-    players, order = ["match_id", "player"], ["event_id", "role_ord"]
+    fell = F.col("type") == VICTIM
     rows = scan(
-        long, players, order, number="player_row",
-        previous={"prev_type": "type", "prev_time": "time_ms",
-                  "prev_event": "event_id", "prev_victim": "victim"},
-    )
-    starts = F.coalesce(F.col("prev_type"), F.lit(VICTIM)) == VICTIM
-    rows = scan(
-        rows, players, order,
-        total={"life": starts.cast("long")},
-        peak={"earlier_start": F.when(starts, F.col("player_row"))},
-    )
-    streak = F.col("player_row") - F.when(starts, F.col("player_row")).otherwise(
-        F.col("earlier_start")
+        long, ["match_id", "player"], ["event_id", "role_ord"], number="player_row",
+        previous={"prev_time": "time_ms", "prev_event": "event_id", "prev_victim": "victim"},
+        total={"falls": fell.cast("long")}, latest={"last_fall": fell},
     )
+    rows = rows.withColumn("life", F.col("falls") + F.when(fell, 0).otherwise(1))
+    streak = F.col("player_row") - 1 - F.coalesce(F.col("last_fall"), F.lit(0))
     gap = F.col("time_ms") - F.coalesce(F.col("prev_time"), F.lit(0))
     return (
         rows.withColumns({"tsla": clip_gap(gap, gap_cap_ms), "streak": streak.cast("long")})
@@ -95,7 +88,7 @@ def life_streak(
             "pkk": F.col("streak") > 0,
             "first_eng": F.col("streak") == 0,
         })
-        .drop("player_row", "earlier_start", "prev_type")
+        .drop("player_row", "falls", "last_fall")
     )
 
 
@@ -116,7 +109,7 @@ def trade_flags(lives: DataFrame, trade_ms: int = params.TRADE_MS) -> DataFrame:
 def opponent(long: DataFrame) -> DataFrame:
     """Each engagement row with the other player of its event."""
     return long.select(
-        *group_keys(long, "match_id", "event_id"), "type", "player", "other_player"
+        "match_id", "event_id", "type", "player", "other_player"
     )
 
 
@@ -138,7 +131,3 @@ def first_groups(df: DataFrame, key: str, n: int) -> DataFrame:
     """
     keys = df.select(key).distinct().orderBy(key).limit(n)
     return df.join(keys, key, "left_semi")
-
-
-def drop_slices(df: DataFrame) -> DataFrame:
-    return df.drop(SLICE)

@@ -1,4 +1,4 @@
-"""Percent ranks that never sort one group in one task, and scalar league means."""
+"""Percent ranks that never hold one group or one value in one task, and league means."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BUCKETS = 64
+from .scan import part, part_sizes, placed_rows, same
 
 
 def percent_rank_by(
@@ -15,61 +15,68 @@ def percent_rank_by(
     value: str = "value",
     out: str = "percentile",
     descending: bool | Column = False,
-    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``(rank - 1) / (values - 1)`` in each group; a NULL value has none and counts nowhere.
 
-    A group of one value has no rank either (0 / 0).
+    A group of one value has no rank either (0 / 0). ``descending`` may be a condition on
+    the group column.
 
-    ``descending`` may be a condition on the group column. The rows are first reduced to
-    the distinct values with their counts, so ties cost nothing. Approximate quantiles cut
-    each group into buckets of distinct values; ranks are running counts in a bucket plus
-    the total of the buckets below. The quantiles only place the cuts: the result is exact.
-    Groups are statistics, that is, column names; the tables with one row per group and
-    bucket are therefore small whatever the number of rows, and are broadcast.
+    Rows are put in ranges of (group, value, a random number), so that a common value spreads
+    over ranges, and ranked where they are: the rank of a value is the number of its first
+    row, found within the range. Only the first and last value of a range can go on in
+    another one; their numbers come from a table with a row per range and group, the only
+    table that is joined to the rows, and by group and range.
     """
-    lower = value + "_asc"
-    ranked = df.select(group, value).dropna(subset=[value]).filter(~F.isnan(F.col(value)))
-    counts = ranked.groupBy(group, value).agg(F.count(F.lit(1)).alias("ties"))
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(F.col(group).alias("cut_group")).agg(
-        F.percentile_approx(value, shares, 10 * buckets).alias("cuts")
-    )
-    placed = counts.join(
-        F.broadcast(cuts), F.col(group).eqNullSafe(F.col("cut_group"))
-    ).select(
-        group,
-        value,
-        "ties",
-        F.size(F.filter("cuts", lambda cut: cut < F.col(value))).alias("bucket"),
-    )
-    in_bucket = Window.partitionBy(group, "bucket").orderBy(value)
-    earlier = in_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    by_bucket = Window.partitionBy(group).orderBy("bucket")
-    whole = Window.partitionBy(group)
-    offsets = (
-        placed.groupBy(group, "bucket")
-        .agg(F.sum("ties").alias("size"))
-        .select(
-            group,
-            "bucket",
-            (F.sum("size").over(by_bucket) - F.col("size")).alias("below"),
-            F.sum("size").over(whole).alias("n_values"),
+    given = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    by = [group, "p_given"]
+    rows = df.withColumns({"p_given": given, "p_mixed": F.rand(7)})
+    placed = placed_rows(rows, by, [value, "p_mixed"])
+    pieces = _range_ends(placed, by, value)
+    match = same(placed, pieces, by, "_n") & (part() == F.col("n_part"))
+    here = Window.partitionBy(*by, part(), value)
+    ranked = placed.withColumns({
+        "p_first": F.min("n_at").over(here), "p_last": F.max("n_at").over(here)
+    }).join(pieces, match)
+
+    def place(of_end: str, here: str) -> Column:
+        return (
+            F.when(F.col(value) == F.col("n_low.value"), F.col(f"n_low.{of_end}"))
+            .when(F.col(value) == F.col("n_high.value"), F.col(f"n_high.{of_end}"))
+            .otherwise(F.col(here) + F.col("n_shift"))
         )
-    )
-    within = placed.withColumn("fewer", F.coalesce(F.sum("ties").over(earlier), F.lit(0)))
-    fewer = F.col("fewer") + F.col("below")
+
     is_descending = descending if isinstance(descending, Column) else F.lit(descending)
-    position = F.when(is_descending, F.col("n_values") - F.col("ties") - fewer).otherwise(fewer)
-    share = F.try_divide(position, F.col("n_values") - 1)
-    ranks = within.join(F.broadcast(offsets), [group, "bucket"]).select(
-        F.col(group).alias("rank_group"), F.col(value).alias(lower), share.alias(out)
-    )
-    return df.join(
-        ranks,
-        F.col(group).eqNullSafe(F.col("rank_group")) & (F.col(value) == F.col(lower)),
-        "left",
-    ).drop("rank_group", lower)
+    fewer = F.when(is_descending, F.col("n_values") - place("last", "p_last")).otherwise(
+        place("first", "p_first") - 1)
+    share = F.when(F.col("p_given"), F.try_divide(fewer, F.col("n_values") - 1))
+    return ranked.withColumn(out, share).select(*[c for c in df.columns if c != out], out)
+
+
+def _range_ends(placed: DataFrame, by: list[str], value: str) -> DataFrame:
+    """For each group and range: n_shift, the group's n_values, and n_low and n_high, the two
+    end values of the range with their first and last numbers over all ranges."""
+    names = [f"{c}_n" for c in by]
+    pieces = part_sizes(
+        placed, by, F.min("n_at").alias("n_first"),
+        F.min(F.struct(value, (-F.col("n_at")).alias("at"))).alias("n_low"),
+        F.max(F.struct(value, (-F.col("n_at")).alias("at"))).alias("n_high"))
+    shift, first = F.col("n_shift"), F.col("n_first")
+
+    def end(name: str, low: Column, high: Column) -> Column:
+        return F.struct(F.lit(name).alias("end"), F.col(f"{name}.{value}").alias("value"),
+                        (low + shift).alias("first"), (high + shift).alias("last"))
+
+    ends = pieces.withColumn("n_values", F.sum("n_rows").over(Window.partitionBy(*names))).select(
+        *names, "n_part", "n_shift", "n_values", F.explode(F.array(
+            end("n_low", first, -F.col("n_low.at")),
+            end("n_high", -F.col("n_high.at"), first + F.col("n_rows") - 1))).alias("e"))
+    whole = Window.partitionBy(*names, "e.value")
+    ends = ends.withColumn("whole", F.struct(
+        F.col("e.value").alias("value"), F.min("e.first").over(whole).alias("first"),
+        F.max("e.last").over(whole).alias("last")))
+    return ends.groupBy(*names, "n_part", "n_shift", "n_values").agg(*[
+        F.max(F.when(F.col("e.end") == name, F.col("whole"))).alias(name)
+        for name in ("n_low", "n_high")])
 
 
 def league_mean(df: DataFrame, value: str, condition: Column | None = None) -> Column:

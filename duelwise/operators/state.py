@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import params
 from .feed import KILLER, VICTIM
 from .reshape import role_terms, spread, sum_matrix
-from .scan import SLICE, event_keys, group_keys, scan
+from .scan import block_of, by_event, event_keys, scan
 
 EVENT = ["match_id", "event_id", "time_ms", VICTIM, KILLER]
 
@@ -17,15 +17,19 @@ def with_roster(df: DataFrame, roster: DataFrame) -> DataFrame:
     """Add the match's roster to each row as an array of (player_id, team).
 
     One small array per match is joined on the match, on which a numbered feed is already
-    partitioned; with time slices the array is first copied to each slice of its match.
+    partitioned; with blocks the array is first copied to each block of its match.
     """
-    packed = roster.groupBy("match_id").agg(
-        F.collect_list(F.struct("player_id", "team")).alias("roster")
-    )
-    keys = group_keys(df, "match_id")
-    if SLICE in df.columns:
-        packed = df.select("match_id", SLICE).distinct().join(packed, "match_id")
-    return df.join(packed, keys, "left")
+    seats = roster.select(F.col("match_id").alias("r_match"), F.struct(
+        "player_id", "team").alias("seat"))
+    packed = seats.groupBy("r_match").agg(F.collect_list("seat").alias("roster"))
+    block = block_of(df)
+    same_match = F.col("match_id") == F.col("r_match")
+    if block is None:
+        return df.join(packed, same_match, "left").drop("r_match")
+    blocks = df.select(F.col("match_id").alias("b_match"), block.alias("r_block")).distinct()
+    packed = blocks.join(packed, F.col("b_match") == F.col("r_match"))
+    return df.join(packed, same_match & (block == F.col("r_block")), "left").drop(
+        "r_match", "b_match", "r_block")
 
 
 def team_of(player: str) -> Column:
@@ -122,8 +126,9 @@ def manpower_state(
 
     gathered = [] if terms is None else [F.collect_list(terms).alias("terms")]
     return (
-        alive.groupBy(*group_keys(alive, *EVENT, *keep))
+        by_event(alive, *EVENT, *keep)
         .agg(side("FOR").alias("for_alive"), side("AGAINST").alias("against_alive"), *gathered)
+        .drop("in_block")
         .withColumns({
             "state": F.concat(F.col("for_alive").cast("string"), F.lit("v"),
                               F.col("against_alive").cast("string")),
@@ -141,11 +146,11 @@ def states_of(
 
 def state_shifts(states: DataFrame, start: str = params.START_STATE) -> DataFrame:
     """The first event of each run of equal states, numbered by changes since ``start``."""
-    order = ["event_id"]
-    rows = scan(states, ["match_id"], order, previous={"prev_state": "state"})
-    changed = F.col("state") != F.coalesce(F.col("prev_state"), F.lit(start))
-    rows = scan(rows, ["match_id"], order, total={"shift_index": changed.cast("long")})
-    first = changed | F.col("prev_state").isNull()
+    rows = scan(
+        states, ["match_id"], ["event_id"], previous={"prev_state": "state"},
+        changes={"shift_index": ("state", start)},
+    )
+    first = F.col("prev_state").isNull() | (F.col("state") != F.col("prev_state"))
     return rows.filter(first).drop("prev_state", "for_alive", "against_alive")
 
 
@@ -178,7 +183,7 @@ def team_advantage(states: DataFrame, roster: DataFrame) -> DataFrame:
 
     ``states`` is the feed with its states.
     """
-    keys = group_keys(states, "match_id", "event_id")
+    keys = ["match_id", "event_id"]
     event = with_roster(event_lengths(states), roster)
     sides = F.explode(
         F.array(
@@ -267,7 +272,7 @@ def advantage_timeline(
         total={"cum_adv": F.col("adv")},
     )
     return rows.select(
-        *group_keys(team_rows, "match_id", "event_id"), "type", "team", "time_ms", "cum_adv"
+        "match_id", "event_id", "type", "team", "time_ms", "cum_adv"
     )
 
 

@@ -9,7 +9,7 @@ from .. import params
 from .feed import KILLER, VICTIM
 from .ranking import league_mean, percent_rank_by
 from .reshape import gather, presence_matrix, role_terms, unfold
-from .scan import EVENT_COLUMNS, event_keys, scan
+from .scan import EVENT_COLUMNS, by_event, event_keys, scan
 
 
 def trade_outcomes(long: DataFrame, trade_ms: int = params.TRADE_MS) -> DataFrame:
@@ -81,7 +81,7 @@ def marked_trades(steps: DataFrame) -> DataFrame:
     the event is in a trade. The mark is taken over both rows of the event.
     """
     event = event_keys(steps)
-    marks = steps.groupBy(*event).agg(
+    marks = by_event(steps, *event).agg(
         F.bool_or("in_trade_eng").alias("some"), F.bool_and("in_trade_eng").alias("every"),
         F.collect_list(
             F.struct("type", "player", "pdk", "last_kill_id", "in_trade_eng", "win")
@@ -117,7 +117,7 @@ def trade_triplets(steps: DataFrame, strict: bool = False) -> DataFrame:
     event = event_keys(steps)
     counted = shown if not strict else shown & F.col("in_trade_eng")
     events = (
-        steps.groupBy(*event)
+        by_event(steps, *event)
         .agg(
             F.bool_or("in_trade_eng").alias("some"),
             F.bool_and("in_trade_eng").alias("every"),

@@ -9,7 +9,7 @@ from .. import params
 from ..functions import odds_to_probability
 from .feed import KILLER, VICTIM
 from .reshape import presence_matrix
-from .scan import event_keys
+from .scan import by_event, event_keys
 from .trades import with_event_columns
 
 FEATURES = ["player", "pkk", "tsla", "pdk", "in_trade_eng"]
@@ -25,9 +25,9 @@ def duels(steps: DataFrame) -> DataFrame:
             F.when(F.col("type") == role, F.struct(*FEATURES)), ignorenulls=True
         ).alias(name)
 
-    return steps.groupBy(*event_keys(steps)).agg(
+    return by_event(steps, *event_keys(steps)).agg(
         side(VICTIM, "v"), side(KILLER, "k")
-    )
+    ).drop("in_block")
 
 
 def key_hash(*parts: str | Column) -> Column:
