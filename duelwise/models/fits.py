@@ -10,16 +10,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import term_parts
 from ..operators.ranking import league_mean
 from ..operators.reshape import spread
+from . import newton
 from .design import aliased_columns, assemble, correlations
 
 TIDY = "term string, estimate double, `std.error` double, statistic double, `p.value` double"
@@ -92,6 +91,34 @@ def fit_logistic(
     return model, (used_terms, used_numeric), terms_frame(df.sparkSession, table)
 
 
+def logistic_table(
+    df: DataFrame, label: Column, terms: list[str], numeric: list[str] | None = None,
+    intercept: bool = True, exponentiate: bool = True,
+) -> DataFrame:
+    """The tidy table of an unregularised logistic regression of any width.
+
+    As ``fit_logistic`` gives it with standard errors, without a model, and with no bound on
+    the columns but the driver's memory for a matrix of terms. Terms that depend linearly on
+    the intercept, if there is one, and on earlier terms have NULL values.
+    """
+    numeric = numeric or []
+    found = newton.newton(newton.design(df, label, terms, numeric), [0.0], [-2], intercept)
+    _warn_unless(found.converged, "logistic fit")
+    errors = newton.standard_errors(found.matrices[0], found.kept[0])
+    names = [INTERCEPT, *numeric, *terms]
+    table = []
+    for name, value, error, kept in zip(names, found.betas[0], errors, found.kept[0]):
+        if name == INTERCEPT and not intercept:
+            continue
+        row = (None,) * 4
+        if kept:
+            z = float(value / error)
+            row = (math.exp(value) if exponentiate else float(value), float(error), z,
+                   newton.p_value(z))
+        table.append((name, *row))
+    return terms_frame(df.sparkSession, table)
+
+
 def predict(model, df: DataFrame, columns: tuple[list[str], list[str]]) -> DataFrame:
     """Rows with the model's ``prediction``: a probability, or a value for ridge linear."""
     scored = model.transform(assemble(df, *columns))
@@ -149,11 +176,11 @@ def penalty_levels(levels: int = 10, low: float = -10.0, high: float = 0.0) -> l
 def cross_validate(
     df: DataFrame, label: Column, terms: list[str], numeric: list[str] | None = None,
     penalties: list[float] | None = None, folds: int = 10, kind: str = "linear",
-    parallelism: int = 4,
 ) -> DataFrame:
     """Mean held-out error of a ridge fit per penalty: RMSE (linear) or log loss (logistic).
 
-    ``df`` carries the fold number in ``fold``.
+    ``df`` carries the fold number in ``fold``, from 0. All folds and penalties share each
+    pass over the rows.
     """
     penalties = penalties or penalty_levels()
     labelled = df.withColumn("label", label.cast("double"))
@@ -165,19 +192,15 @@ def cross_validate(
             (float(p), "rmse", float(e.mean()), float(e.std(ddof=1)) if folds > 1 else None)
             for p, e in zip(penalties, errors)
         ], schema)
-    estimator = LogisticRegression(elasticNetParam=0.0, maxIter=LBFGS_STEPS, tol=1e-7)
-    evaluator = MulticlassClassificationEvaluator(metricName="logLoss")
-    grid = ParamGridBuilder().addGrid(estimator.regParam, penalties).build()
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,
-        numFolds=folds, foldCol="fold", parallelism=parallelism,
-    )
-    found = search.fit(assemble(rows, terms, numeric))
-    results = [
-        (float(p), evaluator.getMetricName(), float(m), float(s))
-        for p, m, s in zip(penalties, found.avgMetrics, found.stdMetrics)
-    ]
-    return terms_frame(df.sparkSession, results, schema)
+    grid = [(p, k) for p in penalties for k in range(folds)]
+    data = newton.design(rows, F.col("label"), terms, numeric)
+    found = newton.newton(data, *map(list, zip(*grid)))
+    _warn_unless(found.converged, "cross-validation")
+    losses = found.held_out.reshape(len(penalties), folds)
+    return terms_frame(df.sparkSession, [
+        (float(p), "logLoss", float(e.mean()), float(e.std()))
+        for p, e in zip(penalties, losses)
+    ], schema)
 
 
 def _fold_sums(

@@ -22,7 +22,8 @@ from .design import (
     varying_terms, with_fold,
 )
 from .fits import (
-    cross_validate, fit_logistic, fit_ridge_linear, fit_ridge_logistic, player_table, predict,
+    cross_validate, fit_logistic, fit_ridge_linear, fit_ridge_logistic, logistic_table,
+    player_table, predict,
 )
 
 EVENT = ["match_id", "event_id"]
@@ -79,7 +80,7 @@ def _odds_ratios(
     train, _ = train_test_split(rows, keys, seed)
     with settled(train) as train:
         terms = varying_terms(train, players, "adv", str(adv_baseline))
-        return fit_logistic(train, F.col("outcome"), terms, numeric)[2]
+        return logistic_table(train, F.col("outcome"), terms, numeric)
 
 
 def trade_attempted_model(
@@ -183,7 +184,7 @@ def win_rows(plus_minus: DataFrame) -> DataFrame:
 def win_model(plus_minus: DataFrame) -> DataFrame:
     """Log odds of a match win by kill difference."""
     with settled(win_rows(plus_minus)) as kept:
-        return fit_logistic(kept, F.col("is_victor"), [], ["adv"], exponentiate=False)[2]
+        return logistic_table(kept, F.col("is_victor"), [], ["adv"], exponentiate=False)
 
 
 def triplet_rows(triplets: DataFrame) -> DataFrame:
