@@ -33,6 +33,8 @@ WANTED = 1 << 22
 CHUNK = 1 << 16
 _LAST = (1 << 63) - 1
 _PLACE = ["id", "part", "line"]
+#: 128 bits of a line's set.
+_NODE = ["node0", "node1"]
 
 
 class _Lines:
@@ -99,7 +101,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _line_rows(source: DataFrame, counts, min_words: int, percent: int) -> DataFrame:
-    """(id, part, line, node, n, sig0, sig1, prefix) of every line of min_words or more."""
+    """(id, part, line, node0, node1, n, sig0, sig1, prefix) of lines of min_words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +112,7 @@ def _line_rows(source: DataFrame, counts, min_words: int, percent: int) -> DataF
                     continue
                 token, bounds = found.tokens(rows)
                 n, at = found.n[rows], bounds[:-1]
-                node = np.empty((len(rows), 2), ">u8")
-                for i in (0, 1):
-                    node[:, i] = np.add.reduceat(mix(token ^ np.uint64(i + 1)), at)
+                node = [np.add.reduceat(mix(token ^ np.uint64(i + 1)), at) for i in (0, 1)]
                 slot = token >> np.uint64(57)
                 bit = np.uint64(1) << (slot & np.uint64(63))
                 sig = [np.bitwise_xor.reduceat(np.where((slot >= 64) == high, bit, np.uint64(0)), at)
@@ -126,16 +126,14 @@ def _line_rows(source: DataFrame, counts, min_words: int, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(whose), batch.column(1).take(whose),
                      pa.array(found.line[rows].astype(np.int32)),
-                     pa.FixedSizeBinaryArray.from_buffers(
-                         pa.binary(16), len(rows), [None, pa.py_buffer(node.tobytes())]
-                     ).cast(pa.binary()),
+                     *(pa.array(x.view(np.int64)) for x in node),
                      pa.array(n.astype(np.int32)),
                      *(pa.array(x.view(np.int64)) for x in sig), prefix],
-                    names=[*_PLACE, "node", "n", "sig0", "sig1", "prefix"])
+                    names=[*_PLACE, *_NODE, "n", "sig0", "sig1", "prefix"])
 
     return source.mapInArrow(
-        run, "id long, part int, line int, node binary, n int, sig0 long, sig1 long, "
-             "prefix array<int>")
+        run, "id long, part int, line int, node0 long, node1 long, n int, sig0 long, "
+             "sig1 long, prefix array<int>")
 
 
 def _word_counts(source: DataFrame) -> np.ndarray:
@@ -144,10 +142,11 @@ def _word_counts(source: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
+            slots = [np.empty(0, np.int64)]
             for _, data, offsets in text_slices(batch.column(0)):
                 words = split_words(data, offsets, SPACED)
-                total += np.bincount((words.hash & np.uint64(SLOTS - 1)).astype(np.int64),
-                                     minlength=SLOTS)
+                slots.append((words.hash & np.uint64(SLOTS - 1)).astype(np.int64))
+            total += np.bincount(np.concatenate(slots), minlength=SLOTS)
         slot = np.flatnonzero(total)
         for start in range(0, len(slot), 1 << 16):
             some = slot[start:start + (1 << 16)]
@@ -193,19 +192,18 @@ def _postings(lines: DataFrame, lengths, words=None, open_=None) -> DataFrame:
     Numbers are packed in pairs, which halves what is shuffled: list is word and block, spot
     is part and line, form is the number of words, the word's place among them, and the mark.
     """
-    rows = lines.select(*_PLACE, "node", "n", "sig0", "sig1", "prefix")
+    rows = lines.select(*_PLACE, *_NODE, "n", "sig0", "sig1", "prefix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Equal sets of a batch are listed once, at their earliest place.
-            keys = [batch.column(i).to_numpy() for i in (2, 1, 0)]
-            node = np.array([int.from_bytes(x[:8], "big") for x in batch.column(3).to_pylist()],
-                            np.uint64)
-            order = np.lexsort((*keys, node))
+            keys = [batch.column(i).to_numpy() for i in (2, 1, 0, 4, 3)]
+            node = keys[-1].view(np.uint64)
+            order = np.lexsort(keys)
             once = np.ones(len(order), bool)
-            once[1:] = node[order][1:] != node[order][:-1]
+            once[1:] = (np.diff(keys[-1][order]) != 0) | (np.diff(keys[-2][order]) != 0)
             chosen = np.sort(order[once])
-            prefix = batch.column(7)
+            prefix = batch.column(8)
             bounds = prefix.offsets.to_numpy()
             length = (bounds[1:] - bounds[:-1])[chosen]
             which = np.repeat(chosen, length)
@@ -224,11 +222,11 @@ def _postings(lines: DataFrame, lengths, words=None, open_=None) -> DataFrame:
                 list_ = (word[some].astype(np.int64) << 32) | block
                 spot = (batch.column(1).to_numpy()[at].astype(np.int64) << 32) \
                     | batch.column(2).to_numpy()[at]
-                form = (batch.column(4).to_numpy()[at].astype(np.int64) << 31) \
+                form = (batch.column(5).to_numpy()[at].astype(np.int64) << 31) \
                     | (place[some] << 1) | marked[at]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list_), batch.column(0).take(pa.array(at)), pa.array(spot),
-                     pa.array(form), *(batch.column(i).take(pa.array(at)) for i in (5, 6))],
+                     pa.array(form), *(batch.column(i).take(pa.array(at)) for i in (6, 7))],
                     names=["list", "id", "spot", "form", "sig0", "sig1"])
 
     return rows.mapInArrow(
@@ -460,7 +458,7 @@ def removed_lines(
         more = settle(again.select(*(f"{s}_{c}" for s in "xy" for c in _PLACE)).distinct())
         similar = similar.union(_confirmed(source, more, percent)).distinct()
     place = F.struct(*_PLACE)
-    firsts = lines.groupBy("node").agg(F.min(place).alias("place")).select("place.*")
+    firsts = lines.groupBy(*_NODE).agg(F.min(place).alias("place")).select("place.*")
     stays = settle(firsts.join(similar, _PLACE, "left_anti"))
     return lines.select(*_PLACE).join(stays, _PLACE, "left_anti").groupBy("id", "part").agg(
         F.sort_array(F.collect_set("line")).alias("removed"))
@@ -485,15 +483,15 @@ def _list_lengths(lines: DataFrame, slots: int) -> np.ndarray:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1,
     percent: int = 80, out: str = "line_report",
 ) -> DataFrame:
     """All columns of `docs`, the text without repeated lines, and `out`, a name new to `docs`.
 
     A line is a piece of the text between line feeds; its set holds its words (runs without
     white space, A-Z lower-cased). A line of min_words words or more goes if a line that
-    comes earlier, by id and then by line number, reaches the similarity. Shorter and blank
-    lines stay. `out` is a struct of n_lines and removed (numbers of the lines, from
+    comes earlier, by id and then by line number, reaches the similarity. Blank lines, and
+    those of fewer words, stay. `out` is a struct of n_lines and removed (numbers of the lines, from
     0). A null text has no lines and stays null; a null id comes last; of rows with one id
     and different texts the order is that of a hash; rows alike in id and text are one
     document and lose the same lines. The similarity must be at least 80 percent.

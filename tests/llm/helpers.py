@@ -74,7 +74,7 @@ def near_groups(rows, size, percent=80):
     return {i: (len(sets[i][0]), found[i]) for i in ids}
 
 
-def repeated_lines(rows, min_words=3, percent=80):
+def repeated_lines(rows, min_words=1, percent=80):
     """{doc_id: numbers of lines similar to an earlier one}; rows come in order."""
     seen, out = [], {}
     for doc_id, text in rows:
