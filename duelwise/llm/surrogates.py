@@ -13,15 +13,14 @@ from __future__ import annotations
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelwise.llm.columns import let
 from duelwise.llm.scratch import settle
 
-#: Attempts per entity at most. From the attempt FREE on, each one's surrogates are a digit or
-#: a syllable longer, so the space grows tenfold or more until all entities have a place.
-ATTEMPTS, FREE = 60, 6
+#: From the attempt FREE on, each one's surrogates are a digit or a syllable longer, so the
+#: space grows tenfold or more until all entities have a place.
+FREE = 6
 _NONE = -(1 << 63)
 
 # Titles and common given names, by gender.
@@ -73,13 +72,18 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = [
     ("email", r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+"),
     ("secret", r"(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1})"
-               r"(?=[^\s\"',;=:]*[\p{L}\p{N}])[^\s\"',;=:]{6,}+"),
+               r"(?=[^\s\"',;=:]*[\p{L}\p{N}])[^\s\"',;=:]{6,}(?<![.!?)\]}>])"),
     ("key", r"\bAKIA[A-Z0-9]{16}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"),
+    ("ip6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"
+            r"|(?<![\w:])(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::"
+            r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)"
-              r"|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"),
+              r"|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+              r"|(?<![\d.-])\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])"
+              r"|(?<![\d.])0\d{2,4}[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2}(?!\d)"),
     ("card", r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\d)"),
     ("name", rf"\b(?:(?:{_TITLE})\b\.? {_WORD}(?: {_WORD}){{0,2}}|(?:{_GIVEN}) {_WORD})"),
 ]
@@ -105,11 +109,12 @@ def _kind(mention: Column) -> Column:
 
 
 def _gender(mention: Column) -> Column:
-    gender = F.lit("u")
+    """By a title that tells it, else by the given name, so that all mentions of a person agree."""
+    gender, bare = F.lit("u"), _bare_name(mention)
     for g in ("f", "m"):
-        gender = F.when(mention.rlike(rf"^(?:{'|'.join(GIVEN[g])})\b"), g).otherwise(gender)
-    for g, titles in TITLES.items():
-        gender = F.when(mention.rlike(rf"^(?:{'|'.join(titles)})\b"), g).otherwise(gender)
+        gender = F.when(bare.rlike(rf"^(?:{'|'.join(GIVEN[g])})(?!\p{{L}})"), g).otherwise(gender)
+    for g in ("f", "m"):
+        gender = F.when(mention.rlike(rf"^(?:{'|'.join(TITLES[g])})(?!\p{{L}})"), g).otherwise(gender)
     return gender
 
 
@@ -121,7 +126,7 @@ def entity(kind: Column, mention: Column) -> Column:
     """The mention without its format."""
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(mention, r"\D", ""))
-        .when(kind == "email", F.lower(mention))
+        .when(kind.isin("email", "ip6"), F.lower(mention))
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
         .when(kind == "name", F.concat(_gender(mention), F.lit(":"), _bare_name(mention)))
         .otherwise(mention))
@@ -224,9 +229,14 @@ def _ip(own: Column, key: str, *parts: Column) -> Column:
     first = F.when(attempt < FREE, F.lit(10)).otherwise(_number(noise, F.lit(3), 15) + 240)
     short = F.concat_ws(".", first.cast("string"), *(
         _number(noise, F.lit(i), 256).cast("string") for i in range(3)))
-    long_ = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(noise, 1, 2)), *(
+    return F.when(attempt < 2 * FREE, short).otherwise(_ip6(key, *parts))
+
+
+def _ip6(key: str, *parts: Column) -> Column:
+    """A local address of version 6, written in full."""
+    noise = _noise(key, *parts)
+    return F.concat_ws(":", F.concat(F.lit("fd"), F.substring(noise, 1, 2)), *(
         F.substring(noise, 3 + 4 * i, 4) for i in range(7)))
-    return F.when(attempt < 2 * FREE, short).otherwise(long_)
 
 
 def _name(own: Column, key: str, *parts: Column) -> Column:
@@ -271,6 +281,7 @@ def surrogate(kind: Column, own: Column, attempt: Column, key: str) -> Column:
         F.substring(own, F.lit(2), F.length(own)), key, *parts), _extra(key, *parts))
     return (
         F.when(kind == "email", _email(own, key, *parts)).when(kind == "ip", _ip(own, key, *parts))
+        .when(kind == "ip6", _ip6(key, *parts))
         .when(kind == "card", _card(own, key, *parts)).when(kind == "phone", phone)
         .when(kind == "iban", _iban(own, key, *parts)).when(kind == "name", _name(own, key, *parts))
         .when(kind == "key", F.concat(F.lit("AKIA"), _scrambled(F.substring(own, 5, 16), key, *parts),
@@ -304,7 +315,7 @@ def entity_table(entities: DataFrame, key: str) -> DataFrame:
     open_ = settle(entities.select("kind", "own", F.lit(0).alias("attempt")))
     done = None
     names = entities.select("kind", F.col("own").alias("core")).distinct()
-    for _ in range(ATTEMPTS):
+    while True:
         tried = settle(open_.withColumn(
             "core", surrogate(F.col("kind"), F.col("own"), F.col("attempt"), key)))
         bad = names if done is None else names.union(done.select("kind", "core"))
@@ -316,7 +327,6 @@ def entity_table(entities: DataFrame, key: str) -> DataFrame:
             won.select("kind", "own"), ["kind", "own"], "left_anti"))
         if open_.isEmpty():
             return done
-    raise ValueError(f"no surrogate left for some entities after {ATTEMPTS} attempts")
 
 
 def replace_entities(

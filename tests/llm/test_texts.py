@@ -65,6 +65,40 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert replaced(spark, rows[:3], "other")[0][1] != got[0][0]
 
 
+def test_mentions_of_one_person_or_secret_agree(spark):
+    people = ["Dr Anna Schmidt", "Anna Schmidt", "Mrs Anna Schmidt", "Prof. Anna Schmidt",
+              "Prof. John Miller", "John Miller", "Dr. John Miller", "Mr John Miller"]
+    texts = [f"see {p} now" for p in people]
+    texts += ["password: hunter2secret", "Password=hunter2secret.", "(token = hunter2secret)"]
+    got = {t: (new, n) for t, (_, new, n) in zip(texts, sorted(replaced(spark, list(enumerate(texts)))))}
+    assert all(n == 1 for _, n in got.values())
+    names = [re.fullmatch(r"see ((?:Dr|Mrs|Mr|Prof)\.? )?(\w+ \w+) now", got[t][0]) for t in texts[:8]]
+    assert len({m[2] for m in names[:4]}) == len({m[2] for m in names[4:]}) == 1
+    assert names[0][2].split()[0] in surrogates.GIVEN["f"]
+    assert names[4][2].split()[0] in surrogates.GIVEN["m"]
+    assert [m[1] for m in names] == [re.match(r"(\w+\.? )?\w+ \w+$", p)[1] for p in people]
+    secrets = {got[texts[8]][0][10:], got[texts[9]][0][9:-1], got[texts[10]][0][9:-1]}
+    assert len(secrets) == 1 and got[texts[9]][0].endswith(".") and got[texts[10]][0].endswith(")")
+
+
+def test_phones_and_addresses_of_common_forms(spark):
+    found = ["555-123-4567", "555 123 4567", "0171 1234567", "fe80::1", "2001:db8:0:0:0:0:2:1", "::1",
+             "2001:DB8::2:1"]
+    left = ["std::vector", "a::b", "at 12:30:45", "2024-01-02", "1 234 567", "part 0123 of 12", "10:20"]
+    rows = list(enumerate([f"x {t} y" for t in found + left]))
+    got = {i: (t, n) for i, t, n in replaced(spark, rows)}
+    for i, text in enumerate(found):
+        new = re.fullmatch("x (.*) y", got[i][0])[1]
+        assert got[i][1] == 1 and new != text
+        if ":" in text:
+            assert re.fullmatch("fd[0-9a-f]{2}(:[0-9a-f]{4}){7}", new)
+        else:
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+    assert got[0][0].replace("-", " ") == got[1][0]
+    for i in range(len(found), len(rows)):
+        assert got[i] == (rows[i][1], 0)
+
+
 def test_surrogates_stay_distinct(spark):
     # 17 two-digit accounts of one domain: many first attempts meet.
     rows = [(i, f"{i:02d}@a.org") for i in range(60)]
