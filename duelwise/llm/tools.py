@@ -18,8 +18,11 @@ Param = tuple[str, str, bool]
 _KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*",
           "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 _KEY = ["conv_id", "call_id"]
-_CALL = "id string, name string, arguments string, after array<string>"
-_RESULT = "id string, content string"
+_ONE = "id string, name string, arguments string, after array<string>"
+_CALL = (f"{_ONE}, function struct<name:string, arguments:string>, tool_calls array<struct<"
+         "id:string, name:string, arguments:string, after:array<string>,"
+         " function:struct<name:string, arguments:string>>>")
+_RESULT = "id string, tool_call_id string, content string"
 
 
 def canonical(json: Column) -> Column:
@@ -37,34 +40,58 @@ def json_string(text: Column) -> Column:
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of a table (conv_id, turn, role, text).
 
-    A turn of the assistant that is a JSON object with a name is a call, with id, arguments
-    and the ids it comes after; a turn of role tool that is a JSON object with an id is a
-    result. Of the plain turns, a user's is a call of the tool `answer` after the one two
-    turns before, and an assistant's is the result of the turn before it.
+    A turn of the assistant that is a JSON object is a call if it has a name, or a function
+    with one, and several calls if it has a list `tool_calls` of such; arguments may be JSON
+    or a string of JSON. A turn of role tool is a result, of the call that its `tool_call_id`
+    or `id` names; without JSON, of the first call in the turn before it. Of the plain turns,
+    a user's is a call of the tool `answer`, after the turn two before if that is a user's
+    as well, and an assistant's is the result of the turn before it if that is a user's.
+    Results that belong to no call have no identifier. Other roles are neither.
     """
-    text = F.col("text")
+    text, nothing = F.col("text"), F.array().cast("array<string>")
     object_ = F.ltrim(text).startswith("{")
-    call = F.when((F.col("role") == "assistant") & object_, F.from_json(text, _CALL))
-    result = F.when((F.col("role") == "tool") & object_, F.from_json(text, _RESULT))
+    c = F.when((F.col("role") == "assistant") & object_, F.from_json(text, _CALL))
+    r = F.when((F.col("role") == "tool") & object_, F.from_json(text, _RESULT))
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text",
-                        call.alias("c"), result.alias("r"))
-    made = F.col("c.name").isNotNull()
-    told = F.col("r.id").isNotNull()
-    plain_call = (F.col("role") == "user")
-    plain_result = (F.col("role") == "assistant") & ~F.coalesce(made, F.lit(False))
-    number = F.col("turn").cast("string")
+                        c.alias("c"), r.alias("r"))
+
+    def one(x: Column) -> Column:
+        return F.struct(
+            x["id"].alias("id"), F.coalesce(x["function"]["name"], x["name"]).alias("name"),
+            F.coalesce(x["function"]["arguments"], x["arguments"]).alias("arguments"),
+            F.coalesce(x["after"], nothing).alias("after"))
+
+    listed = F.coalesce(F.transform("c.tool_calls", one), F.array(one(F.col("c"))))
+    own = F.filter(listed, lambda x: x["name"].isNotNull())
+    rows = rows.withColumn("own", F.coalesce(own, F.array().cast(
+        "array<struct<id:string,name:string,arguments:string,after:array<string>>>")))
+    user, made = F.col("role") == "user", F.size("own") > 0
+    # What the one and two turns before are, by a hash join of one row per turn.
+    seen = rows.filter(user | made).groupBy("conv_id", "turn").agg(
+        F.max(user).alias("user"), F.min(F.get("own", F.lit(0))["id"]).alias("id"))
+    prior = settle(seen.filter("turn is not null"))
+    for back in (1, 2):
+        rows = rows.join(prior.select(
+            F.col("conv_id").alias("p_conv"), (F.col("turn") + back).alias("p_turn"),
+            F.col("user").alias(f"user{back}"), F.col("id").alias(f"id{back}")),
+            (F.col("conv_id") == F.col("p_conv")) & (F.col("turn") == F.col("p_turn")), "left"
+        ).drop("p_conv", "p_turn")
+    before = F.when(F.col("user2"), F.array((F.col("turn") - 2).cast("string"))).otherwise(nothing)
     prompt = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt")))
-    calls = rows.filter(plain_call | made).select(
-        "conv_id", "turn", F.when(made, F.col("c.id")).otherwise(number).alias("call_id"),
-        F.when(made, F.col("c.name")).otherwise("answer").alias("tool"),
-        F.when(made, F.col("c.arguments")).otherwise(prompt).alias("arguments"),
-        F.when(made, F.coalesce("c.after", F.array().cast("array<string>")))
-        .when(F.col("turn") >= 2, F.array((F.col("turn") - 2).cast("string")))
-        .otherwise(F.array().cast("array<string>")).alias("after"))
-    results = rows.filter(plain_result | told).select(
+    plain = F.array(F.struct(
+        F.col("turn").cast("string").alias("id"), F.lit("answer").alias("name"),
+        prompt.alias("arguments"), before.alias("after")))
+    call = F.when(user, plain).otherwise(F.col("own"))
+    calls = rows.filter(user | made).select("conv_id", "turn", F.explode(call).alias("x")).select(
+        "conv_id", "turn", F.col("x.id").alias("call_id"), F.col("x.name").alias("tool"),
+        F.col("x.arguments").alias("arguments"), F.col("x.after").alias("after"))
+    told = F.col("role") == "tool"
+    answered = F.when(F.col("user1"), (F.col("turn") - 1).cast("string"))
+    id_ = F.coalesce("r.tool_call_id", "r.id")
+    results = rows.filter(told | ((F.col("role") == "assistant") & ~made)).select(
         "conv_id", "turn",
-        F.when(told, F.col("r.id")).otherwise((F.col("turn") - 1).cast("string")).alias("call_id"),
-        F.when(told, F.col("r.content")).otherwise(text).alias("content"))
+        F.when(told, F.coalesce(id_, "id1")).otherwise(answered).alias("call_id"),
+        F.when(told & id_.isNotNull(), F.col("r.content")).otherwise(text).alias("content"))
     return calls, results
 
 

@@ -216,6 +216,34 @@ def test_calls_are_linked_ordered_checked_and_written(spark):
     assert linked(spark, []) == {}
 
 
+def test_common_forms_of_calls_and_turns_in_a_row(spark):
+    both = {"tool_calls": [
+        {"id": "a", "type": "function", "function": {"name": "add", "arguments": '{"b": 1, "a": 2}'}},
+        {"id": "b", "function": {"name": "add", "arguments": {"a": 1, "b": 2.5}}}]}
+    one = {"id": "c", "function": {"name": "answer", "arguments": {"prompt": "x"}}}
+    rows = [
+        (1, 0, "user", "add"), (1, 1, "assistant", json.dumps(both)),
+        (1, 2, "tool", '{"tool_call_id": "a", "content": "3"}'), (1, 3, "tool", '{"tool_call_id": "b", "content": "3.5"}'),
+        (1, 4, "assistant", json.dumps(one)), (1, 5, "tool", "plain result"), (1, 6, "tool", "of nothing"),
+        # Turns of one role in a row, and an assistant that begins.
+        (2, 0, "user", "q"), (2, 1, "assistant", "r"), (2, 2, "assistant", "s"), (2, 3, "user", "t"),
+        (2, 4, "user", "u"), (2, 5, "assistant", "v"), (3, 0, "assistant", "hello"), (3, 1, "user", "w"),
+        (4, 0, "assistant", '{"tool_calls": []}'), (4, 1, "assistant", '{"tool_calls": "no list"}'),
+    ]
+    calls, results = tools.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = tools.link_calls(calls, results, SCHEMAS).collect()
+    got = {(r.conv_id, r.call_id): (r.status, r.level, r.errors) for r in found if r.status != "unlinked"}
+    assert got == {
+        (1, "0"): ("unanswered", 0, ""), (1, "a"): ("ok", 0, ""), (1, "b"): ("ok", 0, ""), (1, "c"): ("ok", 0, ""),
+        (2, "0"): ("ok", 0, ""), (2, "3"): ("unanswered", 0, ""), (2, "4"): ("ok", 0, ""), (3, "1"): ("unanswered", 0, ""),
+    }
+    alone = sorted((r.conv_id, r.result_turn) for r in found if r.status == "unlinked")
+    assert alone == [(1, 6), (2, 2), (3, 0), (4, 0), (4, 1)]
+    texts = {r.call_id: r.json for r in found if r.conv_id == 1}
+    assert texts["a"] == '{"arguments":{"a":2,"b":1},"id":"a","name":"add","result":"3"}'
+    assert json.loads(texts["c"])["result"] == "plain result"
+
+
 def test_levels_of_a_long_conversation(spark):
     rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(3000)]
     # Calls after the two before, a long circle and what is behind it, in another conversation.
