@@ -31,23 +31,50 @@ WANTED = 1 << 22
 # Phrases that count wherever they stand.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Opening sentences and usual short forms of public licenses.
-TEMPLATES = [
+# How identifiers of public licenses begin in a line `SPDX-License-Identifier`.
+IDENTIFIERS = {
+    "mit": "MIT", "apache": "Apache-2.0", "bsd": "BSD", "gpl": "GPL", "lgpl": "LGPL", "agpl": "AGPL",
+    "mpl": "MPL", "isc": "ISC", "cc-by": "CC-BY-4.0", "cc-by-nc": "CC-BY-NC", "cc-by-sa": "CC-BY-SA",
+    "cc0": "CC0-1.0", "unlicense": "Unlicense",
+}
+# Sentences, headers and usual short forms of public licenses.
+TEMPLATES = [(label, f"SPDX-License-Identifier: {name}") for label, name in IDENTIFIERS.items()] + [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of "
             "this software and associated documentation files (the Software), to deal in the "
             "Software without restriction"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all "
+            "copies or substantial portions of the Software"),
+    ("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
+            "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+            "PARTICULAR PURPOSE AND NONINFRINGEMENT"),
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "you may not use this file except in compliance with the License. You may "
                "obtain a copy of the License at"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed "
+               "under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR "
+               "CONDITIONS OF ANY KIND, either express or implied"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+            "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+            "PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("agpl", "GNU Affero General Public License"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free "
+             "Software Foundation"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under "
             "the terms of the GNU General Public License as published by the Free Software "
             "Foundation"),
     ("lgpl", "under the terms of the GNU Lesser General Public License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without "
             "modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list "
+            "of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this "
+            "list of conditions and the following disclaimer in the documentation and/or other "
+            "materials provided with the distribution"),
+    ("bsd", "may be used to endorse or promote products derived from this software without "
+            "specific prior written permission"),
     ("bsd", "Licensed under the BSD License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose "
             "with or without fee is hereby granted"),

@@ -199,9 +199,29 @@ def test_small_groups_are_judged_by_themselves(spark):
     assert all(got[i].distance > 0 for i in (0, 30, 100, 130))
 
 
+def test_headers_clauses_and_identifiers_are_labelled(spark):
+    want = {
+        "# SPDX-License-Identifier: Apache-2.0\nimport os": "apache",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl",
+        "Redistributions of source code must retain the above copyright\n * notice, this list of "
+        "conditions and the following disclaimer.": "bsd",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE": "mit",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3": "agpl,gpl",
+        "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+        "CONDITIONS OF ANY KIND, either express or implied.": "apache",
+        "the software is provided to any person": "", "source code must be kept": "",
+        "a license identifier of the map": "", "spdx identifier license mit": "",
+    }
+    noise = prose(3, 200)
+    rows = [(i, f"{noise}\n{text}\n{noise}") for i, text in enumerate(want)]
+    got = {r.doc_id: r.labels for r in licenses.license_labels(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == list(want.values())
+
+
 def test_license_places_and_labels(spark):
     noise = prose(3, 40)
-    mit = licenses.TEMPLATES[0][1]
+    mit = next(t for label, t in licenses.TEMPLATES if t.startswith("Permission is hereby"))
     rows = [
         (1, f"{noise} Released under the MIT License. {noise}"),
         (2, f"{noise}\nLicensed under the Apache License, Version 2.0.\n{noise} GENERAL public\tLicense"),
