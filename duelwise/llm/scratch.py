@@ -24,8 +24,14 @@ def _own_folder(application: str) -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one where it names none."""
+    """The shared folder that the session names; a temporary one on a single machine.
+
+    On a cluster without a named folder this fails: executors would write where others, and
+    the driver, cannot read.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     return named or _own_folder(spark.sparkContext.applicationId)
 
 
