@@ -237,8 +237,8 @@ def _varying(f: Feed) -> DataFrame:
     rows = design.collect_terms(
         _roles(f), EVENT, F.concat_ws("_", "player_id", "p"), F.lit(True))
     terms = [f"{p}_{r}" for p in PLAYERS for r in ("P1", "P2", "P3")]
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    return design.term_counts(rows, F.col("term").isin(terms)).filter(F.col("n") < total)
+    varying = design.varying_terms(rows, terms)
+    return design.term_counts(rows, F.col("term").isin(varying))
 
 
 def _outcome_alive(f: Feed) -> DataFrame:
@@ -289,6 +289,44 @@ MODELS: dict[str, Callable[[Feed], DataFrame]] = {
 }
 
 
+# From the feed to ratings by the models' own coefficients, as a user runs them.
+
+
+def _fitted_skill(f: Feed) -> DataFrame:
+    return jobs.talent_model(_xkill(f), f.roster, MIN_GAMES)
+
+
+def _fitted_probabilities(f: Feed) -> DataFrame:
+    tried = jobs.trade_attempted_model(_outcome_alive(f), f.roster, min_games=MIN_GAMES)
+    won = jobs.trade_won_model(_roles(f, with_state=True), f.roster, min_games=MIN_GAMES)
+    betas = ratings.player_betas(_fitted_skill(f), tried.dropna(subset=["estimate"]),
+                                 won.dropna(subset=["estimate"]))
+    return ratings.players_only(ratings.player_probabilities(betas))
+
+
+def _fitted_war(f: Feed) -> DataFrame:
+    alive, games = f.alive, ratings.roster_games(f.roster)
+    pace = jobs.pace_table(jobs.pace_fit(
+        state.engagement_pace(jobs.side_terms(alive)), f.roster, MIN_GAMES))
+    quality = jobs.shot_quality_model(_xkill(f), _shifts(f), f.roster, MIN_GAMES)
+    return ratings.player_war(
+        ratings.pace_added(ratings.side_values(pace), state.player_time_alive(alive), games),
+        ratings.quality_added(ratings.side_values(quality), ratings.side_counts(
+            state.event_roster(f.sequence, f.roster))),
+        ratings.skill_added(_fitted_skill(f), ratings.season_engagements(f.sequence, f.roster)),
+        games)
+
+
+MODELS |= {
+    "fitted_probabilities": _fitted_probabilities,
+    "fitted_expected_kills": lambda f: ratings.expected_kills_added(
+        ratings.expected_engagement_value(_fitted_probabilities(f)),
+        ratings.engagement_counts(f.long),
+        ratings.time_played(f.boxscores, f.match_info, "Hardpoint")),
+    "fitted_war": _fitted_war,
+}
+
+
 def _predicted_by_state(f: Feed) -> DataFrame:
     """Expected and actual wins of the killer's side in the common states."""
     common = fits.common_levels(_situations(f), "state", 100)

@@ -9,7 +9,7 @@ from .. import params
 from ..functions import odds_to_probability, per_minute, recode, term_parts
 from ..operators.feed import KILLER, VICTIM
 from ..operators.ranking import league_mean, percent_rank_by
-from ..operators.reshape import gather, spread
+from ..operators.reshape import gather, spread, unfold
 from ..operators.state import with_roster
 
 PROBABILITIES = [
@@ -187,6 +187,15 @@ def roster_games(roster: DataFrame) -> DataFrame:
     return roster.groupBy("player_id").agg(F.count(F.lit(1)).alias("games"))
 
 
+def side_values(table: DataFrame) -> DataFrame:
+    """A player table of a model job as rows (player_id, name, value), name being the side.
+
+    A player table has 0 where a player has no coefficient; such sides have no row.
+    """
+    sides = table.select(F.col("name").alias("player_id"), "FOR", "AGAINST")
+    return unfold(sides, ["player_id"], ["FOR", "AGAINST"], "name", "value").filter("value <> 0")
+
+
 def pace_added(coefs: DataFrame, alive_time: DataFrame, games: DataFrame) -> DataFrame:
     """Engagements that a player's pace adds: actual minus those at base pace, per game.
 
