@@ -204,8 +204,9 @@ def scan(
 
     added, inner = {}, {}
     for out, column in previous.items():
-        added[out] = F.lag(column).over(window) if block is None else F.when(place == 1, carry("c_last", out)).otherwise(
-            F.lag(column).over(window))
+        own = F.lag(column).over(window)
+        added[out] = own if block is None else F.when(
+            place == 1, carry("c_last", out)).otherwise(own)
     for out, value in total.items():
         within = F.sum(value).over(so_far)
         added[out] = within if block is None else F.coalesce(
