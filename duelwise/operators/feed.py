@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import clip_gap
-from .scan import event_keys, number_events, scan
+from .scan import by_match, event_keys, number_events, scan
 
 VICTIM, KILLER = "id", "attacker_id"
 
@@ -26,12 +26,13 @@ def mode_deaths(
 ) -> DataFrame:
     """Events of one type in matches of one mode, as match, time, victim and killer.
 
-    ``keep`` names further event columns, such as a tie-breaker, to carry along.
+    ``keep`` names further event columns, such as a tie-breaker, to carry along. The events
+    are dealt by match here already, which serves the join and all later steps.
     """
     matches = match_info.filter(F.col("mode") == mode).select("match_id")
     time = F.col("time_ms").cast("long").alias("time_ms")
     return (
-        events.filter(F.col("type") == event_type)
+        by_match(events.filter(F.col("type") == event_type))
         .join(matches, "match_id")
         .select("match_id", time, VICTIM, KILLER, *keep)
     )

@@ -18,27 +18,23 @@ def level_list(df: DataFrame, column: str, limit: int = MAX_COLUMNS) -> list[str
 
 def presence_matrix(df: DataFrame, ids: list[str], term: Column, terms: list[str]) -> DataFrame:
     """One boolean column per term: whether the id has a row with it."""
-    wide = df.select(*ids, term.alias("term")).groupBy(*ids).pivot("term", terms).agg(
-        F.count(F.lit(1))
-    )
-    return wide.select(
-        *ids, *[(F.coalesce(F.col(f"`{t}`"), F.lit(0)) > 0).alias(t) for t in terms]
-    )
+    rows = df.select(*ids, term.alias("term"))
+    return rows.groupBy(*ids).agg(*[(F.count_if(F.col("term") == t) > 0).alias(t) for t in terms])
 
 
 def sum_matrix(
     df: DataFrame, ids: list[str], term: Column, value: Column, terms: list[str]
 ) -> DataFrame:
-    """One column per term with the sum of a value, 0 where the id has no such row."""
-    wide = (
-        df.select(*ids, term.alias("term"), value.alias("value"))
-        .groupBy(*ids)
-        .pivot("term", terms)
-        .agg(F.sum("value"))
-    )
-    return wide.select(
-        *ids, *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).cast("long").alias(t) for t in terms]
-    )
+    """One column per term with the sum of a value, 0 where the id has no such row.
+
+    One aggregate per id: a pivot would first hold a group per id and term in each task.
+    """
+    def total(t: str) -> Column:
+        held = F.sum(F.when(F.col("term") == t, F.col("value")))
+        return F.coalesce(held, F.lit(0)).cast("long").alias(t)
+
+    rows = df.select(*ids, term.alias("term"), value.alias("value"))
+    return rows.groupBy(*ids).agg(*map(total, terms))
 
 
 def spread(

@@ -31,6 +31,18 @@ def block_of(df: DataFrame) -> Column | None:
     return F.expr(f"event_id div {size}") if size else None
 
 
+def by_match(df: DataFrame) -> DataFrame:
+    """``df`` dealt by match over all shuffle partitions of the session; not where blocks follow.
+
+    The engine merges partitions by the bytes that it shuffles, but a later task holds each
+    event once per player of the roster. A number that is asked for stays, so what a task
+    holds shrinks with the number of partitions that the session sets for its data.
+    """
+    if block_of(df) is not None:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "match_id")
+
+
 def event_keys(df: DataFrame, *more: str) -> list[str]:
     """The columns that name an event, and those that hold for the event as a whole.
 
@@ -101,7 +113,7 @@ def number_events(df: DataFrame, order: list[str]) -> DataFrame:
         numbered = number_rows(df, ["match_id"], order, "event_id")
         return numbered.repartition("match_id", block)
     place = F.row_number().over(Window.partitionBy("match_id").orderBy(*order))
-    return df.withColumn("event_id", place.cast("long"))
+    return by_match(df).withColumn("event_id", place.cast("long"))
 
 
 def scan(

@@ -93,3 +93,25 @@ def test_trader_roles(spark):
     _, alive = alive_of(spark, (10000, "a1", "b1"))
     roles = keyed(state.trader_roles(alive), ["player_id"], "type")
     assert roles == {"a1": "DEAD", "a2": "AGAINST", "a3": "AGAINST", "a4": "AGAINST", "b1": "KILLER"}
+
+
+def test_a_numbered_feed_keeps_the_partitions_of_the_session(spark):
+    # Merged by bytes, few tasks would hold every event once per player.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sequence, alive = alive_of(spark, (10000, "a1", "b1"), (14000, "b2", "a2"))
+    assert sequence.rdd.getNumPartitions() == alive.rdd.getNumPartitions() == parts
+
+
+def test_matrices_take_one_group_per_event(spark, capsys):
+    seats = [(1, "a1", "AGAINST", 1), (1, "a2", "FOR", 1), (1, "a2", "FOR", 1),
+             (1, "other", "FOR", 1), (2, "a1", "AGAINST", 0), (2, "a2", "FOR", None)]
+    alive = spark.createDataFrame(
+        [("m", e, 1000 * e, "v", p, t, n) for e, p, t, n in seats],
+        "match_id string, event_id long, time_ms long, id string, player_id string, "
+        "type string, alive int")
+    wide = state.alive_matrix(alive, ["a1", "a2", "nobody"])
+    wide.explain()
+    assert "pivot" not in capsys.readouterr().out
+    names = [f"{p}_{s}" for p in ("a1", "a2", "nobody") for s in ("AGAINST", "FOR")]
+    # Of a player listed twice both rows count.
+    assert keyed(wide, ["event_id"], *names) == {1: (1, 0, 0, 2, 0, 0), 2: (0,) * 6}
