@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from duelwise.functions import odds_ratio_delta
 from duelwise.models import design, fits, jobs
 from duelwise.operators import feed, state, trades, xkill
+from duelwise.operators.settle import settle
 from duelwise.plans import ratings, tables
 from duelwise.sources.testdata import PLAYERS, Feed
 
@@ -292,28 +293,38 @@ MODELS: dict[str, Callable[[Feed], DataFrame]] = {
 # From the feed to ratings by the models' own coefficients, as a user runs them.
 
 
-def _fitted_skill(f: Feed) -> DataFrame:
-    return jobs.talent_model(_xkill(f), f.roster, MIN_GAMES)
+def _numbered(f: Feed) -> Feed:
+    """The feed with its numbered events and roster settled: these queries read them often."""
+    f.sequence, f.roster = settle(f.sequence), settle(f.roster)
+    return f
+
+
+def _fitted_skill(f: Feed, xkill: DataFrame) -> DataFrame:
+    return jobs.talent_model(xkill, f.roster, MIN_GAMES)
 
 
 def _fitted_probabilities(f: Feed) -> DataFrame:
+    f = _numbered(f)
     tried = jobs.trade_attempted_model(_outcome_alive(f), f.roster, min_games=MIN_GAMES)
     won = jobs.trade_won_model(_roles(f, with_state=True), f.roster, min_games=MIN_GAMES)
-    betas = ratings.player_betas(_fitted_skill(f), tried.dropna(subset=["estimate"]),
+    betas = ratings.player_betas(_fitted_skill(f, _xkill(f)), tried.dropna(subset=["estimate"]),
                                  won.dropna(subset=["estimate"]))
     return ratings.players_only(ratings.player_probabilities(betas))
 
 
 def _fitted_war(f: Feed) -> DataFrame:
-    alive, games = f.alive, ratings.roster_games(f.roster)
-    pace = jobs.pace_table(jobs.pace_fit(
-        state.engagement_pace(jobs.side_terms(alive)), f.roster, MIN_GAMES))
-    quality = jobs.shot_quality_model(_xkill(f), _shifts(f), f.roster, MIN_GAMES)
+    f = _numbered(f)
+    alive, games, scored = f.alive, ratings.roster_games(f.roster), _xkill(f)
+    with design.settled(jobs.side_terms(alive)) as sides:
+        pace = jobs.pace_table(jobs.pace_fit(
+            state.engagement_pace(sides), f.roster, MIN_GAMES))
+        quality = jobs.shot_quality_model(scored, state.state_shifts(sides), f.roster, MIN_GAMES)
     return ratings.player_war(
         ratings.pace_added(ratings.side_values(pace), state.player_time_alive(alive), games),
         ratings.quality_added(ratings.side_values(quality), ratings.side_counts(
             state.event_roster(f.sequence, f.roster))),
-        ratings.skill_added(_fitted_skill(f), ratings.season_engagements(f.sequence, f.roster)),
+        ratings.skill_added(
+            _fitted_skill(f, scored), ratings.season_engagements(f.sequence, f.roster)),
         games)
 
 

@@ -2,7 +2,7 @@
 
 Every row is an observed event. One evaluation makes two passes over the rows. The first
 sums ``exp(eta)`` and the row count per distinct duration; the second sums the gradient,
-given the cumulative hazard. Both are partial sums inside a task followed by a grouped sum,
+given the cumulative hazard. Both read chunks of counted rows, see ``packed``. Both are partial sums inside a task followed by a grouped sum,
 so the driver only sees one row per distinct duration or per term. A column of the
 coefficient matrix is one pair of penalty and left-out fold: a pass serves all of them.
 """
@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import sys
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -29,6 +29,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_CELLS = 50_000_000  # of the driver's table by duration
 MAX_HELD = 100_000      # durations that a task holds before it merges them
+CHUNK, SLICE = 1 << 17, 1 << 13  # cells of a chunk, and those handled at once
+
+PACKED = ("fold array<int>, time array<bigint>, n array<bigint>, whose array<int>, "
+          "sizes array<int>, terms array<int>")
+PACKED_NAMES = ["fold", "time", "n", "whose", "sizes", "terms"]
 
 
 @dataclass
@@ -42,11 +47,79 @@ class CoxFit:
     table: DataFrame
 
 
-def _held(indices: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """The terms that hold, row by row, and how many of them each row has."""
-    sizes = indices.map(len).to_numpy()
-    flat = np.concatenate(indices.to_numpy()).astype(np.int64) if sizes.sum() else np.zeros(0, int)
-    return flat, sizes
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (duration, fold, idx) as chunks: each row has the cells of many rows.
+
+    Equal rows are counted once, whatever their number. A chunk lists its different sets of
+    terms (``terms``, cut by ``sizes``) and its cells in order of fold and duration: how many
+    rows (``n``) have that duration and the set ``whose``. A pass then works out a set once,
+    and a cell costs a sum.
+    """
+    counted = rows.groupBy(
+        F.col("fold").cast("int").alias("fold"), F.col("duration").cast("long").alias("time"),
+        F.array_sort("idx").alias("idx"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("fold", "time", "n", F.xxhash64("idx").alias("key"), "idx").mapInArrow(
+        _pack, PACKED)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= CHUNK:
+            yield _chunk(held)
+            held = []
+    if sum(map(len, held)):
+        yield _chunk(held)
+
+
+def _chunk(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row of ``PACKED`` from counted rows."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    fold, time, n, key = (table.column(c).to_numpy() for c in range(4))
+    idx = table.column(4).combine_chunks()
+    _, first, whose = np.unique(key, return_index=True, return_inverse=True)
+    sets = idx.take(pa.array(first))
+    if not sets.take(pa.array(whose)).equals(idx):
+        # Two sets with one hash: every cell has its own.
+        sets, whose = idx, np.arange(len(idx))
+    order = np.lexsort((time, fold))
+    cells = [fold[order], time[order], n[order], whose[order].astype(np.int32),
+             pc.list_value_length(sets).to_numpy(zero_copy_only=False),
+             sets.flatten().to_numpy(zero_copy_only=False)]
+    kinds = [np.int32, np.int64, np.int64, np.int32, np.int32, np.int32]
+    return pa.RecordBatch.from_arrays(
+        [pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), pa.array(x.astype(k)))
+         for x, k in zip(cells, kinds)], names=PACKED_NAMES)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        for row in range(len(batch)):
+            yield [batch.column(c)[row].values.to_numpy() for c in PACKED_NAMES]
+
+
+def _by_fold(fold: np.ndarray, left_out: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """Each fold of ordered cells, where its cells are, and the columns that see it."""
+    starts = np.flatnonzero(np.append(True, fold[1:] != fold[:-1]))
+    for low, high in zip(starts, [*starts[1:], len(fold)]):
+        yield fold[low], slice(low, high), np.flatnonzero(left_out != fold[low])
+
+
+def _run_sums(key: np.ndarray, n: np.ndarray, rows: np.ndarray, table: np.ndarray):
+    """The different keys of an ordered array, and for each the sum of n * table[rows]."""
+    new = np.append(True, key[1:] != key[:-1])
+    run = np.cumsum(new) - 1
+    out = np.zeros((run[-1] + 1, table.shape[1]))
+    for low in range(0, len(key), SLICE):
+        part = slice(low, low + SLICE)
+        own, values = run[part], table[rows[part]]
+        if (n[part] != 1).any():
+            values *= n[part, None]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[starts]] += np.add.reduceat(values, starts, axis=0)
+    return key[new], out
 
 
 def _row_sums(flat: np.ndarray, sizes: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -74,27 +147,38 @@ def _by_time(times: np.ndarray, cells: np.ndarray):
     return distinct, np.add.reduceat(cells[order], starts, axis=0)
 
 
+def _frame(keys: np.ndarray, values: np.ndarray, columns: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys.astype(np.int64)), *(pa.array(v) for v in values.T.copy())],
+        names=["key", *columns])
+
+
 def _hazard_sums(shared, left_out: np.ndarray, folds: np.ndarray, columns: list[str]):
     """Per duration: sum of exp(eta) per column and row count per fold set. Key -1: sum of eta."""
     def run(batches):
         beta = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         eta_total = np.zeros(len(left_out))
-        for batch in batches:
-            fold = batch["fold"].to_numpy()[:, None]
-            eta = _row_sums(*_held(batch["idx"]), beta)
-            used = fold != left_out
-            eta_total += (used * eta).sum(axis=0)
-            cells = np.hstack([used * np.exp(eta), fold != folds])
-            held.append(_by_time(batch["duration"].to_numpy(), cells))
+        for fold, time, n, whose, sizes, terms in _chunks(batches):
+            eta = _row_sums(terms, sizes, beta)
+            risk = np.exp(eta)
+            times = np.unique(time)
+            cells = np.zeros((len(times), len(columns)))
+            for k, own, used in _by_fold(fold, left_out):
+                rows = np.bincount(whose[own], n[own], len(sizes))
+                eta_total[used] += rows @ eta[:, used]
+                seen, sums = _run_sums(time[own], n[own], whose[own], risk[:, used])
+                at = np.searchsorted(times, seen)
+                cells[at[:, None], used] += sums
+                count = np.bincount(np.searchsorted(times, time[own]), n[own], len(times))
+                cells[:, len(left_out):] += count[:, None] * (folds != k)
+            held.append((times, cells))
             if sum(len(t) for t, _ in held) > MAX_HELD:
                 held = [_by_time(*map(np.concatenate, zip(*held)))]
         if held:
             times, sums = _by_time(*map(np.concatenate, zip(*held)))
             tail = np.concatenate([eta_total, np.zeros(len(folds))])
-            frame = pd.DataFrame(np.vstack([sums, tail]), columns=columns)
-            frame.insert(0, "key", np.append(times, -1))
-            yield frame
+            yield _frame(np.append(times, -1), np.vstack([sums, tail]), columns)
     return run
 
 
@@ -102,36 +186,43 @@ def _gradient_sums(shared, left_out, columns: list[str]):
     def run(batches):
         beta, times, hazard = shared.value
         total = np.zeros_like(beta)
-        for batch in batches:
-            flat, sizes = _held(batch["idx"])
-            used = batch["fold"].to_numpy()[:, None] != left_out
-            at = np.searchsorted(times, batch["duration"].to_numpy())
-            rest = used * (1.0 - np.exp(_row_sums(flat, sizes, beta)) * hazard[at])
-            total += _term_sums(flat, np.repeat(rest, sizes, axis=0), len(beta))
-        frame = pd.DataFrame(total, columns=columns)
-        frame.insert(0, "key", np.arange(len(beta)))
-        yield frame
+        for fold, time, n, whose, sizes, terms in _chunks(batches):
+            risk = np.exp(_row_sums(terms, sizes, beta))
+            rest = np.zeros_like(risk)
+            at = np.searchsorted(times, time)
+            for _, own, used in _by_fold(fold, left_out):
+                order = np.argsort(whose[own], kind="stable")
+                sets, sums = _run_sums(
+                    whose[own][order], n[own][order], at[own][order], hazard[:, used])
+                rows = np.bincount(whose[own], n[own], len(sizes))[sets, None]
+                rest[sets[:, None], used] += rows - risk[sets[:, None], used] * sums
+            total += _term_sums(terms, np.repeat(rest, sizes, axis=0), len(beta))
+        yield _frame(np.arange(len(beta)), total, columns)
     return run
 
 
-def _grouped(rows: DataFrame, task, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _grouped(chunks: DataFrame, task, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     schema = "key bigint, " + ", ".join(f"{c} double" for c in columns)
     sums = (
-        rows.mapInPandas(task, schema)
+        chunks.mapInArrow(task, schema)
         .groupBy("key")
         .agg(*[F.sum(c).alias(c) for c in columns])
-        .toPandas()
-        .sort_values("key")
+        .toArrow()
     )
-    return sums["key"].to_numpy(), sums[columns].to_numpy()
+    keys = sums.column("key").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], np.stack([sums.column(c).to_numpy() for c in columns], axis=1)[order]
 
 
 def evaluate(rows: DataFrame, beta: np.ndarray, left_out: np.ndarray, slope: bool = True):
     """Log partial likelihood, its gradient and the row count, per column of ``beta``.
 
-    Without ``slope`` the second pass is saved and the gradient is zero. Coefficients and
-    hazards reach the tasks as Spark broadcasts, one copy per executor.
+    ``rows`` are rows (duration, fold, idx), or their chunks, settled. Without ``slope`` the
+    second pass is saved and the gradient is zero. Coefficients and hazards reach the tasks as
+    Spark broadcasts, one copy per executor.
     """
+    if "whose" not in rows.columns:
+        rows = packed(rows)
     share = rows.sparkSession.sparkContext.broadcast
     width = beta.shape[1]
     folds, place = np.unique(left_out, return_inverse=True)
@@ -203,14 +294,15 @@ def fit_cox(
 
     The loss is ``-logL / n + penalty / 2 * sum((sd * beta)^2)``. The penalty is chosen by
     held-out deviance over the ``fold`` column: the best (``rule="min"``) or the largest
-    within one standard error of it (``"1se"``). ``df`` is read twice per step: settle it first.
+    within one standard error of it (``"1se"``). ``df`` is read a few times: settle it first.
+    The steps read its chunks.
     """
     rows = df.select(
         F.col(duration).cast("long").alias("duration"), "fold",
         F.filter(_term_index(terms)("terms"), lambda i: i >= 0).alias("idx"),
     )
-    with settled(rows) as rows:
-        return _fit(df, rows, terms, folds, penalties, levels, rule, iterations, tol)
+    with settled(packed(rows)) as chunks:
+        return _fit(df, chunks, terms, folds, penalties, levels, rule, iterations, tol)
 
 
 def _term_index(terms: list[str]):
@@ -231,7 +323,7 @@ def _fit(df, rows, terms, folds, penalties, levels, rule, iterations, tol) -> Co
     spread, matrix = deviations(vectors), np.nan_to_num(correlations(vectors))
     np.fill_diagonal(matrix, 1.0)
     covariance = matrix * np.outer(spread, spread)
-    n_times = rows.agg(F.countDistinct("duration")).first()[0]
+    n_times = rows.select(F.explode("time").alias("t")).agg(F.countDistinct("t")).first()[0]
     size = len(terms)
 
     if penalties is None:

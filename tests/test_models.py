@@ -231,3 +231,27 @@ def test_grid_is_every_combination(spark):
     df = spark.createDataFrame([(1, "u"), (2, "u"), (2, "v")], "a int, b string")
     grid = fits.prediction_grid(df, ["a", "b"], {"t": (0, 20, 10)})
     assert grid.distinct().count() == grid.count() == 2 * 2 * 3
+
+
+def test_cox_counts_equal_rows_once_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [[], [0], [1, 2], [2, 1], [0, 1, 2]]
+    rows = [(int(rng.integers(1, 6)), int(rng.integers(0, 3)), sets[rng.integers(0, 5)])
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "duration long, fold int, idx array<int>").repartition(3)
+    different = len({(t, f, tuple(sorted(s))) for t, f, s in rows})
+    counted = [n for r in cox.packed(df).collect() for n in r.n]
+    assert len(counted) == different < 100 and sum(counted) == 400
+    X, times, fold = np.zeros((400, 3)), np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for i, (_, _, s) in enumerate(rows):
+        X[i, s] = 1.0
+    beta, left_out = rng.normal(size=(3, 4)), np.array([-1, 0, 1, 2])
+    for chunk, part in ((cox.CHUNK, cox.SLICE), (8, 4)):
+        monkeypatch.setattr(cox, "CHUNK", chunk)
+        monkeypatch.setattr(cox, "SLICE", part)
+        value, gradient, n = cox.evaluate(df, beta, left_out)
+        for k, gone in enumerate(left_out):
+            seen = fold != gone
+            loss, slope = breslow(X[seen], times[seen], beta[:, k], 0.0, np.ones(3))
+            assert n[k] == seen.sum() and np.isclose(-value[k] / n[k], loss)
+            assert np.allclose(-gradient[:, k] / n[k], slope)
