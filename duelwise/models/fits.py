@@ -102,7 +102,8 @@ def logistic_table(
     the intercept, if there is one, and on earlier terms have NULL values.
     """
     numeric = numeric or []
-    found = newton.newton(newton.design(df, label, terms, numeric), [0.0], [-2], intercept)
+    with newton.read_often(newton.design(df, label, terms, numeric)) as data:
+        found = newton.newton(data, [0.0], [-2], intercept)
     _warn_unless(found.converged, "logistic fit")
     errors = newton.standard_errors(found.matrices[0], found.kept[0])
     names = [INTERCEPT, *numeric, *terms]
@@ -193,8 +194,8 @@ def cross_validate(
             for p, e in zip(penalties, errors)
         ], schema)
     grid = [(p, k) for p in penalties for k in range(folds)]
-    data = newton.design(rows, F.col("label"), terms, numeric)
-    found = newton.newton(data, *map(list, zip(*grid)))
+    with newton.read_often(newton.design(rows, F.col("label"), terms, numeric)) as data:
+        found = newton.newton(data, *map(list, zip(*grid)))
     _warn_unless(found.converged, "cross-validation")
     losses = found.held_out.reshape(len(penalties), folds)
     return terms_frame(df.sparkSession, [

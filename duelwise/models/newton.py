@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .design import settled
+
 #: Steps of a fit at most, and the change of a log-odds by which it has converged.
 STEPS, CONVERGED = 50, 1e-8
 #: Columns factorised at once; cells of matrices that a pass may hold.
@@ -35,7 +38,7 @@ GRADIENT, LOSS, HELD_OUT, HELD_ROWS = -1, -2, -3, -4
 
 @dataclass
 class Design:
-    """Rows (label, fold, terms, numeric columns) and the columns of their matrix.
+    """Rows (label, fold, terms, how many, numeric columns) and the columns of their matrix.
 
     Column 0 is the intercept, then the numeric columns, then a presence for each term.
     """
@@ -54,26 +57,42 @@ def design(
 ) -> Design:
     """A design of a frame, which is read once per step: settle it first.
 
-    Rows without label, or without one of the numbers, are left out.
+    Rows without label, or without one of the numbers, are left out. Without numbers, rows
+    that are alike become one with their count.
     """
     numeric = numeric or []
     fold = F.col("fold").cast("int") if "fold" in df.columns else F.lit(-1)
     held = F.col("terms") if terms else F.array().cast("array<string>")
-    return Design(df.select(
-        label.cast("double").alias("label"), fold.alias("fold"), held.alias("terms"),
+    many = F.lit(1.0).alias("n")
+    rows = df.select(
+        label.cast("double").alias("label"), fold.alias("fold"), held.alias("terms"), many,
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(numeric)],
-    ).dropna(subset=["label", *(f"x{i}" for i in range(len(numeric)))]), terms, numeric)
+    ).dropna(subset=["label", *(f"x{i}" for i in range(len(numeric)))])
+    if not numeric:
+        rows = rows.groupBy("label", "fold", F.array_sort("terms").alias("terms")).agg(
+            F.sum("n").alias("n"))
+    return Design(rows, terms, numeric)
+
+
+@contextmanager
+def read_often(data: Design) -> Iterator[Design]:
+    """The design with its counted rows settled; rows with numbers stay those of the frame."""
+    if data.numeric:
+        yield data
+        return
+    with settled(data.rows) as rows:
+        yield replace(data, rows=rows)
 
 
 def _cells(part: pa.RecordBatch, names: pa.Array) -> tuple[np.ndarray, ...]:
     """(row, column, value) of the matrix of some rows, ordered by row."""
-    n, numeric = len(part), part.num_columns - 3
+    n, numeric = len(part), part.num_columns - 4
     every = np.arange(n)
     row, col, val = [every], [np.zeros(n, np.int64)], [np.ones(n)]
     for i in range(numeric):
         row.append(every)
         col.append(np.full(n, 1 + i))
-        val.append(part.column(3 + i).to_numpy(zero_copy_only=False))
+        val.append(part.column(4 + i).to_numpy(zero_copy_only=False))
     at = pc.index_in(pc.list_flatten(part.column(2)), names)
     known = at.is_valid()
     row.append(pc.list_parent_indices(part.column(2)).filter(known).to_numpy())
@@ -124,16 +143,17 @@ def sums(
         for batch in batches:
             for first in range(0, len(batch), ROWS):
                 part = batch.slice(first, ROWS)
-                y, fold = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                y, fold, n = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
                 row, col, val = _cells(part, names)
                 counts = np.bincount(row, minlength=len(part))
                 starts = np.cumsum(counts) - counts
                 eta = np.add.reduceat(val[:, None] * betas.T[col], starts)
                 mean = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-                seen = fold[:, None] != left_out
+                seen = n[:, None] * (fold[:, None] != left_out)
+                unseen = n[:, None] - seen
                 loss = np.logaddexp(0, eta) - y[:, None] * eta
-                scalars += np.stack([(loss * seen).sum(0), (loss * ~seen).sum(0),
-                                     (~seen).sum(0)], 1)
+                scalars += np.stack([(loss * seen).sum(0), (loss * unseen).sum(0),
+                                     unseen.sum(0)], 1)
                 push = val[:, None] * ((y[:, None] - mean) * seen)[row]
                 for f in range(fits):
                     gradient[f] += np.bincount(col, push[:, f], size)

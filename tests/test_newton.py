@@ -126,3 +126,18 @@ def test_fits_share_passes_and_split_when_matrices_are_large(spark, monkeypatch)
 def test_no_rows_give_no_estimates(spark):
     table = fits.logistic_table(frame(spark, [], [], []), F.col("y"), ["p1_K"], ["x"])
     assert {r.estimate for r in table.collect()} == {None}
+
+
+def test_rows_alike_are_read_once(spark):
+    rng, players, x = sample(600)
+    y = rng.random(len(x)) < 0.5
+    df = frame(spark, players, x, y)
+    data = newton.design(df, F.col("y"), TERMS)
+    alike = {(bool(r.y), tuple(sorted(r.terms))) for r in df.collect()}
+    counts = [r.n for r in data.rows.collect()]
+    assert len(counts) == len(alike) < 600 and sum(counts) == 600
+    thrice = newton.design(df.union(df).union(df), F.col("y"), TERMS)
+    assert thrice.rows.count() == len(alike)
+    once, more = (newton.newton(d, [0.0], [-2]) for d in (data, thrice))
+    assert np.allclose(once.betas, more.betas, atol=1e-8)
+    assert np.allclose(3 * once.matrices, more.matrices)
