@@ -1,7 +1,8 @@
 """Removal of repeated lines by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity over all texts; a line of n
-distinct words is listed under its n - ceil(0.8 n) + 1 rarest ones, and any two lines of
+A line is the set of its words. Of lines of equal sets the earliest one is compared with
+others; the rest are copies, which go. Words are ordered by rarity over all texts; a line of
+n distinct words is listed under its n - ceil(0.8 n) + 1 rarest ones, and any two lines of
 similarity 0.8 meet in such a list. A list compares its lines in order of their place, by
 length, by the places of the shared word, and by a parity bitmap that can only
 underestimate a difference. Whole sets then confirm the pairs. A line goes if any earlier
@@ -10,6 +11,9 @@ line is similar to it.
 In a first turn each line is compared with its earliest possible partner alone; a line that
 this one does not confirm, and that has more, is compared with all of them in a second turn.
 So a group of n similar lines makes about n pairs.
+
+Lines and list entries are dealt into buckets, whose number grows with the input. What a task
+sends to a bucket is one row, whose columns are the bytes of arrays.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelwise.llm.columns import let
-from duelwise.llm.scratch import TEXTS, settle, slot_counts
-from duelwise.llm.words import SPACED, mix, split_words, text_slices
+from duelwise.llm.scratch import TEXTS, settle, slot_counts, small_batches
+from duelwise.llm.words import SPACED, hash_words, lower_case, mix, runs, text_slices
 
 #: Slots of the array of word counts, which orders words by rarity.
 SLOTS = 1 << 20
@@ -31,24 +35,97 @@ SLOTS = 1 << 20
 WANTED = 1 << 22
 #: Lists that may be longer are dealt into pairs of chunks of about this length.
 CHUNK = 1 << 16
+#: Lists up to this length are compared together with others, longer ones each by itself.
+SHORT = 512
+#: Pairs compared at once.
+TILE = 1 << 20
+#: Words of the texts, and list entries, of an average bucket.
+BUCKET_WORDS, BUCKET_ENTRIES = 1 << 21, 1 << 17
+#: Numbers that a task holds before it deals them into buckets.
+HELD = 1 << 20
+#: Rows of arrays that a task hands to Python at once.
+ROWS = 16
 _LAST = (1 << 63) - 1
-_PLACE = ["id", "part", "line"]
+#: A row's id; the hash of its text in the upper half, the line's number in the lower one.
+_PLACE = ["id", "spot"]
 #: 128 bits of a line's set.
 _NODE = ["node0", "node1"]
+_LINE = dict.fromkeys([*_PLACE, *_NODE, "sig0", "sig1"], "i8") | {"n": "i4"}
+#: The form is the word's place in the line, and whether the line is open.
+_ENTRY = dict.fromkeys(["list", *_PLACE, "sig0", "sig1"], "i8") | {"n": "i4", "form": "i4"}
+
+
+def _packed(columns: list[np.ndarray], bounds: np.ndarray) -> list[pa.Array]:
+    """Columns of bytes; row i of each holds its values from bounds[i] to bounds[i + 1]."""
+    return [pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [
+        None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)),
+        pa.py_buffer(np.ascontiguousarray(x))]) for x in columns]
+
+
+def _values(column: pa.Array, kind: str) -> np.ndarray:
+    """The values of all rows of such a column."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    if data is None or not len(column):
+        return np.empty(0, kind)
+    offsets = np.frombuffer(offsets, np.int32)[column.offset: column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view(kind)
+
+
+def _bytes_of(*names: str) -> str:
+    return "bucket int, " + ", ".join(f"{c} binary" for c in names)
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Sorted rows in runs that end where a bucket ends."""
+    held = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        bucket = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(bucket) != 0)
+        cut = int(cuts[-1]) + 1 if len(cuts) else 0
+        if held and held[-1].column(0)[-1].as_py() != bucket[0]:
+            yield held
+            held = []
+        if cut:
+            yield [*held, batch.slice(0, cut)]
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield held
+
+
+def _joined(batches: list[pa.RecordBatch], kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([_values(b.column(c), kind) for b in batches])
+            for c, kind in kinds.items()}
+
+
+def _spans(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of spans one after the other, and the bounds of the spans among them."""
+    bounds = np.append(0, np.cumsum(length))
+    return np.repeat(first - bounds[:-1], length) + np.arange(bounds[-1]), bounds
 
 
 class _Lines:
     """Distinct words of the lines of a run of texts, rarest first."""
 
-    def __init__(self, data, offsets, counts=None):
-        words = split_words(data, offsets, SPACED)
-        breaks = np.flatnonzero(words.data == 10)
-        text = words.text
-        line = np.searchsorted(breaks, words.start) + text
+    def __init__(self, data, offsets, counts=None, wanted=None):
+        data = lower_case(data)
+        start, end = runs(data, offsets, SPACED)
+        breaks = np.flatnonzero(data == 10)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+        line = np.searchsorted(breaks, start) + text
         begins = np.searchsorted(breaks, offsets[:-1]) + np.arange(len(offsets) - 1)
-        rarity = counts[words.hash & np.uint64(SLOTS - 1)] if counts is not None else None
-        order = _order(words.hash, rarity, line)
-        token, line, text = words.hash[order], line[order], text[order]
+        if wanted is not None:
+            at = np.flatnonzero(np.diff(line, prepend=-1))
+            few = np.repeat(wanted(text[at], line[at] - begins[text[at]]),
+                            np.diff(np.append(at, len(line))))
+            start, end, text, line = start[few], end[few], text[few], line[few]
+        hashes = hash_words(data, start, end)
+        rarity = counts[hashes & np.uint64(SLOTS - 1)] if counts is not None else None
+        order = _order(hashes, rarity, line)
+        token, line, text = hashes[order], line[order], text[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         starts = np.ones(len(token), bool)
@@ -63,9 +140,7 @@ class _Lines:
 
     def tokens(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat tokens of some lines, with their bounds."""
-        n = self.n[rows]
-        bounds = np.append(0, np.cumsum(n))
-        flat = np.repeat(self.first[rows] - bounds[:-1], n) + np.arange(bounds[-1])
+        flat, bounds = _spans(self.first[rows], self.n[rows])
         return self.token[flat], bounds
 
 
@@ -100,11 +175,56 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(*_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
 
 
-def _line_rows(source: DataFrame, counts, min_words: int, percent: int) -> DataFrame:
-    """(id, part, line, node0, node1, n, sig0, sig1, prefix) of lines of min_words or more."""
+def _earliest(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the earliest of their sets, and which are copies at other places."""
+    order = np.lexsort([rows[c] for c in (*_PLACE[::-1], *_NODE[::-1])])
+    id_, spot, *node = (rows[c][order] for c in (*_PLACE, *_NODE))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in node], axis=0)
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[new], order[(id_ != id_[begin]) | (spot != spot[begin])]
+
+
+def _one_of_each_set(
+    rows: dict[str, np.ndarray], percent: int, buckets: int | None = None
+) -> pa.RecordBatch:
+    """A row of arrays for each bucket, or one for all. Copies are spread evenly."""
+    few, copies = _earliest(rows)
+    bounds = np.array([0, len(few)])
+    number = np.zeros(1, np.int32)
+    if buckets:
+        bucket = (rows["node0"][few].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        few, number = few[order], np.arange(buckets, dtype=np.int32)
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    length = _prefix_length(rows["n"].astype(np.int64), percent)
+    flat, ends = _spans((np.cumsum(length) - length)[few], length[few])
+    shares = np.linspace(0, len(copies), len(number) + 1).astype(np.int64)
+    if "copy_id" in rows:
+        copied = [np.append(rows[f"copy_{c}"], rows[c][copies]) for c in _PLACE]
+        shares = np.array([0, len(copied[0])])
+    else:
+        copied = [rows[c][copies] for c in _PLACE]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(number), *_packed([rows[c][few] for c in _LINE], bounds),
+         *_packed([rows["words"][flat]], ends[bounds]), *_packed(copied, shares)],
+        names=["bucket", *_LINE, "words", *(f"copy_{c}" for c in _PLACE)])
+
+
+def _line_rows(
+    source: DataFrame, counts, min_words: int, percent: int, buckets: int
+) -> DataFrame:
+    """Rows of arrays: the different lines of min_words or more, their listed words, copies.
+
+    A task sends the earliest line of each of its sets to the set's bucket, so a set that
+    occurs very often is no large group there.
+    """
+    kinds = _LINE | {"words": "i4"} | {f"copy_{c}": "i8" for c in _PLACE}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
+            id_, part = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
             for first, data, offsets in text_slices(batch.column(2)):
                 found = _Lines(data, offsets, counts.value)
                 rows = np.flatnonzero(found.words >= min_words)
@@ -117,120 +237,158 @@ def _line_rows(source: DataFrame, counts, min_words: int, percent: int) -> DataF
                 bit = np.uint64(1) << (slot & np.uint64(63))
                 sig = [np.bitwise_xor.reduceat(np.where((slot >= 64) == high, bit, np.uint64(0)), at)
                        for high in (False, True)]
-                length = _prefix_length(n, percent)
-                ends = np.append(0, np.cumsum(length)).astype(np.int32)
-                flat = np.repeat(at - ends[:-1], length) + np.arange(ends[-1])
-                prefix = pa.ListArray.from_arrays(
-                    ends, (token[flat] >> np.uint64(20)).astype(np.uint32).view(np.int32))
-                whose = pa.array(found.text[rows] + first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(whose), batch.column(1).take(whose),
-                     pa.array(found.line[rows].astype(np.int32)),
-                     *(pa.array(x.view(np.int64)) for x in node),
-                     pa.array(n.astype(np.int32)),
-                     *(pa.array(x.view(np.int64)) for x in sig), prefix],
-                    names=[*_PLACE, *_NODE, "n", "sig0", "sig1", "prefix"])
+                flat, _ = _spans(at, _prefix_length(n, percent))
+                whose = found.text[rows] + first
+                held.append({
+                    "id": id_[whose], "spot": (part[whose] << 32) | found.line[rows],
+                    "node0": node[0].view(np.int64), "node1": node[1].view(np.int64),
+                    "sig0": sig[0].view(np.int64), "sig1": sig[1].view(np.int64),
+                    "n": n.astype(np.int32),
+                    "words": (token[flat] >> np.uint64(20)).astype(np.uint32).view(np.int32)})
+                size += 10 * len(rows) + len(flat)
+                if size >= HELD:
+                    yield _one_of_each_set(_stacked(held), percent, buckets)
+                    held, size = [], 0
+        if held:
+            yield _one_of_each_set(_stacked(held), percent, buckets)
 
-    return source.mapInArrow(
-        run, "id long, part int, line int, node0 long, node1 long, n int, sig0 long, "
-             "sig1 long, prefix array<int>")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _whole_buckets(batches):
+            yield _one_of_each_set(_joined(some, kinds), percent)
 
+    shape = _bytes_of(*kinds)
+    return source.mapInArrow(run, shape).repartition("bucket").sortWithinPartitions(
+        "bucket").mapInArrow(merge, shape)
 
-def _word_counts(source: DataFrame) -> np.ndarray:
-    """In how many lines words occur, by slot."""
+
+def _stacked(held: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+
+
+def _copies(lines: DataFrame) -> DataFrame:
+    """(id, spot) of the lines whose sets occur earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            slots = [np.empty(0, np.int64)]
-            for _, data, offsets in text_slices(batch.column(0)):
-                words = split_words(data, offsets, SPACED)
-                slots.append((words.hash & np.uint64(SLOTS - 1)).astype(np.int64))
-            total += np.bincount(np.concatenate(slots), minlength=SLOTS)
-        slot = np.flatnonzero(total)
-        for start in range(0, len(slot), 1 << 16):
-            some = slot[start:start + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "c"])
+                [pa.array(_values(batch.column(i), "i8")) for i in (0, 1)], names=_PLACE)
+
+    return lines.select(*(f"copy_{c}" for c in _PLACE)).mapInArrow(run, "id long, spot long")
+
 
-    counted = source.select("text").mapInArrow(run, "slot int, c long")
-    return slot_counts(counted, "slot", SLOTS, "c", TEXTS)
+#: Slots whose counts are one row.
+_BLOCK = 1 << 12
 
 
-#: Bits by which the columns of a place are shifted for its slot.
-_SHIFTS = (0, 3, 9)
+def _word_counts(source: DataFrame) -> np.ndarray:
+    """How often words occur, by slot."""
 
+    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()),
+             pa.array([x.astype(np.int64).tobytes() for x in total.values()], pa.binary())],
+            names=["block", "counts"])
 
-def _slots(*columns: str):
-    """The slot of a place, or of a text; `_slot_of` gives the same in a task."""
-    slot = F.lit(0).cast("long")
-    for column, shift in zip(columns, _SHIFTS):
-        slot = slot.bitwiseXOR(F.shiftleft(F.col(column).cast("long"), shift))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column(0)):
+                data = lower_case(data)
+                hashes = hash_words(data, *runs(data, offsets, SPACED))
+                np.add.at(total, (hashes & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        blocks = total.reshape(-1, _BLOCK)
+        for first in range(0, len(blocks), 64):
+            yield rows({i: blocks[i] for i in range(first, first + 64) if blocks[i].any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values = _values(batch.column(1), "i8").reshape(-1, _BLOCK)
+            for block, x in zip(batch.column(0).to_pylist(), values):
+                total[block] = total.get(block, 0) + x
+        if total:
+            yield rows(total)
+
+    shape = "block int, counts binary"
+    with small_batches(source.sparkSession, TEXTS):
+        found = source.select("text").mapInArrow(count, shape).repartition("block").mapInArrow(
+            add, shape).toArrow()
+    out = np.zeros((SLOTS // _BLOCK, _BLOCK), np.int64)
+    for block, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+        out[block] = np.frombuffer(x, np.int64)
+    return out.reshape(-1)
+
+
+def _slots():
+    """The slot of a place; `_slot_of` gives the same in a task."""
+    slot = F.col("id").bitwiseXOR(F.shiftright("spot", 29)).bitwiseXOR(F.shiftleft("spot", 9))
     return slot.bitwiseAND(F.lit(WANTED - 1)).cast("int")
 
 
-def _slot_of(*columns: np.ndarray) -> np.ndarray:
-    slot = np.zeros(len(columns[0]), np.int64)
-    for column, shift in zip(columns, _SHIFTS):
-        slot ^= column.astype(np.int64) << shift
-    return slot & (WANTED - 1)
+def _slot_of(id_: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    return (id_ ^ (spot >> 29) ^ (spot << 9)) & (WANTED - 1)
 
 
-def _bitmap(df: DataFrame, *columns: str):
-    """A bitmap of fixed size with the slots of some columns."""
-    seen = slot_counts(df.select(_slots(*columns).alias("slot")), "slot", WANTED) > 0
-    return df.sparkSession.sparkContext.broadcast(np.packbits(seen))
+def _bitmap(places: DataFrame):
+    """A bitmap of fixed size with the slots of some places."""
+    seen = slot_counts(places.select(_slots().alias("slot")), "slot", WANTED) > 0
+    return places.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
 
 def _marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _postings(lines: DataFrame, lengths, words=None, open_=None) -> DataFrame:
-    """A row per listed word of a line. With bitmaps: of marked words; open lines marked.
+def _postings(
+    lines: DataFrame, lengths, buckets: int, percent: int, words=None, open_=None
+) -> DataFrame:
+    """Rows of arrays: an entry per listed word of a line, in the bucket of its list.
 
-    Numbers are packed in pairs, which halves what is shuffled: list is word and block, spot
-    is part and line, form is the number of words, the word's place among them, and the mark.
+    With bitmaps: of marked words; open lines marked. A list is a word and a block.
     """
-    rows = lines.select(*_PLACE, *_NODE, "n", "sig0", "sig1", "prefix")
+    kinds = _LINE | {"words": "i4"}
+
+    def entries(rows: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        word, length = rows["words"], _prefix_length(rows["n"].astype(np.int64), percent)
+        which = np.repeat(np.arange(len(length)), length)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
+        marked = np.ones(len(length), bool)
+        if words is not None:
+            few = _marked(words.value, _word_slot(word, WANTED))
+            which, place, word = which[few], place[few], word[few]
+            marked = _marked(open_.value, _slot_of(rows["id"], rows["spot"]))
+        many = lengths.value[_word_slot(word, len(lengths.value))]
+        chunks = np.maximum(1, -(-many // CHUNK))
+        for block, some in _dealt(which, chunks, rows["node0"].view(np.uint64)):
+            at = which[some]
+            yield {"list": (word[some].astype(np.int64) << 32) | block,
+                   **{c: rows[c][at] for c in (*_PLACE, "sig0", "sig1", "n")},
+                   "form": ((place[some] << 1) | marked[at]).astype(np.int32)}
+
+    def deal(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        bucket = (mix(rows["list"].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(bounds))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)),
+             *_packed([rows[c][order] for c in _ENTRY], np.append(bounds[some], bounds[-1]))],
+            names=["bucket", *_ENTRY])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            # Equal sets of a batch are listed once, at their earliest place.
-            keys = [batch.column(i).to_numpy() for i in (2, 1, 0, 4, 3)]
-            node = keys[-1].view(np.uint64)
-            order = np.lexsort(keys)
-            once = np.ones(len(order), bool)
-            once[1:] = (np.diff(keys[-1][order]) != 0) | (np.diff(keys[-2][order]) != 0)
-            chosen = np.sort(order[once])
-            prefix = batch.column(8)
-            bounds = prefix.offsets.to_numpy()
-            length = (bounds[1:] - bounds[:-1])[chosen]
-            which = np.repeat(chosen, length)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
-            word = prefix.values.to_numpy()[bounds[:-1][which] + place]
-            marked = np.ones(len(batch), bool)
-            if words is not None:
-                few = _marked(words.value, _word_slot(word, WANTED))
-                which, place, word = which[few], place[few], word[few]
-                marked = _marked(open_.value, _slot_of(
-                    *(batch.column(i).to_numpy() for i in (0, 1, 2))))
-            many = lengths.value[_word_slot(word, len(lengths.value))]
-            chunks = np.maximum(1, -(-many // CHUNK))
-            for block, some in _dealt(which, chunks, node):
-                at = which[some]
-                list_ = (word[some].astype(np.int64) << 32) | block
-                spot = (batch.column(1).to_numpy()[at].astype(np.int64) << 32) \
-                    | batch.column(2).to_numpy()[at]
-                form = (batch.column(5).to_numpy()[at].astype(np.int64) << 31) \
-                    | (place[some] << 1) | marked[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list_), batch.column(0).take(pa.array(at)), pa.array(spot),
-                     pa.array(form), *(batch.column(i).take(pa.array(at)) for i in (6, 7))],
-                    names=["list", "id", "spot", "form", "sig0", "sig1"])
+            for i in range(len(batch)):
+                for some in entries(_joined([batch.slice(i, 1)], kinds)):
+                    held.append(some)
+                    size += len(some["list"])
+                    if 2 * size >= HELD:
+                        yield deal(_stacked(held))
+                        held, size = [], 0
+        if held:
+            yield deal(_stacked(held))
 
-    return rows.mapInArrow(
-        run, "list long, id long, spot long, form long, sig0 long, sig1 long")
+    return lines.select(*kinds).mapInArrow(run, _bytes_of(*_ENTRY))
 
 
 def _word_slot(word: np.ndarray, slots: int) -> np.ndarray:
@@ -249,69 +407,37 @@ def _dealt(which: np.ndarray, chunks: np.ndarray, node: np.ndarray):
 
 
 def _partners(postings: DataFrame, percent: int, named: int | None) -> DataFrame:
-    """(x_id, x_part, x_line, y_id, y_part, y_line, more): x is earlier and may be similar."""
-    out = ", ".join(f"{s}_{c} {t}" for s in "xy"
-                    for c, t in zip(_PLACE, ("long", "int", "int"))) + ", more boolean"
+    """(x_id, x_spot, y_id, y_spot, more): x is earlier and may be similar."""
+    names = [f"{s}_{c}" for s in "xy" for c in _PLACE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_lists(batches):
-            rows = _unpacked(_shared(rows))
+        for some in _whole_buckets(batches):
+            rows = _listed(_joined(some, _ENTRY))
             x, y, more = _list_pairs(rows, percent, named)
             for s in range(0, len(x), 1 << 16):
                 part = slice(s, s + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(rows[c][side[part]]) for side in (x, y) for c in _PLACE),
-                     pa.array(more[part])],
-                    names=[*(f"{s_}_{c}" for s_ in "xy" for c in _PLACE), "more"])
+                     pa.array(more[part])], names=[*names, "more"])
 
-    return postings.repartition("list").sortWithinPartitions("list").mapInArrow(run, out)
+    return postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        run, ", ".join(f"{c} long" for c in names) + ", more boolean")
 
 
-def _shared(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The rows of lists of two lines or more."""
-    same = rows["list"][1:] == rows["list"][:-1]
-    keep = np.zeros(len(rows["list"]), bool)
+def _listed(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The lists of two lines or more, each in order of the lines' places."""
+    order = np.argsort(rows["list"])
+    list_ = rows["list"][order]
+    same = list_[1:] == list_[:-1]
+    keep = np.zeros(len(order), bool)
     keep[1:] |= same
     keep[:-1] |= same
-    return {c: v[keep] for c, v in rows.items()}
-
-
-def _unpacked(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Columns of whole lists, each in order of the lines' places."""
-    part, line = rows["spot"] >> 32, rows["spot"] & 0xFFFFFFFF
-    order = np.lexsort((line, part, rows["id"], rows["list"]))
+    order = order[keep]
+    order = order[np.lexsort([rows[c][order] for c in (*_PLACE[::-1], "list")])]
     form = rows["form"][order]
-    return {
-        "list": rows["list"][order], "id": rows["id"][order],
-        "part": part[order].astype(np.int32), "line": line[order].astype(np.int32),
-        "n": form >> 31, "pos": (form >> 1) & 0x3FFFFFFF, "marked": (form & 1).astype(bool),
-        "sig0": rows["sig0"][order], "sig1": rows["sig1"][order],
-    }
-
-
-def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted rows in runs that end where a list ends."""
-    held = []
-    for batch in batches:
-        list_ = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(np.diff(list_) != 0)
-        cut = int(cuts[-1]) + 1 if len(cuts) else 0
-        if held and len(batch):
-            if held[-1].column(0)[-1].as_py() != list_[0]:
-                yield _columns(held)
-                held = []
-        if cut:
-            yield _columns([*held, batch.slice(0, cut)])
-            held = []
-        if len(batch) > cut:
-            held.append(batch.slice(cut))
-    if held:
-        yield _columns(held)
-
-
-def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    table = pa.Table.from_batches(batches)
-    return {c: table.column(c).to_numpy() for c in table.column_names}
+    return {c: rows[c][order] for c in ("list", *_PLACE, "sig0", "sig1")} | {
+        "n": rows["n"][order].astype(np.int64), "pos": (form >> 1).astype(np.int64),
+        "marked": (form & 1).astype(bool)}
 
 
 def _may(rows, x, y, percent: int) -> np.ndarray:
@@ -339,26 +465,34 @@ def _list_pairs(rows: dict[str, np.ndarray], percent: int, named: int | None):
     begin = np.maximum.accumulate(np.where(new, np.arange(size), 0))
     rank = np.arange(size) - begin
     length = np.diff(np.append(np.flatnonzero(new), size))[np.cumsum(new) - 1]
-    xs, ys, mores = [], [], []
-    short = length <= 16
-    for step in range(15):
-        # The line at each place of a short list against all later ones.
-        y = np.flatnonzero(short & (rank > step) & rows["marked"])
-        if not len(y):
-            break
-        x = begin[y] + step
-        good = _may(rows, x, y, percent)
-        xs.append(x[good])
-        ys.append(y[good])
-        mores.append(np.zeros(good.sum(), bool))
-    for first in np.flatnonzero(new & ~short):
+    none = np.empty(0, np.int64)
+    xs, ys, mores = [none], [none], [np.empty(0, bool)]
+    later = np.flatnonzero((length <= SHORT) & (rank > 0) & rows["marked"])
+    ends = np.cumsum(rank[later])
+    first = 0
+    while first < len(later):
+        # Some lines, each against all earlier ones of its list.
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + TILE, "right")))
+        y = later[first:last]
+        x, _ = _spans(begin[y], rank[y])
+        at = np.repeat(np.arange(len(y)), rank[y])
+        good = _may(rows, x, y[at], percent)
+        x, at = x[good], at[good]
+        more = np.zeros(len(x), bool)
+        if named is not None:
+            few = np.arange(len(at)) - np.searchsorted(at, at) < named
+            more = np.bincount(at, minlength=len(y))[at] > named
+            x, at, more = x[few], at[few], more[few]
+        xs.append(x)
+        ys.append(y[at])
+        mores.append(more)
+        first = last
+    for first in np.flatnonzero(new & (length > SHORT)):
         for x, y, more in _long_list(rows, first, first + length[first], percent, named):
             xs.append(x)
             ys.append(y)
             mores.append(more)
-    if not xs:
-        none = np.empty(0, np.int64)
-        return none, none, np.empty(0, bool)
     return np.concatenate(xs), np.concatenate(ys), np.concatenate(mores)
 
 
@@ -387,32 +521,31 @@ def _long_list(rows: dict[str, np.ndarray], first: int, last: int, percent: int,
 
 
 def _confirmed(source: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(id, part, line) of the later lines whose whole sets reach the similarity."""
+    """(id, spot) of the later lines whose whole sets reach the similarity."""
     ends = pairs.select(*(F.col(f"x_{c}").alias(c) for c in _PLACE)).union(
         pairs.select(*(f"y_{c}" for c in _PLACE)))
-    texts, wanted = _bitmap(ends, "id", "part"), _bitmap(ends, *_PLACE)
+    line = F.lit(0xFFFFFFFF)
+    texts = _bitmap(ends.withColumn("spot", F.col("spot").bitwiseAND(F.bitwise_not(line))))
+    wanted = _bitmap(ends)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = [batch.column(i).to_numpy().astype(np.int64) for i in (0, 1)]
-            few = np.flatnonzero(_marked(texts.value, _slot_of(*key)))
-            batch, key = batch.take(pa.array(few)), [k[few] for k in key]
-            for first, data, offsets in text_slices(batch.column(2)):
-                found = _Lines(data, offsets)
-                whose = found.text + first
-                rows = np.flatnonzero(_marked(wanted.value, _slot_of(
-                    key[0][whose], key[1][whose], found.line)))
-                if not len(rows):
+            id_, part = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+            few = np.flatnonzero(_marked(texts.value, _slot_of(id_, part << 32)))
+            id_, part = id_[few], part[few]
+            for first, data, offsets in text_slices(batch.column(2).take(pa.array(few))):
+                found = _Lines(data, offsets, wanted=lambda text, line: _marked(
+                    wanted.value, _slot_of(id_[text + first], (part[text + first] << 32) | line)))
+                if not len(found.n):
                     continue
-                token, bounds = found.tokens(rows)
-                whose = pa.array(whose[rows])
+                token, bounds = found.tokens(np.arange(len(found.n)))
+                whose = found.text + first
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(whose), batch.column(1).take(whose),
-                     pa.array(found.line[rows].astype(np.int32)),
+                    [pa.array(id_[whose]), pa.array((part[whose] << 32) | found.line),
                      pa.ListArray.from_arrays(bounds.astype(np.int32), token.view(np.int64))],
                     names=[*_PLACE, "tokens"])
 
-    shape = "id long, part int, line int, tokens array<long>"
+    shape = "id long, spot long, tokens array<long>"
     sets = settle(source.mapInArrow(choose, shape).dropDuplicates(_PLACE), TEXTS)
     for side in "xy":
         pairs = pairs.join(sets.select(*(F.col(c).alias(f"{side}_{c}") for c in _PLACE),
@@ -430,47 +563,53 @@ def removed_lines(
     """(id, part, removed): ascending numbers of the lines to remove, per (id, part)."""
     spark = docs.sparkSession
     source = _source(docs, id_col, text_col)
-    counts = spark.sparkContext.broadcast(
-        np.minimum(_word_counts(source), (1 << 31) - 1).astype(np.int32))
-    lines = settle(_line_rows(source, counts, min_words, percent), TEXTS)
+    counts = _word_counts(source)
+    buckets = 1 + int(counts.sum()) // BUCKET_WORDS
+    counts = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    lines = settle(_line_rows(source, counts, min_words, percent, buckets), TEXTS)
     # Slots of 4096 entries on average: only a list that is long alone counts as long.
-    entries = lines.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    entries = (lines.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 4
     slots = 1 << min(24, max(12, (entries // 4096).bit_length()))
-    lengths = spark.sparkContext.broadcast(_list_lengths(lines, slots))
+    lengths = spark.sparkContext.broadcast(_list_lengths(lines, slots, percent))
+    buckets = 1 + entries // BUCKET_ENTRIES
     x = F.struct(*(f"x_{c}" for c in _PLACE))
     pairs = settle(
-        _partners(_postings(lines, lengths), percent, 1)
+        _partners(_postings(lines, lengths, buckets, percent), percent, 1)
         .groupBy(*(f"y_{c}" for c in _PLACE))
         .agg(F.min(x).alias("x"), (F.max("more") | (F.min(x) < F.max(x))).alias("more"))
-        .select("x.*", *(f"y_{c}" for c in _PLACE), "more")
-    )
+        .select("x.*", *(f"y_{c}" for c in _PLACE), "more"), ROWS)
     similar = settle(_confirmed(source, pairs, percent))
     still = settle(
-        pairs.filter("more").select(*(F.col(f"y_{c}").alias(c) for c in _PLACE)).distinct()
+        pairs.filter("more").select(*(F.col(f"y_{c}").alias(c) for c in _PLACE))
         .join(similar, _PLACE, "left_anti")
     )
     if not still.isEmpty():
-        words = lines.join(still, _PLACE).select("prefix")
+        open_ = _bitmap(still)
+        words = spark.sparkContext.broadcast(
+            np.packbits(_list_lengths(lines, WANTED, percent, open_) > 0))
         again = _partners(
-            _postings(lines, lengths, spark.sparkContext.broadcast(
-                np.packbits(_list_lengths(words, WANTED) > 0)), _bitmap(still, *_PLACE)),
-            percent, None)
-        more = settle(again.select(*(f"{s}_{c}" for s in "xy" for c in _PLACE)).distinct())
-        similar = similar.union(_confirmed(source, more, percent)).distinct()
-    place = F.struct(*_PLACE)
-    firsts = lines.groupBy(*_NODE).agg(F.min(place).alias("place")).select("place.*")
-    stays = settle(firsts.join(similar, _PLACE, "left_anti"))
-    return lines.select(*_PLACE).join(stays, _PLACE, "left_anti").groupBy("id", "part").agg(
-        F.sort_array(F.collect_set("line")).alias("removed"))
+            _postings(lines, lengths, buckets, percent, words, open_), percent, None)
+        more = settle(again.select(*(f"{s}_{c}" for s in "xy" for c in _PLACE)).distinct(), ROWS)
+        similar = similar.union(_confirmed(source, more, percent))
+    line = F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return _copies(lines).union(similar).groupBy(
+        "id", F.shiftright("spot", 32).cast("int").alias("part")).agg(
+        F.sort_array(F.collect_set(line)).alias("removed"))
 
 
-def _list_lengths(lines: DataFrame, slots: int) -> np.ndarray:
-    """Lengths of the lists of words of some lines, by slot."""
+def _list_lengths(lines: DataFrame, slots: int, percent: int, open_=None) -> np.ndarray:
+    """Lengths of the lists of words of all lines, or of those marked, by slot."""
+    kinds = {"words": "i4"} | ({} if open_ is None else {c: _LINE[c] for c in (*_PLACE, "n")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for batch in batches:
-            word = batch.column(0).flatten().to_numpy()
+            rows = _joined([batch], kinds)
+            word = rows["words"]
+            if open_ is not None:
+                marked = _marked(open_.value, _slot_of(rows["id"], rows["spot"]))
+                word = word[np.repeat(
+                    marked, _prefix_length(rows["n"].astype(np.int64), percent))]
             total += np.bincount(_word_slot(word, slots), minlength=slots)
         slot = np.flatnonzero(total)
         for start in range(0, len(slot), 1 << 16):
@@ -478,8 +617,8 @@ def _list_lengths(lines: DataFrame, slots: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "c"])
 
-    counted = lines.select("prefix").mapInArrow(run, "slot int, c long")
-    return slot_counts(counted, "slot", slots, "c")
+    counted = lines.select(*kinds).mapInArrow(run, "slot int, c long")
+    return slot_counts(counted, "slot", slots, "c", ROWS)
 
 
 def dedup_lines(
@@ -500,7 +639,8 @@ def dedup_lines(
         raise ValueError("equal short sets are taken for granted from 80 percent on")
     removed = removed_lines(docs, id_col, text_col, min_words, percent)
     names = docs.columns
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"),
+    others = [docs[f"`{c}`"] for c in names if c != text_col]
+    rows = docs.select(F.struct(*others).alias("row"),
                        *_keys(id_col, text_col), docs[f"`{text_col}`"].alias("text"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
 

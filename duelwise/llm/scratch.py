@@ -36,7 +36,7 @@ def folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _small_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
     """While it lasts, tasks hand Python so many rows at once: whole texts make large batches."""
     if rows is None:
         yield
@@ -53,7 +53,7 @@ def settle(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Write rows and read them back: nothing is computed twice, and executors may be lost."""
     spark = df.sparkSession
     path = f"{folder(spark)}/llm-{uuid.uuid4().hex}"
-    with _small_batches(spark, batch):
+    with small_batches(spark, batch):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,7 +63,7 @@ def slot_counts(
 ) -> np.ndarray:
     """Totals of a column of slot numbers below `size`, as one array of that fixed length."""
     total = F.sum(weight) if weight else F.count(F.lit(1))
-    with _small_batches(df.sparkSession, batch):
+    with small_batches(df.sparkSession, batch):
         rows = df.groupBy(slot).agg(total.alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()

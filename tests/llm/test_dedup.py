@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duelwise.llm import lines, minhash
+from duelwise.llm import lines, minhash, words
 from duelwise.llm.components import components
 
 from .helpers import documents, near_groups, odd_rows, prose, repeated_lines
@@ -108,3 +109,52 @@ def test_odd_rows_of_lines(spark):
     last = found.filter("doc_id is null and n_chars > 0").first()
     assert list(last.line_report.removed) == [0] and last.text == ""
     assert lines.dedup_lines(documents(spark, [])).count() == 0
+
+
+def test_lines_dealt_into_many_buckets(spark, monkeypatch):
+    for name, value in (("BUCKET_WORDS", 64), ("BUCKET_ENTRIES", 64), ("HELD", 100)):
+        monkeypatch.setattr(lines, name, value)
+    rows = line_texts(5)
+    docs = documents(spark, [*rows, *rows[:20]]).repartition(7)
+    assert removed(lines.dedup_lines(docs)) == repeated_lines(rows)
+
+
+def test_copies_of_lines_are_compared_with_nothing(spark, monkeypatch):
+    """Lines of equal sets, also far apart, make no pairs."""
+    rows = [(i, "\n".join([prose(1, 30), prose(100 + i, 30), prose(2, 12)])) for i in range(60)]
+    pairs = []
+
+    def confirmed(source, found, percent, plain=lines._confirmed):
+        pairs.append(found.count())
+        return plain(source, found, percent)
+
+    monkeypatch.setattr(lines, "_confirmed", confirmed)
+    found = lines.dedup_lines(documents(spark, rows).repartition(6))
+    assert removed(found) == repeated_lines(rows)
+    assert pairs == [0]
+
+
+@pytest.mark.parametrize("named", [None, 1])
+def test_pairs_of_lists_do_not_depend_on_tiles(monkeypatch, named):
+    rng = np.random.default_rng(3)
+    n = 300
+    rows = {"list": np.sort(rng.integers(0, 12, n)), "id": np.arange(n), "spot": np.zeros(n, int),
+            "sig0": rng.integers(0, 8, n), "sig1": np.zeros(n, int), "n": rng.integers(6, 30, n),
+            "pos": rng.integers(0, 3, n), "marked": rng.random(n) < 0.8}
+    found = []
+    for short, tile in ((512, 1 << 20), (512, 7), (0, 7), (25, 7)):
+        monkeypatch.setattr(lines, "SHORT", short)
+        monkeypatch.setattr(lines, "TILE", tile)
+        found.append(sorted(zip(*(x.tolist() for x in lines._list_pairs(rows, 80, named)))))
+    assert found[0] and all(x == found[0] for x in found)
+
+
+def test_word_hashes_tell_words_apart():
+    pool = [bytes(random.Random(i).choices(b"ab\0", k=i % 26 + 1)) for i in range(400)]
+    pool += [b"a" * i for i in range(1, 40)]
+    data = np.frombuffer(b" ".join(pool * 2), np.uint8)
+    start, end = words.runs(data, np.array([0, 3, 3, len(data)]), words.SPACED)
+    hashes = words.hash_words(data, start, end)
+    own = [data[a:b].tobytes() for a, b in zip(start, end)]
+    assert len(set(own)) == len(set(hashes.tolist())) == len(set(zip(own, hashes.tolist())))
+    assert not any(a < 3 < b for a, b in zip(start, end))
