@@ -38,11 +38,11 @@ CHUNK = 1 << 16
 #: Lists up to this length are compared together with others, longer ones each by itself.
 SHORT = 512
 #: Pairs compared at once.
-TILE = 1 << 20
+TILE = 1 << 18
 #: Words of the texts, and list entries, of an average bucket.
 BUCKET_WORDS, BUCKET_ENTRIES = 1 << 21, 1 << 17
 #: Numbers that a task holds before it deals them into buckets.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Rows of arrays that a task hands to Python at once.
 ROWS = 16
 _LAST = (1 << 63) - 1
