@@ -146,7 +146,11 @@ def near_duplicates(
 
 
 def similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
-    """(rows, nodes, links): set rows of documents, their distinct nodes, confirmed links."""
+    """(rows, nodes, links): set rows of documents, their distinct nodes, links of components.
+
+    Nodes that the first confirmed links join come as one star, so their components are
+    contracted once.
+    """
     spark = docs.sparkSession
     source = docs.select(
         F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
@@ -176,8 +180,7 @@ def similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percen
         .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         .distinct()
     )
-    links = settle(_confirmed(source, nodes, stars, size, percent))
-    parts = settle(components(links))
+    parts = settle(components(_confirmed(source, nodes, stars, size, percent)))
     members = settle(
         joined.filter("m > 2").select("value", "node", "m").join(parts, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
@@ -191,7 +194,9 @@ def similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percen
         prefixes.select("node", "n", "prefix"), "node").join(
         nodes.select("node", "bits"), "node")
     more = settle(_block_pairs(blocks, percent).distinct())
-    return rows, nodes, links.union(_confirmed(source, nodes, more, size, percent))
+    found = parts.filter("node <> component").select(
+        F.col("node").alias("a"), F.col("component").alias("b"))
+    return rows, nodes, found.union(_confirmed(source, nodes, more, size, percent))
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duelwise.llm import lines, minhash, words
+import duelwise.llm.components as contraction
+from duelwise.llm import lines, minhash, scratch, words
 from duelwise.llm.components import components
 
+from . import helpers
 from .helpers import documents, near_groups, odd_rows, prose, repeated_lines
 
 
@@ -32,6 +34,27 @@ def test_components_of_chains_and_stars(spark):
     assert components(rows.limit(0)).count() == 0
 
 
+def test_components_write_no_more_once_only_stars_are_left(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(contraction, "settle", lambda df: written.append(df) or scratch.settle(df))
+    stars = [(i % 3, i) for i in range(3, 30)]
+    rows = spark.createDataFrame(stars, "a long, b long")
+    assert {r.node: r.component for r in components(rows).collect()} == {i: i % 3 for i in range(30)}
+    assert len(written) == 1
+    # Two smaller neighbours, a chain, and both at once are no stars.
+    for links in ([(2, 0), (2, 1)], [(2, 1), (1, 0)], [(3, 1), (3, 2), (2, 0)]):
+        rows = spark.createDataFrame(links, "a long, b long")
+        assert {r.component for r in components(rows).collect()} == {0}
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)]
+    rows = spark.createDataFrame(links, "a long, b long")
+    want = helpers.components({x for a, b in links if a != b for x in (a, b)}, links)
+    assert {r.node: r.component for r in components(rows).collect()} == want
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     texts = variants(1, prose(1, 200), 40, (0, 14)) + variants(2, prose(2, 40), 30, (0, 4)) \
         + [prose(i, 30) for i in range(10, 30)] + ["a b c d e", "A b c  d e", "a b c d", "a", "A", ""]
