@@ -5,7 +5,10 @@ A character's chance mixes all orders: each one leans on the next lower the more
 times its context was seen. The mean log-likelihood difference per character is turned into
 a probability on a fifth of those URLs that was not counted. Counts are exact, one row of a
 table per context and next character, which grows with the input; URLs are joined to it, and
-nothing of it is gathered on the driver or broadcast by force. Characters are UTF-8 bytes.
+nothing of it is gathered on the driver or broadcast. Characters are UTF-8 bytes.
+
+All joins are merged by request: Spark would tell sizes from compressed files, and a URL's
+characters from the URL, and broadcast tables far over its limit through the driver.
 """
 
 from __future__ import annotations
@@ -113,7 +116,7 @@ def _model(grams: DataFrame) -> DataFrame:
         else:
             table = table.withColumn(
                 "short", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))).join(
-                chances.withColumnRenamed("gram", "short"), "short")
+                chances.withColumnRenamed("gram", "short").hint("merge"), "short")
         chances = settle(table.select("gram", *(
             ((F.col(f"n{k}") + LEAN * F.col(f"p{k}")) / (F.col(f"seen{k}") + LEAN)).alias(f"p{k}")
             for k in "01")))
@@ -133,7 +136,7 @@ def _ratios(rows: DataFrame, model: DataFrame) -> DataFrame:
 
     once = rows.filter("url <> ''").groupBy("key").agg(F.min("url").alias("url"))
     placed = once.select("key", "url").mapInArrow(run, "key long, gram long")
-    return placed.join(model, "gram").groupBy("key").agg(F.avg("d").alias("ratio"))
+    return placed.join(model.hint("merge"), "gram").groupBy("key").agg(F.avg("d").alias("ratio"))
 
 
 def calibrate(centre: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -183,7 +186,7 @@ def filter_urls(
     sides = counts.agg(F.sum("n0"), F.sum("n1")).head()
     if sides[0] and sides[1]:
         ratios = settle(_ratios(rows, _model(counts)))
-        scored = rows.join(ratios, "key", "left").fillna(0.0, ["ratio"])
+        scored = rows.join(ratios.hint("merge"), "key", "left").fillna(0.0, ["ratio"])
     else:
         scored = rows.withColumn("ratio", F.lit(0.0))
     place = F.least(F.greatest(F.floor(F.col("ratio") / BIN) + BINS // 2, F.lit(0)),

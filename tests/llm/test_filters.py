@@ -112,6 +112,17 @@ def test_url_counts_are_exact(spark):
         assert abs(got[i].ratio - total / len(text)) < 1e-9
 
 
+def test_url_joins_are_merged(spark, monkeypatch):
+    # Spark took a row per character for smaller than its limit, and broadcast them through the driver.
+    plans = []
+    plan_of = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    keep = urls.settle
+    monkeypatch.setattr(urls, "settle", lambda df: keep(plan_of(df)))
+    plan_of(urls.filter_urls(pages(spark, some_urls()), URL_RULES))
+    assert not any("Broadcast" in p for p in plans)
+    assert sum("SortMergeJoin" in p for p in plans) == urls.ORDER + 2
+
+
 def test_urls_without_a_model(spark):
     got = urls.filter_urls(pages(spark, [(1, "http://a.b/c"), (2, None)]), URL_RULES).collect()
     assert {(r.ratio, r.probability, r.verdict) for r in got} == {(0.0, 0.5, "allow")}
