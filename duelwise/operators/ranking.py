@@ -15,11 +15,12 @@ def percent_rank_by(
     value: str = "value",
     out: str = "percentile",
     descending: bool | Column = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """``(rank - 1) / (values - 1)`` in each group; a NULL value has none and counts nowhere.
 
     A group of one value has no rank either (0 / 0). ``descending`` may be a condition on
-    the group column.
+    the group column, ``buckets`` the number of ranges, which changes no rank.
 
     Rows are put in ranges of (group, value, a random number), so that a common value spreads
     over ranges, and ranked where they are: the rank of a value is the number of its first
@@ -30,7 +31,7 @@ def percent_rank_by(
     given = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     by = [group, "p_given"]
     rows = df.withColumns({"p_given": given, "p_mixed": F.rand(7)})
-    placed = placed_rows(rows, by, [value, "p_mixed"])
+    placed = placed_rows(rows, by, [value, "p_mixed"], buckets)
     pieces = _range_ends(placed, by, value)
     match = same(placed, pieces, by, "_n") & (part() == F.col("n_part"))
     here = Window.partitionBy(*by, part(), value)

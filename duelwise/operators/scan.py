@@ -70,9 +70,15 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> Col
     return condition
 
 
-def placed_rows(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """``df`` in ranges of ``by`` and ``order``, settled, with each row's place ``n_at``."""
-    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+def placed_rows(
+    df: DataFrame, by: list[str], order: list[str], ranges: int | None = None
+) -> DataFrame:
+    """``df`` in ranges of ``by`` and ``order``, settled, with each row's place ``n_at``.
+
+    ``ranges`` is their number; None leaves it to the session.
+    """
+    number = [] if ranges is None else [ranges]
+    ranged = df.repartitionByRange(*number, *by, *order).sortWithinPartitions(*by, *order)
     return settle(ranged.withColumn("n_at", F.monotonically_increasing_id()))
 
 
